@@ -7,10 +7,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkloom.llm import licenses, mixing, rollups, tiff
+from chunkloom.llm import licenses, mixing, neighbours, quality, rollups, sentencepiece_bpe, tiff
 from chunkloom.llm.common import ensure_checkpoint_dir, read_table
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = sentencepiece_bpe.model_bytes(public_tokenizers.path("piece_bpe_32k.model"))
+    return sentencepiece_bpe.round_trip(read_table(spark, sf_dir, "documents"), model)
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
@@ -44,6 +51,14 @@ def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.totals()
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op10_kmeans_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(read_table(spark, sf_dir, "embeddings"))
+
+
 _OP8_SQL = r"""
 WITH w AS (
   SELECT source, lang, list_filter(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda x: true) AS a,
@@ -54,6 +69,6 @@ u AS (SELECT source, lang, 'words-1' AS tokenizer, n1 AS n FROM c UNION ALL SELE
 SELECT source, lang, tokenizer, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM u GROUP BY ALL
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mix_sources, op5_tiff_media, op6_license_scan, op8_token_rollup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_mix_sources, op5_tiff_media, op6_license_scan, op8_token_rollup, op9_quality_classifier, op10_kmeans_tree_search)}
 
 ORACLE_SQL: dict[str, str] = {"op8_token_rollup": _OP8_SQL}
