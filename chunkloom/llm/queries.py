@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkloom.llm import licenses, mixing, neighbours, quality, rollups, sentencepiece_bpe, tiff
+from chunkloom.llm import jaccard, licenses, mixing, neighbours, quality, rollups, sentencepiece_bpe, tiff
 from chunkloom.llm.common import ensure_checkpoint_dir, read_table
 
 
@@ -22,6 +22,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(read_table(spark, sf_dir, "documents"))
+
+
 def op5_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.text_media_digests(read_table(spark, sf_dir, "documents"))
 
@@ -69,6 +73,6 @@ u AS (SELECT source, lang, 'words-1' AS tokenizer, n1 AS n FROM c UNION ALL SELE
 SELECT source, lang, tokenizer, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM u GROUP BY ALL
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_mix_sources, op5_tiff_media, op6_license_scan, op8_token_rollup, op9_quality_classifier, op10_kmeans_tree_search)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_mix_sources, op3_ngram_jaccard_join, op5_tiff_media, op6_license_scan, op8_token_rollup, op9_quality_classifier, op10_kmeans_tree_search)}
 
 ORACLE_SQL: dict[str, str] = {"op8_token_rollup": _OP8_SQL}
