@@ -332,7 +332,26 @@ def round_trip(df: DataFrame, model: bytes) -> DataFrame:
                     n.append(len(ids))
                     a.append(sha(" ".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
                     b.append(sha(back.encode()).hexdigest())
-                    same.append(back == (text or ""))
+                    same.append(back == (text or "").replace(SPACE, " "))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(same, pa.bool_())], names)
 
     return df.select(df["doc_id"].cast("long").alias("doc_id"), df["text"].cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, is_lossless boolean")
+
+
+def encode_corpus(docs: DataFrame, model: bytes) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids of every row; ids that do not decode to the text again raise an error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(model)
+        for whole in batches:
+            for batch in sliced(whole, "text"):
+                ids = []
+                for text in batch.column("text").to_pylist():
+                    own = codec.encode(text or "")
+                    if codec.decode(own) != (text or "").replace(SPACE, " "):
+                        raise ValueError("a text does not come back from its ids")
+                    ids.append(own)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "lang", "source")), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "lang", "source", "n_tokens", "ids"])
+
+    few = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["lang"].cast("string").alias("lang"), docs["source"].cast("string").alias("source"), docs["text"].cast("string").alias("text"))
+    return few.mapInArrow(run, "doc_id long, lang string, source string, n_tokens long, ids array<int>")

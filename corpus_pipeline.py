@@ -1,29 +1,64 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's documents."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again as the next one's documents.
+
+Null ids, texts and columns pass through as the operators define; extra columns are kept up to the last stage.
+"""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chunkloom.llm import jaccard, mixing, quality, sentencepiece_bpe, substrings
+from chunkloom.llm.common import cut, ensure_checkpoint_dir, read_table
+
+
+def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score is 0.5 or more."""
+    return quality.keep_good(docs, read_table(spark, sf_dir, "labels"))
+
 
-from chunkloom.llm import mixing
-from chunkloom.llm.common import ensure_checkpoint_dir, read_table
+def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document with the smallest id; documents without an id stay."""
+    classes = jaccard.classes(docs)
+    leave = cut(classes.where("doc_id <> component_id").select("doc_id").distinct())
+    return docs.join(leave, "doc_id", "left_anti").select(*docs.columns)
+
+
+def remove_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents without the words of windows that start earlier too; n_chars follows the text."""
+    return substrings.cleaned(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it; one that it takes no copy of goes."""
-    from pyspark.sql import functions as F
+    """Every document as often as the mix takes it. Rows that share an id share the most copies that one of them gets."""
+    taken = mixing.mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").cast("int").alias("_copies"))
+    return docs.join(taken, docs["doc_id"].eqNullSafe(F.col("_id"))).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy")).drop("_copy")
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids of every document that the mix holds, in its copies."""
+    import public_tokenizers
 
-    taken = mixing.mix(docs).where("copies > 0").select(F.col("doc_id"), "copies")
-    return docs.join(taken, "doc_id").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")
+    model = sentencepiece_bpe.model_bytes(public_tokenizers.path("piece_bpe_32k.model"))
+    return sentencepiece_bpe.encode_corpus(docs, model)
 
 
-STAGES = [("mixing sources to target weights", mix_sources)]
+STAGES = [
+    ("quality classifier", classify_quality),
+    ("n-gram Jaccard join", join_near_duplicates),
+    ("substring dedup", remove_substrings),
+    ("mixing sources to target weights", mix_sources),
+    ("SentencePiece encoding and decoding", encode_pieces),
+]
 
+#: No SQL can express the classifier; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; what the stages return is kept in the checkpoint folder."""
     ensure_checkpoint_dir(spark)
     root = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
     docs = read_table(spark, sf_dir, "documents")
