@@ -1,14 +1,40 @@
-"""Named queries over the driver's tables, each with the SQL that checks it."""
+"""Named queries over the driver's tables, each with the SQL that checks it where SQL can express it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chunkloom.functions import features as ft
+from chunkloom.functions import names
+from chunkloom.operators import archive, codec, dedup, index, metrics, segment, store
+from chunkloom.operators.components import cut
+from chunkloom.operators.pipeline import ReductionPipeline, super_features
+from chunkloom.sources import corpus
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+SIZE = 64
+
+# Named parts of the checking SQL; each is a chain of common table expressions.
+_V = """v AS (SELECT source, row_number() OVER (ORDER BY array_to_string(list_transform(regexp_extract_all(upper(source), '([0-9]+|[^0-9]+)'),
+  lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(x, 20, '0') ELSE x END), ''), source) - 1 AS version_no FROM (SELECT DISTINCT source FROM documents)),
+f AS (SELECT version_no, doc_id AS file_id, source AS path, encode(coalesce(text, '')) AS b FROM documents JOIN v USING (source))"""
+_K = f"""{_V},
+k AS (SELECT version_no, file_id, off // {SIZE} AS seq, off, b[off + 1:off + {SIZE}] AS payload, octet_length(b[off + 1:off + {SIZE}]) AS chunk_size, sha256(b[off + 1:off + {SIZE}]) AS fp
+  FROM (SELECT *, unnest(range(0, octet_length(b), {SIZE})) AS off FROM f))"""
+_U = f"""{_K},
+o AS (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY version_no, file_id, seq) AS nth, count(*) OVER (PARTITION BY fp) AS copies FROM k),
+u AS (SELECT *, row_number() OVER (ORDER BY version_no, file_id, seq) - 1 AS chunk_id FROM o WHERE nth = 1)"""
+_S = f"""{_U},
+s AS (SELECT chunk_id, version_no, pos, hex(payload[16 * pos + 1:16 * pos + 8]) AS sf FROM u, (SELECT unnest([0, 1, 2]) AS pos) WHERE chunk_size = {SIZE})"""
+_D = f"""{_S},
+h AS (SELECT chunk_id, pos, max(chunk_id) OVER (PARTITION BY sf ORDER BY chunk_id RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS base_id FROM s),
+m AS (SELECT chunk_id, arg_min(base_id, pos) AS base_id FROM h WHERE base_id IS NOT NULL GROUP BY chunk_id),
+d AS (SELECT u.chunk_id, u.version_no, chunk_size, u.seq = 0 AS is_header, m.base_id, CASE WHEN m.base_id IS NULL THEN 'BASE_RAW' ELSE 'DELTA' END AS kind,
+  CASE WHEN m.base_id IS NULL THEN chunk_size ELSE greatest(1, chunk_size // 3) END AS save_size FROM u LEFT JOIN m USING (chunk_id))"""
 
 
 def register(name: str, sql: str | None = None):
@@ -21,21 +47,402 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.from_table(spark.read.parquet(f"{sf_dir}/documents.parquet"), "source", "doc_id", "text")
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.fingerprinted(segment.fixed(files(spark, sf_dir), SIZE))
+
 
+def unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unique chunks with payloads; cut, as several parts of a query read them."""
+    c = chunks(spark, sf_dir)
+    return cut(dedup.unique_chunks(c.drop("payload")).join(c.select(*dedup.PLACE, "payload"), dedup.PLACE))
 
-@register("fixed_chunk_dedup_summary", """
-WITH c AS (SELECT source, doc_id, unnest(range(0, octet_length(encode(text)), 64)) AS off, encode(text) AS b FROM documents),
-k AS (SELECT source, doc_id, off, least(64, octet_length(b) - off) AS n, sha256(b[off + 1 : off + 64]) AS fp FROM c)
-SELECT source, count(*) AS chunks, count(DISTINCT fp) AS distinct_chunks, CAST(sum(n) AS BIGINT) AS bytes FROM k GROUP BY source
-""")
-def fixed_chunk_dedup_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = F.col("b")
-    chunks = (
-        documents(spark, sf_dir).select("source", "doc_id", F.encode("text", "utf-8").alias("b")).where(F.length(b) > 0)
-        .select("source", F.explode(F.sequence(F.lit(0), F.length(b) - 1, F.lit(64))).alias("off"), "b")
-        .select("source", F.substring(b, F.col("off") + 1, F.lit(64)).alias("c"))
-        .select("source", F.length("c").alias("n"), F.sha2("c", 256).alias("fp"))
+
+def proxy_features(u: DataFrame) -> DataFrame:
+    """chunk_id, version_no, pos, sf: three pieces of eight bytes, so that index policies can be checked in SQL."""
+    pieces = F.array(*[F.hex(F.substring("payload", 16 * i + 1, 8)) for i in range(3)])
+    return u.where(F.col("chunk_size") == SIZE).select("chunk_id", "version_no", F.posexplode(pieces).alias("pos", "sf"))
+
+
+def proxy_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = unique(spark, sf_dir)
+    m = index.latest(proxy_features(u)).select("chunk_id", "base_id")
+    base = F.col("base_id").isNull()
+    return u.join(m, "chunk_id", "left").select(
+        "chunk_id", "version_no", "chunk_size", (F.col("seq") == 0).alias("is_header"), "base_id", F.when(base, "BASE_RAW").otherwise("DELTA").alias("kind"),
+        F.when(base, F.col("chunk_size")).otherwise(F.expr("greatest(1, chunk_size div 3)")).alias("save_size"),
     )
-    return chunks.groupBy("source").agg(F.count("*").alias("chunks"), F.countDistinct("fp").alias("distinct_chunks"), F.sum("n").alias("bytes"))
+
+
+def small_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unique content-defined chunks of the small profile."""
+    c = cut(dedup.fingerprinted(segment.content_defined(files(spark, sf_dir), segment.SMALL_FASTCDC)))
+    return cut(dedup.unique_chunks(c.drop("payload")).join(c.select(*dedup.PLACE, "payload"), dedup.PLACE))
+
+
+# ---- sources
+
+
+@register("files_natural_order", f"WITH {_V} SELECT CAST(version_no AS BIGINT) AS version_no, path, count(*) AS files, CAST(sum(octet_length(b)) AS BIGINT) AS bytes FROM f GROUP BY ALL")
+def files_natural_order(spark, sf_dir):
+    return files(spark, sf_dir).groupBy(F.col("version_no").cast("long").alias("version_no"), "path").agg(F.count("*").alias("files"), F.sum(F.length("content")).alias("bytes"))
+
+
+@register("first_n_versions", f"WITH {_V} SELECT CAST(version_no AS BIGINT) AS version_no, file_id, CAST(octet_length(b) AS BIGINT) AS bytes FROM f WHERE version_no < 5")
+def first_n_versions(spark, sf_dir):
+    return corpus.first_versions(files(spark, sf_dir), 5).select(F.col("version_no").cast("long").alias("version_no"), "file_id", F.length("content").cast("long").alias("bytes"))
+
+
+# ---- segmenters and exact dedup
+
+
+@register("fixed_chunks", f"WITH {_K} SELECT file_id, CAST(seq AS BIGINT) AS seq, CAST(off AS BIGINT) AS \"offset\", CAST(chunk_size AS BIGINT) AS chunk_size, fp FROM k")
+def fixed_chunks(spark, sf_dir):
+    return chunks(spark, sf_dir).select("file_id", "seq", "offset", "chunk_size", "fp")
+
+
+@register("fixed_chunk_dedup_summary", f"WITH {_K} SELECT version_no, count(*) AS chunks, count(DISTINCT fp) AS distinct_chunks, CAST(sum(chunk_size) AS BIGINT) AS bytes FROM k GROUP BY version_no")
+def fixed_chunk_dedup_summary(spark, sf_dir):
+    return chunks(spark, sf_dir).groupBy(F.col("version_no").cast("long").alias("version_no")).agg(F.count("*").alias("chunks"), F.countDistinct("fp").alias("distinct_chunks"), F.sum("chunk_size").alias("bytes"))
+
+
+@register("fixed_chunk_first_occurrence", f"WITH {_U} SELECT fp, version_no, file_id, CAST(seq AS BIGINT) AS seq, copies, CAST(chunk_size AS BIGINT) AS chunk_size FROM u")
+def fixed_chunk_first_occurrence(spark, sf_dir):
+    return dedup.first_occurrences(chunks(spark, sf_dir)).select("fp", F.col("first.version_no").cast("long").alias("version_no"), "first.file_id", "first.seq", "copies", "chunk_size")
+
+
+@register("unique_chunk_ids", f"WITH {_U} SELECT chunk_id, fp, file_id, CAST(seq AS BIGINT) AS seq FROM u")
+def unique_chunk_ids(spark, sf_dir):
+    return dedup.unique_chunks(chunks(spark, sf_dir)).select("chunk_id", "fp", "file_id", "seq")
+
+
+@register("duplicate_chunks", f"WITH {_U} SELECT o.fp, o.version_no, o.file_id, CAST(o.seq AS BIGINT) AS seq, u.version_no AS first_version, u.file_id AS first_file, CAST(u.seq AS BIGINT) AS first_seq FROM o JOIN u USING (fp) WHERE o.nth > 1")
+def duplicate_chunks(spark, sf_dir):
+    d = dedup.duplicates(chunks(spark, sf_dir))
+    return d.withColumn("version_no", F.col("version_no").cast("long")).withColumn("first_version", F.col("first_version").cast("long"))
+
+
+@register("recipes_ordered", f"WITH {_U}, r AS (SELECT o.file_id, o.seq, u.chunk_id FROM o JOIN u USING (fp)) SELECT file_id, count(*) AS chunks, md5(string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY seq)) AS recipe FROM r GROUP BY file_id")
+def recipes_ordered(spark, sf_dir):
+    c = chunks(spark, sf_dir).drop("payload")
+    r = dedup.recipes(c, dedup.unique_chunks(c))
+    ids = F.transform(F.sort_array(F.collect_list(F.struct("seq", "chunk_id"))), lambda x: x["chunk_id"].cast("string"))
+    return r.groupBy("file_id").agg(F.count("*").alias("chunks"), F.md5(F.array_join(ids, ",")).alias("recipe"))
+
+
+def _restored(spark, sf_dir):
+    u = unique(spark, sf_dir)
+    return dedup.restore(dedup.recipes(chunks(spark, sf_dir), u), u.select("chunk_id", "payload"))
+
+
+@register("restore_digest", "SELECT doc_id AS file_id, CAST(octet_length(encode(text)) AS BIGINT) AS bytes, sha256(text) AS digest FROM documents WHERE text <> ''")
+def restore_digest(spark, sf_dir):
+    return _restored(spark, sf_dir).select("file_id", F.length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("digest"))
+
+
+@register("restore_mismatches", "SELECT doc_id AS file_id FROM documents WHERE false")
+def restore_mismatches(spark, sf_dir):
+    want = files(spark, sf_dir).where(F.length("content") > 0).select("file_id", F.sha2("content", 256).alias("want"))
+    got = _restored(spark, sf_dir).select("file_id", F.sha2("content", 256).alias("got"))
+    return want.join(got, "file_id", "full").where(~F.col("want").eqNullSafe(F.col("got"))).select("file_id")
+
+
+_LOG = f"""{_U}, g AS (SELECT version_no, count(*) AS logical_chunks, sum(chunk_size) AS lb, sum(CASE WHEN nth = 1 THEN 1 ELSE 0 END) AS nc, sum(CASE WHEN nth = 1 THEN chunk_size ELSE 0 END) AS nb FROM o GROUP BY version_no),
+t AS (SELECT *, sum(lb) OVER (ORDER BY version_no) AS tl, sum(nb) OVER (ORDER BY version_no) AS ts FROM g)"""
+
+
+@register("dedup_by_version_cumulative", f"WITH {_LOG} SELECT version_no, logical_chunks, CAST(lb AS BIGINT) AS logical_bytes, CAST(nc AS BIGINT) AS new_chunks, CAST(nb AS BIGINT) AS new_bytes, CAST(tl AS BIGINT) AS total_logical, CAST(ts AS BIGINT) AS total_stored, CAST(tl AS DOUBLE) / CAST(ts AS DOUBLE) AS ratio FROM t")
+def dedup_by_version_cumulative(spark, sf_dir):
+    return dedup.version_log(chunks(spark, sf_dir)).withColumn("version_no", F.col("version_no").cast("long"))
+
+
+@register("version_delta_log", f"WITH {_LOG} SELECT version_no, CAST(lb - lag(lb, 1, 0) OVER (ORDER BY version_no) AS BIGINT) AS logical_change, CAST(lb - nb AS BIGINT) AS reduced FROM t")
+def version_delta_log(spark, sf_dir):
+    log = dedup.version_log(chunks(spark, sf_dir))
+    w = F.lag("logical_bytes", 1, 0).over(Window.orderBy("version_no"))
+    return log.select(F.col("version_no").cast("long").alias("version_no"), (F.col("logical_bytes") - w).alias("logical_change"), (F.col("logical_bytes") - F.col("new_bytes")).alias("reduced"))
+
+
+@register("cross_source_shared_chunks", f"WITH {_K}, g AS (SELECT fp, count(DISTINCT version_no) AS versions, count(*) AS n FROM k GROUP BY fp) SELECT versions, count(*) AS fingerprints, CAST(sum(n) AS BIGINT) AS chunks FROM g GROUP BY versions")
+def cross_source_shared_chunks(spark, sf_dir):
+    g = chunks(spark, sf_dir).groupBy("fp", "version_no").agg(F.count("*").alias("n")).groupBy("fp").agg(F.count("*").alias("versions"), F.sum("n").alias("n"))
+    return g.groupBy("versions").agg(F.count("*").alias("fingerprints"), F.sum("n").alias("chunks"))
+
+
+@register("header_kind_breakdown", f"WITH {_D} SELECT is_header, kind, count(*) AS chunks, CAST(sum(chunk_size) AS BIGINT) AS logical_bytes, CAST(sum(save_size) AS BIGINT) AS stored_bytes FROM d GROUP BY is_header, kind")
+def header_kind_breakdown(spark, sf_dir):
+    return metrics.by_header(proxy_decisions(spark, sf_dir))
+
+
+@register("fastcdc_reassembly", "SELECT doc_id AS file_id, CAST(octet_length(encode(text)) AS BIGINT) AS bytes, sha256(text) AS digest FROM documents WHERE text <> ''")
+def fastcdc_reassembly(spark, sf_dir):
+    c = segment.content_defined(files(spark, sf_dir), segment.SMALL_FASTCDC)
+    return dedup.restore(c.withColumn("chunk_id", F.col("seq")).select(*dedup.PLACE, "payload", F.struct("file_id", "seq").alias("chunk_id")).drop("payload"), c.select(F.struct("file_id", "seq").alias("chunk_id"), "payload")).select("file_id", F.length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("digest"))
+
+
+@register("fastcdc_cuts")
+def fastcdc_cuts(spark, sf_dir):
+    return segment.content_defined(files(spark, sf_dir), segment.SMALL_FASTCDC).select("file_id", "seq", "offset", "chunk_size")
+
+
+@register("gear_cuts")
+def gear_cuts(spark, sf_dir):
+    return segment.content_defined(files(spark, sf_dir), segment.SMALL_GEARCDC).select("file_id", "seq", "offset", "chunk_size")
+
+
+@register("tar_segments")
+def tar_segments(spark, sf_dir):
+    """Every document as a member of an archive of its own, cut into headers and bodies."""
+    import io
+    import tarfile
+
+    @F.pandas_udf("binary")
+    def tarred(name, text):
+        def one(n, t):
+            out = io.BytesIO()
+            with tarfile.open(fileobj=out, mode="w", format=tarfile.USTAR_FORMAT) as tar:
+                info = tarfile.TarInfo(n)
+                info.size = len(bytes(t))
+                tar.addfile(info, io.BytesIO(bytes(t)))
+            return out.getvalue()
+
+        return name.combine(text, one)
+
+    f = files(spark, sf_dir).withColumn("content", tarred(F.concat(F.lit("v/"), F.col("path"), F.lit("/"), F.col("file_id").cast("string")), "content"))
+    return archive.tar_segments(f, 16).select("file_id", "seq", "kind", "offset", "chunk_size", names.strip_version(F.col("name")).alias("name"))
+
+
+# ---- names
+
+_PATH = "split_part(url, '://', 2)"
+
+
+def _paths(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.regexp_replace(F.split_part("url", F.lit("://"), F.lit(2)), "\\s", "").alias("name"))
+
+
+@register("path_strip_version", f"SELECT page_id, regexp_replace(regexp_replace({_PATH}, '\\s', '', 'g'), '^[^/]*/', '') AS member FROM pages")
+def path_strip_version(spark, sf_dir):
+    return _paths(spark, sf_dir).select("page_id", names.strip_version(F.col("name")).alias("member"))
+
+
+@register("path_directory", f"""WITH p AS (SELECT page_id, string_split(regexp_replace({_PATH}, '\\s', '', 'g'), '/') AS a FROM pages)
+SELECT page_id, CASE WHEN len(a) >= 2 THEN '/' || array_to_string(CASE WHEN len(a) - 1 >= 4 THEN a[2:len(a) - 2] ELSE a[2:len(a) - 1] END, '/') END AS directory FROM p""")
+def path_directory(spark, sf_dir):
+    return _paths(spark, sf_dir).select("page_id", names.directory_path(F.col("name")).alias("directory"))
+
+
+@register("name_hash_equality_groups", f"""SELECT h AS name_hash, count(*) AS n FROM (SELECT CAST(list_reduce(list_prepend(0::UHUGEINT, list_transform(range(1, octet_length(b) + 1), lambda i: ('0x' || hex(b[i:i]))::UHUGEINT)),
+  lambda x, y: (x * {names.NAME_PRIME}::UHUGEINT + y) % 18446744073709551616::UHUGEINT) AS VARCHAR) AS h FROM (SELECT encode(regexp_replace({_PATH}, '\\s', '', 'g')) AS b FROM pages)) GROUP BY h""")
+def name_hash_equality_groups(spark, sf_dir):
+    return _paths(spark, sf_dir).groupBy(names.name_hash("name").alias("name_hash")).agg(F.count("*").alias("n"))
+
+
+# ---- features
+
+
+@register("odess_features")
+def odess_features(spark, sf_dir):
+    u = small_unique(spark, sf_dir)
+    return u.where(F.col("chunk_size") > ft.MIN_SIZE).select("chunk_id", ft.odess_features("payload").alias("f"))
+
+
+@register("odess_sampled_positions")
+def odess_sampled_positions(spark, sf_dir):
+    return small_unique(spark, sf_dir).select("chunk_id", F.size(ft.sampled_features("payload")).alias("sampled"))
+
+
+@register("odess_super_features")
+def odess_super_features(spark, sf_dir):
+    return super_features(small_unique(spark, sf_dir))
+
+
+@register("tiered_super_features")
+def tiered_super_features(spark, sf_dir):
+    rows = small_unique(spark, sf_dir).select("chunk_id", ft.odess_features("payload").alias("f"))
+    return rows.select("chunk_id", F.explode(ft.tiered_super(F.col("f"))).alias("t")).select("chunk_id", "t.tier", "t.pos", "t.sf")
+
+
+@register("finesse_features")
+def finesse_features(spark, sf_dir):
+    return small_unique(spark, sf_dir).select("chunk_id", ft.finesse_features("payload").alias("f"))
+
+
+@register("finesse_super_features")
+def finesse_super_features(spark, sf_dir):
+    return super_features(small_unique(spark, sf_dir), "finesse", -1)
+
+
+@register("finesse_latest_match")
+def finesse_latest_match(spark, sf_dir):
+    return index.latest(super_features(small_unique(spark, sf_dir), "finesse", -1), per_position=True)
+
+
+@register("ntransform_features")
+def ntransform_features(spark, sf_dir):
+    return small_unique(spark, sf_dir).select("chunk_id", ft.ntransform_features("payload").alias("f"))
+
+
+# ---- index policies
+
+_HIT = "WITH {s}, h AS ({h}) SELECT chunk_id, arg_min(base_id, pos) AS base_id, CAST(min(pos) AS BIGINT) AS pos FROM h WHERE base_id IS NOT NULL GROUP BY chunk_id"
+_FRAME = "OVER (PARTITION BY sf ORDER BY chunk_id RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+_NTH = f"SELECT *, count(*) {_FRAME} AS n, row_number() OVER (PARTITION BY sf ORDER BY chunk_id, pos) - 1 AS nth FROM s"
+
+
+def _match(policy):
+    def run(spark, sf_dir):
+        out = policy(proxy_features(unique(spark, sf_dir)))
+        return out.withColumn("pos", F.col("pos").cast("long")) if "pos" in out.columns else out
+
+    return run
+
+
+register("sf_latest_match", _HIT.format(s=_S, h=f"SELECT chunk_id, pos, max(chunk_id) {_FRAME} AS base_id FROM s"))(_match(index.latest))
+register("sf_first_match", _HIT.format(s=_S, h=f"SELECT chunk_id, pos, min(chunk_id) {_FRAME} AS base_id FROM s"))(_match(index.first))
+register("sf_log2_match", _HIT.format(s=f"{_S}, n AS ({_NTH})", h="SELECT p.chunk_id, p.pos, q.chunk_id AS base_id FROM n p JOIN n q ON p.sf = q.sf AND q.nth = CASE WHEN p.n <= 1 THEN 0 ELSE CAST(pow(2, length(bin(p.n - 1)) - 1) AS BIGINT) END WHERE p.n > 0"))(_match(index.log2))
+register("sf_less4_match", _HIT.format(s=f"{_S}, n AS ({_NTH})", h="SELECT p.chunk_id, p.pos, q.chunk_id AS base_id FROM n p JOIN n q ON p.sf = q.sf AND q.nth = least(p.n - 1, 4) WHERE p.n > 0"))(_match(index.less4))
+register("sf_all_matches", f"""WITH {_S}, h AS (SELECT DISTINCT p.chunk_id, p.pos, q.chunk_id AS base_id FROM s p JOIN s q ON p.sf = q.sf AND q.chunk_id < p.chunk_id),
+b AS (SELECT chunk_id, min(pos) AS pos FROM h GROUP BY chunk_id) SELECT DISTINCT h.chunk_id, h.base_id FROM h JOIN b USING (chunk_id, pos)""")(_match(index.all_matches))
+
+_TIERS = f"""{_U}, t AS (SELECT chunk_id, version_no, tier, pos, hex(payload[16 * pos + 1:16 * pos + width]) AS sf FROM u, (SELECT unnest([0, 1, 2]) AS pos), (VALUES (1, 12), (2, 8), (3, 5)) w(tier, width) WHERE chunk_size = {SIZE}),
+l AS (SELECT *, max(chunk_id) OVER (PARTITION BY tier, sf ORDER BY chunk_id RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS base_id FROM t),
+a AS (SELECT l.chunk_id, l.tier, l.pos, l.base_id FROM l JOIN u b ON b.chunk_id = l.base_id WHERE NOT (tier = 2 AND l.version_no - b.version_no > 5) AND NOT (tier = 3 AND l.version_no - b.version_no > 2))"""
+
+
+@register("tiered_match_with_expiry", f"WITH {_TIERS} SELECT chunk_id, arg_min(base_id, tier * 10 + pos) AS base_id, CAST(min(tier * 10 + pos) // 10 AS BIGINT) AS tier, CAST(min(tier * 10 + pos) % 10 AS BIGINT) AS pos FROM a GROUP BY chunk_id")
+def tiered_match_with_expiry(spark, sf_dir):
+    u = unique(spark, sf_dir).where(F.col("chunk_size") == SIZE)
+    rows = F.array(*[F.struct(F.lit(t).alias("tier"), F.lit(p).alias("pos"), F.hex(F.substring("payload", 16 * p + 1, w)).alias("sf")) for t, w in ((1, 12), (2, 8), (3, 5)) for p in range(3)])
+    sf = u.select("chunk_id", "version_no", F.explode(rows).alias("x")).select("chunk_id", "version_no", "x.*")
+    return index.tiered(sf, {2: 5, 3: 2}).select("chunk_id", "base_id", F.col("tier").cast("long").alias("tier"), F.col("pos").cast("long").alias("pos"))
+
+
+@register("name_table_match", f"WITH {_U} SELECT * FROM (SELECT chunk_id, max(chunk_id) OVER (PARTITION BY version_no ORDER BY chunk_id RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS base_id FROM u) WHERE base_id IS NOT NULL")
+def name_table_match(spark, sf_dir):
+    return index.last_of_name(dedup.unique_chunks(chunks(spark, sf_dir)).select("chunk_id", F.col("version_no").alias("name")))
+
+
+@register("similar_records", f"WITH {_S} SELECT DISTINCT p.chunk_id AS key, q.chunk_id AS other FROM s p JOIN s q ON p.sf = q.sf AND p.chunk_id <> q.chunk_id")
+def similar_records(spark, sf_dir):
+    return index.similar_records(proxy_features(unique(spark, sf_dir)).select(F.col("chunk_id").alias("key"), "pos", "sf"))
+
+
+@register("similar_record_count", f"WITH {_S}, g AS (SELECT sf FROM s GROUP BY sf HAVING count(DISTINCT chunk_id) > 1) SELECT count(DISTINCT chunk_id) AS similar FROM s JOIN g USING (sf)")
+def similar_record_count(spark, sf_dir):
+    return index.count_similar(proxy_features(unique(spark, sf_dir)).select(F.col("chunk_id").alias("key"), "pos", "sf"))
+
+
+@register("locality_vs_feature", f"""WITH {_D}, n AS (SELECT chunk_id, max(chunk_id) OVER (PARTITION BY version_no ORDER BY chunk_id RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS base_id FROM u)
+SELECT CASE WHEN n.base_id IS NULL AND m.base_id IS NULL THEN 'none' WHEN n.base_id IS NULL THEN 'only_feature' WHEN m.base_id IS NULL THEN 'only_meta' WHEN n.base_id = m.base_id THEN 'same' ELSE 'different' END AS outcome, count(*) AS chunks
+FROM u LEFT JOIN n USING (chunk_id) LEFT JOIN m USING (chunk_id) GROUP BY 1""")
+def locality_vs_feature(spark, sf_dir):
+    u = unique(spark, sf_dir)
+    n = index.last_of_name(u.select("chunk_id", F.col("version_no").alias("name"))).withColumnRenamed("base_id", "n")
+    m = index.latest(proxy_features(u)).select("chunk_id", F.col("base_id").alias("m"))
+    both = u.select("chunk_id").join(n, "chunk_id", "left").join(m, "chunk_id", "left")
+    n, m = F.col("n"), F.col("m")
+    outcome = F.when(n.isNull() & m.isNull(), "none").when(n.isNull(), "only_feature").when(m.isNull(), "only_meta").when(n == m, "same").otherwise("different")
+    return both.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("chunks"))
+
+
+# ---- chains, containers, metrics
+
+_EDGES = f"{_S}, h AS (SELECT chunk_id, pos, min(chunk_id) {_FRAME} AS base_id FROM s), e AS (SELECT chunk_id, arg_min(base_id, pos) AS base_id FROM h WHERE base_id IS NOT NULL GROUP BY chunk_id)"
+_CHAIN = f"WITH RECURSIVE {_EDGES}, r AS (SELECT chunk_id AS node, base_id AS up, 1 AS depth FROM e UNION ALL SELECT r.node, e.base_id, r.depth + 1 FROM r JOIN e ON e.chunk_id = r.up), x AS (SELECT node, arg_max(up, depth) AS root, CAST(max(depth) AS BIGINT) AS depth FROM r GROUP BY node)"
+
+
+def _edges(spark, sf_dir):
+    return index.first(proxy_features(unique(spark, sf_dir))).select("chunk_id", "base_id")
+
+
+@register("ancestor_chain", f"{_CHAIN} SELECT * FROM x")
+def ancestor_chain(spark, sf_dir):
+    return store.chains(_edges(spark, sf_dir), cut).withColumn("depth", F.col("depth").cast("long"))
+
+
+@register("subtree_nodes", f"{_CHAIN} SELECT root, count(*) + 1 AS nodes, max(depth) AS deepest FROM x GROUP BY root")
+def subtree_nodes(spark, sf_dir):
+    return store.subtree_sizes(_edges(spark, sf_dir), cut).withColumn("deepest", F.col("deepest").cast("long"))
+
+
+@register("container_packing", f"""WITH RECURSIVE {_U}, q AS (SELECT version_no, chunk_id, chunk_size, row_number() OVER (PARTITION BY version_no ORDER BY chunk_id) AS i FROM u),
+r AS (SELECT version_no, i, chunk_id, chunk_size, 0 AS container_id, 0 AS container_offset FROM q WHERE i = 1
+  UNION ALL SELECT q.version_no, q.i, q.chunk_id, q.chunk_size, CASE WHEN r.container_offset + r.chunk_size + q.chunk_size > 4096 THEN r.container_id + 1 ELSE r.container_id END,
+    CASE WHEN r.container_offset + r.chunk_size + q.chunk_size > 4096 THEN 0 ELSE r.container_offset + r.chunk_size END FROM r JOIN q ON q.version_no = r.version_no AND q.i = r.i + 1)
+SELECT chunk_id, CAST(container_id AS BIGINT) AS container_id, CAST(container_offset AS BIGINT) AS container_offset FROM r""")
+def container_packing(spark, sf_dir):
+    u = dedup.unique_chunks(chunks(spark, sf_dir)).withColumn("stored", F.col("chunk_size"))
+    return store.pack(u, 4096).select("chunk_id", "container_id", "container_offset")
+
+
+_METRICS = f"""{_D}, lo AS (SELECT count(*) AS lc, sum(chunk_size) AS lb FROM k),
+a AS (SELECT lc AS logical_chunks, CAST(lb AS BIGINT) AS logical_bytes, count(*) AS unique_chunks, count(*) FILTER (kind <> 'DELTA') AS base_chunks, count(*) FILTER (kind = 'DELTA') AS delta_chunks,
+  CAST(sum(save_size) AS BIGINT) AS stored_bytes, CAST(coalesce(sum(save_size) FILTER (kind <> 'DELTA'), 0) AS BIGINT) AS base_bytes, CAST(coalesce(sum(save_size) FILTER (kind = 'DELTA'), 0) AS BIGINT) AS delta_bytes,
+  CAST(coalesce(sum(chunk_size) FILTER (kind = 'DELTA'), 0) AS BIGINT) AS dorig, CAST(coalesce(sum(chunk_size) FILTER (kind <> 'DELTA'), 0) AS BIGINT) AS borig, avg(chunk_size // save_size) FILTER (kind = 'DELTA') AS dce
+  FROM d, lo GROUP BY lc, lb),
+z AS (SELECT *, logical_bytes - borig - dorig AS dedup_reduct, borig - base_bytes AS local_reduct, dorig - delta_bytes AS delta_reduct FROM a)"""
+
+
+def _metrics(spark, sf_dir):
+    logical = chunks(spark, sf_dir).agg(F.count("*").alias("logical_chunks"), F.sum("chunk_size").alias("logical_bytes"))
+    return metrics.reduction(proxy_decisions(spark, sf_dir), logical)
+
+
+@register("reduction_metrics", f"""WITH {_METRICS} SELECT logical_chunks, logical_bytes, unique_chunks, base_chunks, delta_chunks, stored_bytes, base_bytes, delta_bytes, logical_bytes / stored_bytes AS ocr, delta_chunks / unique_chunks AS dcc,
+  CASE WHEN delta_bytes <> 0 THEN dorig / delta_bytes END AS dcr, dce, dedup_reduct, local_reduct, delta_reduct FROM z""")
+def reduction_metrics(spark, sf_dir):
+    return _metrics(spark, sf_dir)
+
+
+@register("reduction_cascade", f"WITH {_METRICS} SELECT logical_bytes / (logical_bytes - dedup_reduct) AS dedup_ratio, logical_bytes / (logical_bytes - dedup_reduct - local_reduct) AS lossless_ratio, logical_bytes / (logical_bytes - dedup_reduct - local_reduct - delta_reduct) AS delta_ratio FROM z")
+def reduction_cascade(spark, sf_dir):
+    return metrics.cascade(_metrics(spark, sf_dir))
+
+
+@register("index_overhead_model", f"WITH {_METRICS} SELECT unique_chunks * 112 AS fp_bytes, base_chunks * 120 AS sf_bytes, logical_chunks * 8 AS recipe_bytes, unique_chunks * 112 + base_chunks * 120 AS total_bytes, base_chunks * 3 AS sf_number FROM z")
+def index_overhead_model(spark, sf_dir):
+    return metrics.index_overhead(_metrics(spark, sf_dir))
+
+
+# ---- codecs and decisions; sizes depend on our codecs, so tests hold them against replays and round trips
+
+
+@register("lz4_sizes")
+def lz4_sizes(spark, sf_dir):
+    return small_unique(spark, sf_dir).select("chunk_id", "chunk_size", codec.lz4_sizes("payload").alias("lz4_size"))
+
+
+@register("delta_sizes")
+def delta_sizes(spark, sf_dir):
+    u = small_unique(spark, sf_dir)
+    base = u.select(F.col("chunk_id").alias("base_id"), F.col("payload").alias("base"))
+    return index.latest(super_features(u)).join(base, "base_id").join(u.select("chunk_id", "payload"), "chunk_id").select("chunk_id", "base_id", codec.delta_sizes("payload", "base").alias("delta_size"))
+
+
+@register("delta_round_trip_mismatches", "SELECT doc_id AS chunk_id FROM documents WHERE false")
+def delta_round_trip_mismatches(spark, sf_dir):
+    u = small_unique(spark, sf_dir)
+    base = u.select(F.col("chunk_id").alias("base_id"), F.col("payload").alias("base"))
+    pairs = index.latest(super_features(u)).join(base, "base_id").join(u.select("chunk_id", "payload"), "chunk_id")
+    return pairs.where(codec.delta_decode(codec.delta_encode("payload", "base"), "base") != F.col("payload")).select("chunk_id")
+
+
+def _decisions(method):
+    def run(spark, sf_dir):
+        u = small_unique(spark, sf_dir)
+        return ReductionPipeline("small_fastcdc", method).decide(u, u)["decisions"]
+
+    return run
+
+
+for _name, _method in (
+    ("dedup_decisions", "dedup"), ("ntransform_decisions", "ntransform"), ("finesse_decisions", "finesse"), ("odess_decisions", "odess"), ("palantir_decisions", "palantir"), ("bisearch_decisions", "bisearch"),
+    ("mibl_decisions", "mibl"), ("midf_decisions", "midf"), ("mibl2_decisions", "mibl2"), ("mibl3_decisions", "mibl3"), ("log2_decisions", "log2"), ("less4_decisions", "less4"),
+    ("tree_cut_decisions", "tree_cut"), ("tree_greedy_decisions", "tree_greedy"), ("best_base_all_greedy", "all_greedy"), ("tree_layer_decisions", "tree_layer"),
+):
+    register(_name)(_decisions(_method))
+
