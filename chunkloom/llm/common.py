@@ -57,3 +57,14 @@ def sliced(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def unused(taken: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as set it apart from all columns taken."""
+    lower, out = {t.lower() for t in taken}, []
+    for n in names:
+        n = f"_{n}"
+        while n.lower() in lower:
+            n = f"_{n}"
+        out.append(n)
+    return out

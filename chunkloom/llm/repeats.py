@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkloom.llm.common import cut, fan_out, sliced
+from chunkloom.llm.common import cut, fan_out, sliced, unused
 from chunkloom.llm.packed import BYTE_CODES, STEP, STEP_BACK, Words, column_bytes, powers, scramble, sliding_min
 
 SKETCH_BITS, BITMAP_BITS, CHUNKS = 21, 27, 64
@@ -381,29 +381,30 @@ def remove_repeats(docs: DataFrame, unit: Unit, index: Index, finish: Finish, sc
     doc_buckets = 4 * fan_out(docs)
     kept = cut(kept_windows(docs, unit, levels, bitmap, shards, index, doc_buckets))
     names = docs.columns
+    bucket_col, tag_col, data_col = unused(names, "bucket", "tag", "data")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column("doc_id").cast(pa.int64()).fill_null(NO_ID).to_numpy()
-            extra = {"_bucket": pa.array(doc_bucket(ids, doc_buckets), pa.int32()), "_tag": pa.array(np.ones(len(ids), np.int32)), "_data": pa.nulls(len(ids), pa.binary())}
+            extra = {bucket_col: pa.array(doc_bucket(ids, doc_buckets), pa.int32()), tag_col: pa.array(np.ones(len(ids), np.int32)), data_col: pa.nulls(len(ids), pa.binary())}
             yield pa.RecordBatch.from_arrays([*b.columns, *extra.values()], [*names, *extra])
 
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    tagged = docs.mapInArrow(place, f"{shape}, _bucket int, _tag int, _data binary")
-    marks = kept.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema.fields], F.col("bucket").alias("_bucket"), F.lit(0).alias("_tag"), F.col("data").alias("_data"))
+    tagged = docs.mapInArrow(place, f"{shape}, `{bucket_col}` int, `{tag_col}` int, `{data_col}` binary")
+    marks = kept.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema.fields], F.col("bucket").alias(bucket_col), F.lit(0).alias(tag_col), F.col("data").alias(data_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, parts, table = None, [], None
         for whole in batches:
             if not whole.num_rows:
                 continue
-            at, tag = whole.column("_bucket").to_numpy(), whole.column("_tag").to_numpy()
+            at, tag = whole.column(bucket_col).to_numpy(), whole.column(tag_col).to_numpy()
             edges = np.flatnonzero(np.diff(at) | np.diff(tag)) + 1
             for lo, hi in zip([0, *edges], [*edges, len(at)], strict=True):
                 if at[lo] != bucket:
                     bucket, parts, table = at[lo], [], None
                 if not tag[lo]:
-                    parts += whole.column("_data").slice(lo, hi - lo).to_pylist()
+                    parts += whole.column(data_col).slice(lo, hi - lo).to_pylist()
                     continue
                 if table is None:
                     pairs = [np.frombuffer(x, np.uint64).reshape(2, -1) for x in parts]
@@ -428,5 +429,5 @@ def remove_repeats(docs: DataFrame, unit: Unit, index: Index, finish: Finish, sc
                         gone[window + unit.length] -= 1
                     yield finish(b.select(names), u, np.cumsum(gone[:-1]) > 0)
 
-    both = tagged.unionByName(marks).repartition(2 * fan_out(docs), "_bucket").sortWithinPartitions("_bucket", "_tag")
+    both = tagged.unionByName(marks).repartition(2 * fan_out(docs), bucket_col).sortWithinPartitions(bucket_col, tag_col)
     return both.mapInArrow(run, schema)

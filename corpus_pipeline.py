@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkloom.llm import jaccard, mixing, quality, sentencepiece_bpe, substrings
-from chunkloom.llm.common import cut, ensure_checkpoint_dir, read_table
+from chunkloom.llm.common import cut, ensure_checkpoint_dir, read_table, unused
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +33,9 @@ def remove_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it. Rows that share an id share the most copies that one of them gets."""
-    taken = mixing.mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").cast("int").alias("_copies"))
-    return docs.join(taken, docs["doc_id"].eqNullSafe(F.col("_id"))).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy")).drop("_copy")
+    key, copies, nth = unused(docs.columns, "id", "copies", "copy")
+    taken = mixing.mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").cast("int").alias(copies))
+    return docs.join(taken, docs["doc_id"].eqNullSafe(taken[key])).select(*docs.columns, F.explode(F.sequence(F.lit(1), copies)).alias(nth)).select(*docs.columns)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
