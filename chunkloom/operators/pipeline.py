@@ -49,7 +49,8 @@ class ReductionPipeline:
         if m == "dedup":
             decisions = reduce.by_candidates(unique, unique.sparkSession.createDataFrame([], "chunk_id long, base_id long"))
         elif m in POLICIES:
-            decisions = reduce.by_candidates(unique, POLICIES[m](super_features(unique, gate=self.gate)))
+            # chunks without features would all pair with each other under all_greedy
+            decisions = reduce.by_candidates(unique, POLICIES[m](super_features(unique, gate=self.gate, zeros=m != "all_greedy")))
         elif m == "bisearch":
             names = index.last_of_name(unique.select("chunk_id", F.col("file_id").alias("name")))
             decisions = reduce.locality(unique, names, None, index.latest(super_features(unique, gate=-1)))
