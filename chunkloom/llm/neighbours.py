@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from chunkloom.llm.common import cut, fan_out
 
 SAMPLE, BRANCHES, LEAF_POINTS, MAX_LEAVES = 20_000, 8, 256, 4096
-CALIBRATION, TARGET_RECALL, BLOCK, SEED = 64, 0.97, 4096, 5
+CALIBRATION, TARGET_RECALL, BLOCK, SEED = 128, 0.95, 4096, 5
+#: Rows of results that a task gathers before it keeps the best of each query only.
+GATHER = 400_000
 
 
 @dataclass
@@ -176,6 +178,20 @@ def search(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, own, ids, ready = None, [], [], None
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def reduced() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            q, pid, s = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((pid, -s, q))
+            q, pid, s = q[order], pid[order], s[order]
+            begin = np.flatnonzero(np.diff(q, prepend=q[0] - 1))
+            nth = np.arange(len(q)) - np.repeat(begin, np.diff(np.append(begin, len(q))))
+            return q[nth <= k], pid[nth <= k], s[nth <= k]
+
+        def batch(rows: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"q": pa.array(rows[0], pa.int64()), "pid": pa.array(rows[1], pa.int64()), "score": pa.array(rows[2], pa.float64())})
+
         for b in batches:
             leaf, block, tag = (b.column(c).to_numpy() for c in ("leaf", "block", "tag"))
             edges = np.flatnonzero(np.diff(leaf) | np.diff(block) | np.diff(tag)) + 1
@@ -195,15 +211,22 @@ def search(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
                 if ready is None:
                     ready = np.concatenate(own), np.concatenate(ids)
                 for lo in range(0, len(m), 256):
-                    q, qid = m[lo : lo + 256], pids[lo : lo + 256]
-                    s = q @ ready[0].T
+                    s = m[lo : lo + 256] @ ready[0].T
                     keep = min(k + 1, s.shape[1])
-                    top = np.argpartition(-s, keep - 1, axis=1)[:, :keep] if keep < s.shape[1] else np.tile(np.arange(keep), (len(q), 1))
                     # all that tie with the last one stay, so that ids decide later
-                    last = np.take_along_axis(s, top, axis=1).min(axis=1)
-                    i, j = np.nonzero(s >= (last - 1e-12 * np.abs(last))[:, None])
-                    score = np.array([np.dot(q[a], ready[0][c]) for a, c in zip(i.tolist(), j.tolist(), strict=True)])
-                    yield pa.RecordBatch.from_pydict({"q": pa.array(qid[i], pa.int64()), "pid": pa.array(ready[1][j], pa.int64()), "score": pa.array(score, pa.float64())})
+                    last = np.partition(s, s.shape[1] - keep, axis=1)[:, s.shape[1] - keep]
+                    i, j = np.nonzero(s >= last[:, None])
+                    held.append((pids[lo + i], ready[1][j], s[i, j]))
+                    size += len(i)
+                    if size > GATHER:
+                        rows = reduced()
+                        held = [rows]
+                        size = len(rows[0])
+                        if size > GATHER // 2:  # many queries: what they have so far goes on
+                            yield batch(rows)
+                            held, size = [], 0
+        if held:
+            yield batch(reduced())
 
     near = both.mapInArrow(compare, "q long, pid long, score double")
     best = Window.partitionBy("q").orderBy(F.desc("score"), "pid")
@@ -215,12 +238,14 @@ def search(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
 
 
 def _calibrate(points: DataFrame, asked: DataFrame, tree: Tree, k: int, target: float) -> int:
-    """Leaves to visit: the fewest that hold `target` of the true neighbours of up to CALIBRATION queries."""
-    ids = [r["pid"] for r in asked.select("pid").distinct().orderBy(F.xxhash64("pid"), "pid").limit(CALIBRATION).collect()]
+    """Leaves to visit: the fewest that hold `target` of the true neighbours of up to CALIBRATION queries. Queries are
+    drawn as rows, so a vector that many of them have counts as often."""
+    ids = [r["pid"] for r in asked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(CALIBRATION).collect()]
     if not ids:
         return tree.leaves
-    some = {r["pid"]: np.frombuffer(bytes(r["v"]), np.float64) for r in points.where(F.col("pid").isin(ids)).select("pid", "v").collect()}
+    some = {r["pid"]: np.frombuffer(bytes(r["v"]), np.float64) for r in points.where(F.col("pid").isin(sorted(set(ids)))).select("pid", "v").collect()}
     names = sorted(some)
+    weight = [ids.count(i) for i in names]
     q = np.stack([some[i] for i in names])
 
     def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,5 +261,5 @@ def _calibrate(points: DataFrame, asked: DataFrame, tree: Tree, k: int, target:
     w = Window.partitionBy("q").orderBy(F.desc("score"), "leaf")
     true = points.select("v").mapInArrow(brute, "q int, leaf int, score double").withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).collect()
     order = [{leaf: i for i, leaf in enumerate(tree.visit(v, tree.leaves))} for v in q]
-    need = sorted(order[r["q"]][r["leaf"]] + 1 for r in true)
+    need = sorted(order[r["q"]][r["leaf"]] + 1 for r in true for _ in range(weight[r["q"]]))
     return need[min(len(need) - 1, int(np.ceil(target * len(need))) - 1)]
