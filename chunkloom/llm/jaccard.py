@@ -178,9 +178,9 @@ def prefixes(docs: DataFrame, levels: np.ndarray, buckets: int) -> DataFrame:
 
 
 def _admit(n1: np.ndarray, p1: np.ndarray, n2: np.ndarray, p2: np.ndarray) -> np.ndarray:
-    """Length filter and positional filter: up to min(p1, p2) shared before, this one, and the shorter rest."""
-    most = np.minimum(p1, p2) + 1 + np.minimum(n1 - p1, n2 - p2) - 1
-    return (DEN * np.minimum(n1, n2) >= NUM * np.maximum(n1, n2)) & (most >= overlap_needed(n1, n2))
+    """Length filter and positional filter. A pair is judged in the group of the first shingle that its sets share, where
+    only this one and what stands behind it can overlap; in groups of later ones it may fail, as the first has it."""
+    return (DEN * np.minimum(n1, n2) >= NUM * np.maximum(n1, n2)) & (np.minimum(n1 - p1, n2 - p2) >= overlap_needed(n1, n2))
 
 
 def _across(node: np.ndarray, n: np.ndarray, pos: np.ndarray, label: np.ndarray | None = None) -> Iterator[np.ndarray]:
