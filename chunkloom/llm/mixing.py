@@ -29,6 +29,8 @@ WEIGHTS, FACTOR, CAP = (5, 2, 1), 1.5, 2.0
 #: Fixed point of rates, and of sums of tokens. Documents in a bucket of the prefix sums.
 RATE_ONE, SUM_ONE, BUCKET = 1 << 20, 1 << 10, 4096
 TOLERANCE, MAX_STEPS = 1e-6, 60
+#: A table of sources is sent to all tasks up to this many rows (some MB); beyond, it is joined by shuffling.
+FEW_SOURCES = 50_000
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -109,12 +111,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, factor: float = F
     keyed = base.join(targets.select("sid", F.col("source").alias("_s"), "source_size", "target"), base["source"].eqNullSafe(F.col("_s"))).drop("_s")
     hist = cut(keyed.groupBy("sid", "size").agg(F.count("*").alias("count")))
     lam = balance(hist, targets, cap)
+    per_source = F.broadcast if targets.count() <= FEW_SOURCES else lambda df: df
     size_class = F.when(F.col("size") > 0, F.floor(F.log2(F.col("size").cast("double")) * 8).cast("int")).otherwise(F.lit(-1))
     spread = hist.groupBy("sid", size_class.alias("bin")).agg(F.ceil(F.sum("count") / BUCKET).cast("long").alias("buckets"))
     rate = F.least(F.lit(cap), F.exp(F.least(F.col("lam") * _tilt(F.col("size"), F.col("mean")), F.lit(64.0))))
     placed = (
         keyed.withColumn("bin", size_class).withColumn("spot", F.xxhash64("doc_id"))
-        .join(spread, ["sid", "bin"]).join(lam, "sid")
+        .join(per_source(lam), "sid").join(spread, ["sid", "bin"])
         .select("doc_id", "source", "sid", "size", "source_size", "target", "bin", "spot", F.pmod(F.shiftright("spot", 8), F.col("buckets")).alias("bucket"), F.round(rate * RATE_ONE).cast("long").alias("rate"))
     )
     ahead = _prefix(placed, "rate", "ahead")
@@ -123,6 +126,6 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, factor: float = F
     left = rounded.groupBy("sid").agg((F.round(F.first("target")).cast("long") - F.sum(F.col("copies") * F.col("size"))).alias("left"))
     # the smallest documents that may take one copy more (or less) even out what is left
     fit = (F.col("left") > 0) & (F.col("copies") + 1 <= cap) | (F.col("left") < 0) & (F.col("copies") > 0)
-    small = rounded.join(left, "sid").withColumn("room", F.when(fit & (F.col("size") <= F.abs("left")), F.col("size")).otherwise(F.lit(0).cast("long")))
+    small = rounded.join(per_source(left), "sid").withColumn("room", F.when(fit & (F.col("size") <= F.abs("left")), F.col("size")).otherwise(F.lit(0).cast("long")))
     evened = _prefix(small, "room", "used").withColumn("copies", F.col("copies") + F.when((F.col("room") > 0) & (F.col("used") + F.col("room") <= F.abs("left")), F.signum(F.col("left").cast("double")).cast("long")).otherwise(F.lit(0).cast("long")))
     return evened.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source", (F.col("rate") / RATE_ONE).alias("rate"))
