@@ -34,11 +34,11 @@ from chunkloom.llm.packed import STEP, Words, column_bytes, scramble
 K = 5
 #: The similarity as a fraction: links need 5 * overlap >= 4 * union.
 NUM, DEN = 4, 5
-SKETCH_BITS, CHUNKS = 21, 64
+SKETCH_BITS, CHUNKS = 23, 64
 #: Groups up to this size give all their pairs at once. Pairs of a node that one task verifies. Bits of the node filter.
 SMALL_GROUP, SPREAD, FILTER_BITS = 12, 1024, 23
 BINS = 64
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 def shingle_sets(column: pa.Array) -> list[np.ndarray]:
