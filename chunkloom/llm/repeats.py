@@ -31,7 +31,7 @@ from chunkloom.llm.packed import BYTE_CODES, STEP, STEP_BACK, Words, column_byte
 SKETCH_BITS, BITMAP_BITS, CHUNKS = 21, 27, 64
 #: Windows in a segment at most. Units of text in a shard, about.
 RUN, SHARD_UNITS = 64, 750_000
-SLICE = 1 << 20
+SLICE = 1 << 18
 NO_ID = np.iinfo(np.int64).min
 
 
@@ -316,7 +316,7 @@ def kept_windows(docs: DataFrame, unit: Unit, levels: np.ndarray, bitmap: np.nda
                 first = order[np.concatenate(([True], name[order][1:] != name[order][:-1]))]
                 held.append(Segments(name[first], doc[first], pos[first], count[first], shard[first], n[first], _gather(u.code, start[first], n[first])))
                 size += held[-1].code.nbytes + 40 * len(first)
-                if size > 48 << 20:
+                if size > 24 << 20:
                     yield flush()
                     size = 0
         if held:

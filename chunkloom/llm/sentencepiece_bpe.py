@@ -30,7 +30,7 @@ SPACE = "▁"
 # Piece types of the model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Words (in each of two generations) and pairs of pieces whose results are kept in each Python worker.
-KEEP_WORDS, KEEP_PAIRS = 300_000, 400_000
+KEEP_WORDS, KEEP_PAIRS = 150_000, 200_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int, object]]:
