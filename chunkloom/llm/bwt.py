@@ -72,20 +72,33 @@ class Bwt:
             ahead = np.zeros(n, np.int64)
             ahead[: n - j] = text[j:]
             key = key << bits | np.where(left > j, ahead, 0)
-        h = pack
         # suffixes that reach their mark within the first h symbols are told apart by the number of their segment
-        rank = self._ranks(key, left, number, h)
-        self.at_depth: tuple[int, np.ndarray] | None = None
-        while True:
-            if h <= depth and (self.at_depth is None or h > self.at_depth[0]):
-                self.at_depth = (h, rank)
-            if int(rank.max(initial=0)) == n - 1:
-                break
-            then = np.empty(n, np.int64)
-            then[: n - h] = rank[h:] if h < n else 0
-            key = rank << 31 | np.where(left < h, 0, np.where(np.arange(n) + h < n, then, 0))
-            rank = self._ranks(key, left, number, 2 * h)
+        h = pack
+        order = np.argsort(key, kind="stable")  # stable: equal keys stay in the order of segments
+        k = key[order]
+        new = np.ones(n, bool)
+        new[1:] = (k[1:] != k[:-1]) | (left[order][1:] < h)
+        begin = np.flatnonzero(new)
+        size_of = np.diff(np.append(begin, n))
+        rank = np.empty(n, np.int64)  # suffixes that are smaller in their first h symbols
+        rank[order] = np.repeat(begin, size_of)
+        open_ = order[np.repeat(size_of > 1, size_of)]
+        self.at_depth = (h, rank.copy())
+        while len(open_):  # doubling, on suffixes that still tie only
+            then = np.where(left[open_] < h, number[open_], len(size) + rank[np.minimum(open_ + h, n - 1)])
+            key = rank[open_] << 32 | then
+            order = np.argsort(key)
+            open_, key = open_[order], key[order]
+            own, at = rank[open_], np.arange(len(open_))
+            run, group = np.ones(len(open_), bool), np.ones(len(open_), bool)
+            run[1:], group[1:] = key[1:] != key[:-1], own[1:] != own[:-1]
+            rank[open_] = own + np.maximum.accumulate(np.where(run, at, 0)) - np.maximum.accumulate(np.where(group, at, 0))
+            single = run.copy()
+            single[:-1] &= run[1:]
+            open_ = open_[~single]
             h *= 2
+            if h <= depth:
+                self.at_depth = (h, rank.copy())
         self.rank = rank
         self.sa = np.empty(n, np.int64)
         self.sa[rank] = np.arange(n)
@@ -96,17 +109,15 @@ class Bwt:
         np.cumsum(np.bincount(text, minlength=self.sigma), out=self.first[1:])
         symbols = np.arange(self.sigma)
         self.shift = self.first[:-1] - self.tree.down(symbols, np.zeros(self.sigma, np.int64))
+        self.before = before
 
-    @staticmethod
-    def _ranks(key: np.ndarray, left: np.ndarray, number: np.ndarray, h: int) -> np.ndarray:
-        """Dense ranks by key; equal keys that have met their mark are ranked by segment."""
-        order = np.argsort(key, kind="stable")  # stable: equal keys stay in the order of segments
-        k = key[order]
-        new = np.ones(len(k), bool)
-        new[1:] = (k[1:] != k[:-1]) | (left[order][1:] < h)
-        rank = np.empty(len(k), np.int64)
-        rank[order] = np.cumsum(new) - 1
-        return rank
+    def steps(self) -> np.ndarray:
+        """The row of the suffix one symbol longer, for each row; rows before which a mark stands lead to -1."""
+        small = self.before.astype(np.uint8 if self.sigma <= 256 else np.uint16 if self.sigma <= 65536 else np.int64)
+        out = np.empty(self.n, np.int64)
+        out[np.argsort(small, kind="stable")] = np.arange(self.n)
+        out[self.before == 0] = -1
+        return out
 
     def extend(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows of the strings symbol + w, from the rows of the strings w."""

@@ -35,14 +35,24 @@ def bounded_intervals(b: Bwt, length: int) -> np.ndarray:
     lo = np.concatenate((np.arange(b.marks), b.first[some]))
     hi = np.concatenate((np.arange(b.marks) + 1, b.first[some + 1]))
     divided[hi] = True
+    step = b.steps()
+    alone = lo[hi - lo == 1]  # intervals of one row have one extension: a step on the transform
+    lo, hi = lo[hi - lo > 1], hi[hi - lo > 1]
     for _ in range(1, length):
-        if not len(lo):
+        if not len(lo) and not len(alone):
             break
+        alone = step[alone]
+        alone = alone[alone >= 0]
         symbol, lo, hi = b.tree.symbols(lo, hi)
-        hi = b.shift[symbol] + hi
+        lo, hi = b.shift[symbol] + lo, b.shift[symbol] + hi
+        # ends of two intervals of one round differ, as do their strings
+        alone = alone[~divided[alone + 1]]
         new = (symbol > 0) & ~divided[hi]
-        lo, hi = (b.shift[symbol] + lo)[new], hi[new]
+        lo, hi = lo[new], hi[new]
+        divided[alone + 1] = True
         divided[hi] = True
+        alone = np.concatenate((alone, lo[hi - lo == 1]))
+        lo, hi = lo[hi - lo > 1], hi[hi - lo > 1]
     return divided
 
 
