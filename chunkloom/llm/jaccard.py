@@ -10,7 +10,9 @@
    links within a class change nothing, no class is lost, and a group of n copies costs about n pairs.
 4. Distinct pairs pass the suffix filter (shingles counted by hash range bound the overlap), then are verified, once,
    on the whole sets of their texts. A node with many pairs is spread over several tasks.
-5. Large groups that still hold several classes are paired out across classes and verified in the same way.
+5. Large groups that still hold several classes are searched across classes, with the suffix filter in finer ranges:
+   first for pairs that likely link, at most one for each class to be joined, then for all pairs that are left.
+   These are verified in the same way.
 
 Defined results: null, empty or blank texts have n_shingles 0 and form a class each; texts of under five words have one
 shingle, the whole sequence; rows that share a doc_id are each judged by their own text; extra columns are ignored; an
@@ -38,6 +40,9 @@ SKETCH_BITS, CHUNKS = 23, 64
 #: Groups up to this size give all their pairs at once. Pairs of a node that one task verifies. Bits of the node filter.
 SMALL_GROUP, SPREAD, FILTER_BITS = 12, 1024, 23
 BINS = 64
+#: Ranges of the suffix filter within large groups; members of a group that one task holds (twice).
+FINE_BITS, BLOCK = 10, 4096
+FINE = 1 << FINE_BITS
 SLICE = 1 << 18
 
 
@@ -183,14 +188,12 @@ def _admit(n1: np.ndarray, p1: np.ndarray, n2: np.ndarray, p2: np.ndarray) -> np
     return (DEN * np.minimum(n1, n2) >= NUM * np.maximum(n1, n2)) & (np.minimum(n1 - p1, n2 - p2) >= overlap_needed(n1, n2))
 
 
-def _across(node: np.ndarray, n: np.ndarray, pos: np.ndarray, label: np.ndarray | None = None) -> Iterator[np.ndarray]:
-    """Pairs (2 x m) of a group's members, sorted by n, that pass the filters and have different labels."""
+def _across(node: np.ndarray, n: np.ndarray, pos: np.ndarray) -> Iterator[np.ndarray]:
+    """Pairs (2 x m) of a group's members, sorted by n, that pass the filters."""
     for i in range(len(node) - 1):
         stop = np.searchsorted(n, n[i] * DEN // NUM, "right")
         j = np.arange(i + 1, stop)
         j = j[_admit(n[i], pos[i], n[j], pos[j]) & (node[j] != node[i])]
-        if label is not None:
-            j = j[label[j] != label[i]]
         if len(j):
             yield np.stack([np.full(len(j), node[i]), node[j]])
 
@@ -251,11 +254,58 @@ def group_pairs(packed: DataFrame, buckets: int) -> DataFrame:
     return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, PAIRS)
 
 
-def cross_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of members of one large group whose classes still differ. members: a (shingle), b (node), n, pos."""
+def fine_counts(texts: DataFrame) -> DataFrame:
+    """node, fine: each set's shingles counted in FINE hash ranges, packed; counts stop at 255."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                sets = shingle_sets(pa.array([zlib.decompress(x) for x in part.column("text").to_pylist()], pa.large_binary()))
+                bins = [np.minimum(np.bincount((s >> np.uint64(64 - FINE_BITS)).astype(np.int64), minlength=FINE), 255).astype(np.uint8) for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([zlib.compress(x.tobytes(), 1) for x in bins], pa.binary())], ["node", "fine"])
+
+    return texts.mapInArrow(run, "node long, fine binary")
+
+
+def _close(n: np.ndarray, pos: np.ndarray, label: np.ndarray, block: np.ndarray, bins: np.ndarray, spanning: bool) -> Iterator[np.ndarray]:
+    """Pairs (2 x m, places) of a group's members, sorted by n, that pass all filters, the suffix filter in fine ranges
+    included, and have different labels; only pairs of the two blocks where there are two. Spanning: pairs that likely
+    link, and of these only what joins labels not yet joined by pairs before, at most one pair a label."""
+    label, full, two = label.copy(), (bins == 255).any(axis=1), block.min() != block.max()
+    for i in range(len(n) - 1):
+        stop = np.searchsorted(n, n[i] * DEN // NUM, "right")
+        j = np.arange(i + 1, stop)
+        j = j[(label[j] != label[i]) & _admit(n[i], pos[i], n[j], pos[j])]
+        if two:
+            j = j[block[j] != block[i]]
+        if not len(j):
+            continue
+        bound = np.minimum(bins[j], bins[i]).sum(axis=1, dtype=np.int64)
+        margin = bound - overlap_needed(n[i], n[j])
+        if spanning:
+            # chance matches of what the sets do not share raise the bound; the pairs left out here come in the end
+            margin = margin - ((n[i] - bound) * (n[j] - bound) // FINE + 1)
+            j, margin = j[margin >= 0], margin[margin >= 0]
+            best = np.argsort(-margin, kind="stable")
+            _, first = np.unique(label[j[best]], return_index=True)
+            j = j[best[first]]
+            label[np.isin(label, label[j])] = label[i]
+        else:
+            j = j[(margin >= 0) | full[j] | full[i]]
+        if len(j):
+            yield np.stack([np.full(len(j), i), j])
+
+
+def cross_pairs(members: DataFrame, labels: DataFrame, fine: DataFrame, spanning: bool) -> DataFrame:
+    """Pairs of members of one large group whose classes still differ. members: a (shingle), b (node), n, pos. Groups
+    beyond BLOCK members are dealt in pairs of blocks, so that no task holds more than two blocks of a group."""
     labelled = members.join(labels.select(F.col("node").alias("b"), F.col("component").alias("label")), "b", "left").withColumn("label", F.coalesce("label", "b"))
-    open_ = labelled.groupBy("a").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("a")
-    left = labelled.join(open_, "a", "left_semi")
+    open_ = labelled.groupBy("a").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("k")).where("lo <> hi").select("a", "k")
+    left = labelled.join(open_, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("k")).cast("int"))
+    left = left.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
+    left = left.select("a", "b", "n", "pos", "label", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    left = left.join(fine.withColumnRenamed("node", "b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -264,33 +314,37 @@ def cross_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
         def one() -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(held)
             held.clear()
+            node, n, pos, label, block = (t.column(c).to_numpy() for c in ("b", "n", "pos", "label", "block"))
+            bins = np.frombuffer(b"".join(zlib.decompress(x) for x in t.column("fine").to_pylist()), np.uint8).reshape(-1, FINE)
             found, size = [], 0
-            for p in _across(*(t.column(c).to_numpy() for c in ("b", "n", "pos", "label"))):
+            for p in _close(n, pos, label, block, bins, spanning):
                 found.append(p)
                 size += p.shape[1]
                 if size > 1 << 18:
-                    x = np.concatenate(found, axis=1)
-                    yield pa.RecordBatch.from_pydict({"a": pa.array(x[0]), "b": pa.array(x[1])})
+                    yield out(node, found)
                     found, size = [], 0
             if found:
-                x = np.concatenate(found, axis=1)
-                yield pa.RecordBatch.from_pydict({"a": pa.array(x[0]), "b": pa.array(x[1])})
+                yield out(node, found)
+
+        def out(node: np.ndarray, found: list[np.ndarray]) -> pa.RecordBatch:
+            p = np.sort(node[np.concatenate(found, axis=1)], axis=0)
+            return pa.RecordBatch.from_pydict({"a": pa.array(p[0]), "b": pa.array(p[1])})
 
         for b in batches:
             if not b.num_rows:
                 continue
-            a = b.column("a").to_numpy()
-            edges = np.flatnonzero(np.diff(a)) + 1
-            for start, stop in zip([0, *edges], [*edges, len(a)], strict=True):
-                if held and a[start] != key:
+            keys = np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("a", "x", "y")])
+            edges = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            for start, stop in zip([0, *edges], [*edges, b.num_rows], strict=True):
+                now = tuple(keys[:, start])
+                if held and now != key:
                     yield from one()
-                key = a[start]
+                key = now
                 held.append(b.slice(start, stop - start))
         if held:
             yield from one()
 
-    ordered = left.select("a", "b", "n", "pos", "label").repartition(fan_out(members), "a").sortWithinPartitions("a", "n", "b")
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+    return left.repartition(fan_out(members), "a", "x", "y").sortWithinPartitions("a", "x", "y", "n", "b").mapInArrow(run, "a long, b long").distinct()
 
 
 def suffix_filter(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -388,22 +442,21 @@ def classes(docs: DataFrame) -> DataFrame:
     buckets = 4 * fan_out(docs)
     grouped = cut(group_pairs(prefixes(docs, levels, buckets), buckets))
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        pairs = cut(suffix_filter(pairs, nodes))
-        wanted = cut(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
-        return cut(verify(pairs, node_texts(docs, wanted)))
-
-    def settle(links: DataFrame) -> DataFrame:
-        return cut(components(links))
-
-    links = linked(grouped.where("kind = 0").select("a", "b").distinct())
-    found = settle(links)
+    near = cut(suffix_filter(grouped.where("kind = 0").select("a", "b").distinct(), nodes))
     members = grouped.where("kind = 1").select("a", "b", "n", "pos")
-    more = cut(cross_pairs(members, found))
-    if not more.isEmpty():
-        new = linked(more)
-        if not new.isEmpty():
-            found = settle(links.unionByName(new))
+    inside = members.select(F.col("b").alias("node")).distinct()
+    wanted = cut(near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).unionByName(inside).distinct())
+    texts = cut(node_texts(docs, wanted))
+    links = cut(verify(near, texts))
+    found = cut(components(links))
+    fine = cut(fine_counts(texts.join(inside, "node", "left_semi")))
+    # first what joins the most classes with the fewest pairs, then all pairs across classes that are left
+    for spanning in (True, False):
+        more = cut(cross_pairs(members, found, fine, spanning))
+        new = None if more.isEmpty() else cut(verify(more, texts))
+        if new is not None and not new.isEmpty():
+            links = links.unionByName(new)
+            found = cut(components(links))
     # classes by their smallest document
     full = nodes.select("node", "rep").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = full.groupBy("component").agg(F.min("rep").alias("component_id"))
