@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from chunkloom.llm import bwt, jaccard, substrings, suffixes
+from chunkloom.llm import bwt, components, jaccard, substrings, suffixes
 
 
 def shingles(text):
@@ -60,6 +60,30 @@ def test_classes_match_brute_force(spark, seed):
     assert got == classes(rows)
 
 
+@pytest.mark.parametrize("one_task", [0, 1 << 20])
+def test_classes_in_blocks_and_rounds(spark, monkeypatch, one_task):
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(components, "ONE_TASK", one_task)
+    rows = corpus(3)
+    got = sorted(map(tuple, jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()), key=repr)
+    assert got == classes(rows)
+
+
+@pytest.mark.parametrize("one_task", [0, 1 << 20])
+def test_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr(components, "ONE_TASK", one_task)
+    r = random.Random(4)
+    links = [(i, i + 1) for i in range(-40, 0)] + [(r.randint(1, 300), r.randint(1, 300)) for _ in range(120)] + [(500, 500), (1, 2), (1, 2)]
+    up = {x: x for p in links for x in p}
+    for _ in up:
+        for a, b in links:
+            up[a] = up[b] = min(up[a], up[b])
+    want = {x: c for x, c in up.items() if any(x in p and p[0] != p[1] for p in links)}
+    frame = spark.createDataFrame(links, "a long, b long")
+    assert dict(map(tuple, components.components(frame).collect())) == want
+    assert components.components(frame.limit(0)).count() == 0
+
+
 def test_class_edges(spark, edge):
     rows = [(r.doc_id, r.text) for r in edge.collect()]
     assert sorted(map(tuple, jaccard.classes(edge).collect()), key=repr) == classes(rows)
