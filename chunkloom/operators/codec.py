@@ -19,13 +19,18 @@ def lz4_size(data: bytes) -> int:
     return min(len(data), len(_LZ4.compress(data, asbytes=True))) if data else 0
 
 
-def delta_parts(target: bytes, base: bytes) -> tuple[list[tuple[int, int, int]], bytes]:
+def add_blocks(known: dict[bytes, int], base: bytes | bytearray, start: int = 0) -> None:
+    """The places of base's blocks of STEP bytes from `start` (a multiple of STEP); of equal blocks the first counts."""
+    for i in range(start, len(base) - STEP + 1, STEP):
+        known.setdefault(bytes(base[i : i + STEP]), i)
+
+
+def delta_parts(target: bytes, base: bytes | bytearray, known: dict[bytes, int] | None = None) -> tuple[list[tuple[int, int, int]], bytes]:
     """Runs (copy offset or -1, length, place among the added bytes) and the added bytes.
 
     Blocks of STEP bytes of the base are known by content; a match at any target byte grows both ways."""
-    known: dict[bytes, int] = {}
-    for i in range(0, len(base) - STEP + 1, STEP):
-        known.setdefault(base[i : i + STEP], i)
+    if known is None:
+        add_blocks(known := {}, base)
     runs: list[tuple[int, int, int]] = []
     added = bytearray()
     at = lit = 0
@@ -54,7 +59,10 @@ def delta_parts(target: bytes, base: bytes) -> tuple[list[tuple[int, int, int]],
 
 
 def encode(target: bytes, base: bytes) -> bytes:
-    runs, added = delta_parts(target, base)
+    return pack(*delta_parts(target, base))
+
+
+def pack(runs: list[tuple[int, int, int]], added: bytes) -> bytes:
     ops = b"".join(struct.pack("<iI", src, size) for src, size, _ in runs)
     return struct.pack("<I", len(runs)) + zlib.compress(ops + added, 6)
 

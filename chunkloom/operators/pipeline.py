@@ -49,17 +49,17 @@ class ReductionPipeline:
         if m == "dedup":
             decisions = reduce.by_candidates(unique, unique.sparkSession.createDataFrame([], "chunk_id long, base_id long"))
         elif m in POLICIES:
-            # chunks without features would all pair with each other under all_greedy
-            decisions = reduce.by_candidates(unique, POLICIES[m](super_features(unique, gate=self.gate, zeros=m != "all_greedy")))
+            sf = super_features(unique, gate=self.gate)
+            decisions = reduce.by_candidates(unique, reduce.close_matches(unique, sf) if m == "all_greedy" else POLICIES[m](sf))
         elif m == "bisearch":
             names = index.last_of_name(unique.select("chunk_id", F.col("file_id").alias("name")))
             decisions = reduce.locality(unique, names, None, index.latest(super_features(unique, gate=-1)))
         else:
             family = m if m in ("ntransform", "finesse") else "odess"
             gate = -1 if m in ("ntransform", "finesse", "palantir") else self.gate
-            sf = super_features(unique, family, gate, zeros=False)
+            sf = super_features(unique, family, gate)
             if m == "palantir":
-                rows = cut(unique.select("chunk_id", ft.odess_features("payload").alias("f"))).where(F.exists("f", lambda x: x != 0))
+                rows = cut(unique.select("chunk_id", ft.odess_features("payload").alias("f")))
                 sf = rows.select("chunk_id", F.explode(ft.tiered_super(F.col("f"))).alias("t")).select("chunk_id", (F.col("t.tier") * 10 + F.col("t.pos")).alias("pos"), "t.sf")
             samples = unique.select("chunk_id", ft.sampled_features("payload").alias("s")) if m == "mibl3" else None
             decisions = reduce.replay(unique, sf, m, samples, reduce.lz4_ratio(unique) if m == "palantir" else 1.0)

@@ -2,21 +2,21 @@
 
 Order-free methods are joins: their index holds every earlier chunk, whatever was decided about it. The others depend
 on earlier decisions, but only among chunks that share a super-feature; each such component is replayed in order of
-chunk_id, and components run in parallel. Chunks without any sampled position carry no super-features in replays.
+chunk_id, and components run in parallel. Chunks without any sampled position share one super-feature and are one such
+component. Where every hit is taken, no replay needs payloads, and the deltas are sized in parallel.
 """
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chunkloom.operators import codec
-from chunkloom.operators.components import components
+from chunkloom.operators import codec, index
+from chunkloom.operators.components import components, cut
 
 DECISIONS = "chunk_id long, kind string, base_id long, chunk_size long, save_size long, depth int"
 
@@ -39,6 +39,31 @@ def by_candidates(unique: DataFrame, candidates: DataFrame) -> DataFrame:
     )
 
 
+def close_matches(unique: DataFrame, sf: DataFrame) -> DataFrame:
+    """chunk_id, base_id: as index.all_matches, but in the one large group of chunks with zero features only the pairs that
+    can hold the smallest delta: those with a block of the base in the chunk, and the first earlier chunk without one, as
+    a delta against any of these is the same."""
+    zero = sf.where((F.col("pos") == 0) & (F.col("sf") == F.xxhash64(*[F.lit(0).cast("long")] * 4))).select("chunk_id")
+    others = index.all_matches(sf.join(zero, "chunk_id", "left_anti"))
+    # numbers in the group, counted in blocks of ids and over the blocks
+    zero = cut(zero.withColumn("part", F.expr("chunk_id div 4096")))
+    before = zero.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    nth = F.row_number().over(Window.partitionBy("part").orderBy("chunk_id")) - 1
+    members = cut(zero.withColumn("nth", nth).join(before.select("part", "before"), "part").select("chunk_id", (F.col("nth") + F.col("before")).alias("nth")).join(unique.select("chunk_id", "payload"), "chunk_id"))
+    long_enough = members.where(F.octet_length("payload") >= codec.STEP)
+
+    def blocks(step: int) -> Column:
+        return F.explode(F.array_distinct(F.expr(f"transform(sequence(1, octet_length(payload) - {codec.STEP - 1}, {step}), i -> xxhash64(substring(payload, i, {codec.STEP})))")))
+
+    stored = long_enough.select(F.col("chunk_id").alias("base_id"), F.col("nth").alias("base_nth"), blocks(codec.STEP).alias("block"))
+    near = cut(long_enough.select("chunk_id", "nth", blocks(1).alias("block")).join(stored, "block").where("base_nth < nth").select("chunk_id", "base_id", "base_nth").distinct())
+    rank = F.row_number().over(Window.partitionBy("chunk_id").orderBy("base_nth")) - 1
+    taken = near.withColumn("rank", rank).where("rank = base_nth").groupBy("chunk_id").agg(F.count("*").alias("apart"))
+    apart = members.select("chunk_id", "nth").join(taken, "chunk_id", "left").withColumn("apart", F.coalesce("apart", F.lit(0))).where("apart < nth")
+    apart = apart.join(members.select(F.col("chunk_id").alias("base_id"), F.col("nth").alias("apart")), "apart").select("chunk_id", "base_id")
+    return others.unionByName(near.select("chunk_id", "base_id")).unionByName(apart)
+
+
 # ---- replays
 
 
@@ -83,12 +108,26 @@ class Replay:
         self.samples: dict[int, list[int]] = {}
         self.fits: dict[int, tuple[int, int]] = {}
         self.literals: dict[int, bytes] = {}
+        #: Chunks by the blocks a delta can copy. Deltas against bases without a block of the target are all the same.
+        self.holders: dict[bytes, list[int]] | None = {} if method.choose in ("chain_size", "descent", "subtree") else None
+        self.near: set[int] = set()
+        self.sizes: dict[int | None, int] = {}
+        #: The last chain of literals: its lowest chunk, the content and the places of its blocks.
+        self.grown: tuple[int, bytearray, dict[bytes, int]] | None = None
 
     def _key(self, pos: int, sf: int) -> tuple:
         return (pos, sf) if self.m.per_position else (sf,)
 
-    def _size(self, target: bytes, base: int) -> int:
-        return len(codec.encode(target, self.data[base]))
+    def _aim(self, target: bytes) -> None:
+        self.sizes = {}
+        self.near = {c for i in range(len(target) - codec.STEP + 1) for c in self.holders.get(target[i : i + codec.STEP], ())}
+
+    def _size(self, target: bytes, base: int | None) -> int:
+        """Of the delta against base, or against any chunk without a common block (None)."""
+        base = base if base in self.near else None
+        if base not in self.sizes:
+            self.sizes[base] = len(codec.encode(target, b"" if base is None else self.data[base]))
+        return self.sizes[base]
 
     def _chain(self, node: int) -> list[int]:
         out = [node]
@@ -96,36 +135,57 @@ class Replay:
             out.append(self.up[out[-1]])
         return out[::-1]
 
-    def _choose(self, hit: int, target: bytes, samples: list[int], sfs: list[tuple[int, int]]) -> tuple[int, bytes]:
+    def _below(self, node: int) -> Iterator[int]:
+        """The chunks of the subtree without its root, level by level."""
+        level = [node]
+        while level:
+            lower = []
+            for x in level:
+                for c in self.children.get(x, ()):
+                    yield c
+                    lower.append(c)
+            level = lower
+
+    def _apart(self, chunks: Iterable[int]) -> list[int]:
+        """The first one without a common block, if there is one."""
+        return next(([c] for c in chunks if c not in self.near), [])
+
+    def _choose(self, hit: int, target: bytes, samples: list[int], sfs: list[tuple[int, int]]) -> tuple[int, bytes | bytearray, dict[bytes, int] | None]:
         m = self.m.choose
         if m == "hit":
-            return hit, self.data[hit]
+            return hit, self.data[hit], None
         if m == "literals":
-            chain = self._chain(hit)
-            return hit, self.data[chain[0]] + b"".join(self.literals[c] for c in chain[1:])
-        if m == "chain_size":
-            best = min(self._chain(hit), key=lambda c: self._size(target, c))  # the first of equals, root first
-            return best, self.data[best]
+            if self.grown is None or self.grown[0] != hit:
+                chain = self._chain(hit)
+                self.grown = hit, bytearray(self.data[chain[0]] + b"".join(self.literals[c] for c in chain[1:])), {}
+                codec.add_blocks(self.grown[2], self.grown[1])
+            return self.grown
         if m == "chain_overlap":
             known = set(samples)
             best = max(self._chain(hit), key=lambda c: sum(x in known for x in self.samples[c]))
-            return best, self.data[best]
+            return best, self.data[best], None
+        self._aim(target)
+        if m == "chain_size":
+            best = min(self._chain(hit), key=lambda c: self._size(target, c))  # the first of equals, root first
+            return best, self.data[best], None
         best, least = hit, self._size(target, hit)
         if m == "subtree":
-            queue = deque(self.children.get(hit, ()))
-            while queue:
-                c = queue.popleft()
-                queue.extend(self.children.get(c, ()))
-                if (s := self._size(target, c)) < least:
-                    best, least = c, s
-            return best, self.data[best]
+            near = [(c, self._chain(c)) for c in self.near if c != hit]
+            found = [(self._size(target, c), len(path), path) for c, path in near if hit in path]
+            if self._size(target, None) < least:
+                found += [(self._size(target, None), len(path), path) for path in map(self._chain, self._apart(self._below(hit)))]
+            size, _, path = min(found, default=(least, 0, []))  # the first of equals, level by level
+            return (path[-1], self.data[path[-1]], None) if size < least else (hit, self.data[hit], None)
         while True:  # descent: move to the best child while it beats the best so far
             father = best
-            for c in self.children.get(father, ()):
-                if (s := self._size(target, c)) < least:
-                    best, least = c, s
+            found = [(self._size(target, c), c) for c in self.near if self.up.get(c) == father]
+            if self._size(target, None) < least:
+                found += [(self._size(target, None), c) for c in self._apart(self.children.get(father, ()))]
+            size, child = min(found, default=(least, father))  # the first of equals
+            if size < least:
+                best, least = child, size
             if best == father:
-                return best, self.data[best]
+                return best, self.data[best], None
             if self.m.rewrite:
                 last, wins = self.fits.get(father, (None, 0))
                 wins = wins + 1 if last == best else 1
@@ -136,38 +196,89 @@ class Replay:
                             self.index[self._key(pos, sf)] = best
                             break
 
+    def _insert(self, chunk: int, sfs: list[tuple[int, int]]) -> None:
+        for pos, sf in sfs:
+            k = self._key(pos, sf)
+            if self.m.index == "latest" or k not in self.index:
+                self.index[k] = chunk
+
     def decide(self, chunk: int, data: bytes, sfs: list[tuple[int, int]], samples: list[int]) -> tuple:
         """(chunk_id, kind, base_id, chunk_size, save_size, depth)"""
         hit = next((self.index[k] for k in (self._key(*x) for x in sfs) if k in self.index), None)
         base, save = None, codec.lz4_size(data)
         kind = "BASE_LZ4" if save < len(data) else "BASE_RAW"
         if hit is not None:
-            at, content = self._choose(hit, data, samples, sfs)
-            size = len(codec.encode(data, content))
+            at, content, known = self._choose(hit, data, samples, sfs)
+            runs, added = codec.delta_parts(data, content, known)
+            size = len(codec.pack(runs, added))
             if self.m.accept == "always" or (size <= len(data) if self.m.accept == "no_larger" else len(data) >= self.ratio * size):
                 base, save, kind = at, size, self.m.kind
                 self.up[chunk] = at
                 self.children.setdefault(at, []).append(chunk)
                 if self.m.choose == "literals":
-                    self.literals[chunk] = codec.added_bytes(data, content)
+                    self.literals[chunk] = added
+                    start = len(content) // codec.STEP * codec.STEP
+                    content += added
+                    codec.add_blocks(known, content, start)
+                    self.grown = chunk, content, known
         if base is None or not self.m.bases_only:
-            for pos, sf in sfs:
-                k = self._key(pos, sf)
-                if self.m.index == "latest" or k not in self.index:
-                    self.index[k] = chunk
+            self._insert(chunk, sfs)
             self.data[chunk], self.samples[chunk] = data, samples
+            if self.holders is not None and sfs:
+                for i in range(0, len(data) - codec.STEP + 1, codec.STEP):
+                    held = self.holders.setdefault(data[i : i + codec.STEP], [])
+                    if not held or held[-1] != chunk:
+                        held.append(chunk)
         self.depth[chunk] = 0 if base is None else self.depth[base] + 1
         return chunk, kind, base, len(data), save, self.depth[chunk]
 
 
-def replay(unique: DataFrame, sf: DataFrame, method: str, samples: DataFrame | None = None, ratio: float = 1.0) -> DataFrame:
-    """unique: chunk_id, payload; sf: chunk_id, pos, sf (long); samples: chunk_id, s (array), for chain_overlap only."""
-    how = METHODS[method]
-    key = F.xxhash64("pos", "sf") if how.per_position else F.xxhash64("sf")
+def _grouped(sf: DataFrame, key: Column) -> DataFrame:
+    """node, component of chunks that share a key with another one."""
     # the smallest chunk of each value links all chunks of it
     keyed = sf.select("chunk_id", key.alias("k"))
     lead = keyed.groupBy("k").agg(F.min("chunk_id").alias("lead"))
-    found = components(keyed.join(lead, "k").select(F.col("lead").alias("a"), F.col("chunk_id").alias("b")))
+    return components(keyed.join(lead, "k").select(F.col("lead").alias("a"), F.col("chunk_id").alias("b")))
+
+
+def always(unique: DataFrame, sf: DataFrame, how: Method) -> DataFrame:
+    """replay() of a method that takes every hit and stores bases only: a value has one base for good, the first to bring
+    it, and of chunks with the same values only the first can be a base. So only these are replayed, without payloads."""
+    vectors = sf.groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("pos", "sf"))).alias("sfs"))
+    first = cut(vectors.groupBy("sfs").agg(F.min("chunk_id").alias("chunk_id")).select("chunk_id", F.transform("sfs", lambda x: F.xxhash64(x["pos"], x["sf"])).alias("ks")))
+    found = _grouped(first.select("chunk_id", F.explode("ks").alias("k")), F.col("k"))
+    rows = first.join(found.select(F.col("node").alias("chunk_id"), "component"), "chunk_id", "left").withColumn("component", F.coalesce("component", "chunk_id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        component, seen = None, set()
+        for b in batches:
+            out = []
+            for c, chunk, ks in zip(*(b.column(x).to_pylist() for x in ("component", "chunk_id", "ks")), strict=True):
+                if c != component:
+                    component, seen = c, set()
+                if seen.isdisjoint(ks):
+                    out += [(k, chunk) for k in set(ks)]
+                    seen.update(ks)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["k", "base_id"])
+
+    owners = rows.select("component", "chunk_id", "ks").repartition("component").sortWithinPartitions("component", "chunk_id").mapInArrow(run, "k long, base_id long")
+    hits = sf.select("chunk_id", "pos", F.xxhash64("pos", "sf").alias("k")).join(owners, "k").where("base_id < chunk_id")
+    hits = hits.groupBy("chunk_id").agg(F.min(F.struct("pos", "base_id")).alias("m")).select("chunk_id", "m.base_id")
+    base = unique.select(F.col("chunk_id").alias("base_id"), F.col("payload").alias("base"))
+    d = unique.select("chunk_id", "payload").join(hits.join(base, "base_id"), "chunk_id", "left")
+    sized = d.select("chunk_id", "base_id", F.length("payload").cast("long").alias("chunk_size"), codec.lz4_sizes("payload").alias("lz4"), codec.delta_sizes("payload", F.coalesce("base", F.lit(b""))).alias("d"))
+    hit, size = F.col("base_id").isNotNull(), F.col("chunk_size")
+    kind = F.when(hit, how.kind).when(F.col("lz4") < size, "BASE_LZ4").otherwise("BASE_RAW").alias("kind")
+    return sized.select("chunk_id", kind, "base_id", "chunk_size", F.when(hit, F.col("d")).otherwise(F.col("lz4")).alias("save_size"), hit.cast("int").alias("depth"))
+
+
+def replay(unique: DataFrame, sf: DataFrame, method: str, samples: DataFrame | None = None, ratio: float = 1.0) -> DataFrame:
+    """unique: chunk_id, payload; sf: chunk_id, pos, sf (long); samples: chunk_id, s (array), for chain_overlap only."""
+    how = METHODS[method]
+    if how.accept == "always" and how.choose == "hit" and how.bases_only and how.per_position:
+        return always(unique, sf, how)
+    found = _grouped(sf, F.xxhash64("pos", "sf") if how.per_position else F.xxhash64("sf"))
     rows = unique.select("chunk_id", "payload").join(found.select(F.col("node").alias("chunk_id"), "component"), "chunk_id", "left")
     rows = rows.withColumn("component", F.coalesce("component", "chunk_id"))
     probes = sf.groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("pos", "sf"))).alias("sfs"))  # a few for each chunk
@@ -214,4 +325,4 @@ def locality(unique: DataFrame, names: DataFrame, sf: DataFrame, latest: DataFra
     return d.select("chunk_id", "kind", F.when(F.col("kind") == "LOCAL_DELTA", F.col("n_id")).when(F.col("kind") == "FEATURE_DELTA", F.col("f_id")).alias("base_id"), "chunk_size", F.when(F.col("kind") == "LOCAL_DELTA", n).when(F.col("kind") == "FEATURE_DELTA", F.col("f_size")).otherwise(F.col("lz4")).cast("long").alias("save_size"))
 
 
-__all__ = ["METHODS", "Method", "Replay", "by_candidates", "locality", "lz4_ratio", "replay"]
+__all__ = ["METHODS", "Method", "Replay", "always", "by_candidates", "close_matches", "locality", "lz4_ratio", "replay"]

@@ -304,3 +304,100 @@ def test_versions_arriving(spark, files, tmp_path):
     assert len(rows) == 4 and sum(r["new_chunks"] for r in rows) == c.select("fp").distinct().count() and sum(r["logical_chunks"] for r in rows) == c.count()
     inc.process(files.where("version_no = 9"), 3)  # a batch that runs again changes nothing
     assert sum(r["new_chunks"] for r in inc.log().collect()) == sum(r["new_chunks"] for r in rows)
+
+
+def slow_choice(m, hit, target, data, up, children):
+    """The base of one chunk under the methods that look past the hit, by plain loops; None for the content of a chain."""
+    size = lambda c: len(codec.encode(target, data[c]))
+    chain = [hit]
+    while chain[-1] in up:
+        chain.append(up[chain[-1]])
+    if m == "chain_size":
+        return min(chain[::-1], key=size)
+    best, least = hit, size(hit)
+    queue = list(children.get(hit, ()))
+    while m == "subtree" and queue:
+        c = queue.pop(0)
+        queue += children.get(c, ())
+        if size(c) < least:
+            best, least = c, size(c)
+    while m == "descent":
+        father = best
+        for c in children.get(father, ()):
+            if size(c) < least:
+                best, least = c, size(c)
+        if best == father:
+            break
+    return best
+
+
+def short_texts(seed, n=120):
+    r = random.Random(seed)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(3, 9))) for _ in range(60)]
+    out = []
+    for _ in range(n):
+        t = " ".join(r.choice(words) for _ in range(r.randint(10, 40)))
+        if out and r.random() < 0.6:
+            old = r.choice(out)
+            at = r.randrange(len(old))
+            t = old[:at] + t[: r.randint(0, 60)] + old[at + r.randint(0, 40) :]
+        out.append(t)
+    return [t.encode() for t in dict.fromkeys(out)]
+
+
+@pytest.mark.parametrize("method", ["mibl2", "tree_cut", "tree_greedy", "midf"])
+def test_one_group_by_plain_loops(method):
+    m = reduce.METHODS[method]
+    for seed in range(4):
+        data, up, children, literals, index_, state = {}, {}, {}, {}, None, reduce.Replay(m)
+        for c, t in enumerate(short_texts(seed)):
+            base = size = None
+            if index_ is not None:
+                base = index_ if m.choose == "literals" else slow_choice(m.choose, index_, t, data, up, children)
+                content = data[base]
+                if m.choose == "literals":
+                    chain = [base]
+                    while chain[-1] in up:
+                        chain.append(up[chain[-1]])
+                    content = data[chain[-1]] + b"".join(literals[x] for x in chain[-2::-1])
+                size = len(codec.encode(t, content))
+                if size <= len(t):
+                    up[c], literals[c] = base, codec.added_bytes(t, content)
+                    children.setdefault(base, []).append(c)
+                else:
+                    base = None
+            data[c] = t
+            if index_ is None or m.index == "latest":
+                index_ = c
+            got = state.decide(c, t, [(0, 7), (1, 7), (2, 7)], [])
+            assert got[2] == base and (base is None or got[4] == size)
+        assert len(set(up.values())) > 3
+
+
+@pytest.fixture(scope="module")
+def featureless(spark):
+    """Chunks, most of which have no sampled position."""
+    rows = [(i, 0, i, 0, f"f{i}", len(t), 1, t) for i, t in enumerate(short_texts(9) + [x[:50] for x in short_texts(10, 20)])]
+    return spark.createDataFrame(rows, "chunk_id long, version_no int, file_id long, seq int, fp string, chunk_size int, copies int, payload binary").cache()
+
+
+@pytest.mark.parametrize("method", ["odess", "mibl", "ntransform", "finesse", "palantir", "midf", "mibl2", "mibl3", "tree_cut", "tree_greedy", "tree_layer"])
+def test_chunks_with_zero_features_match(featureless, method):
+    family, gate = (method, -1) if method in ("ntransform", "finesse") else ("odess", 60)
+    sf = super_features(featureless, family, gate)
+    zero = {r["chunk_id"] for r in sf.collect()} - {r["chunk_id"] for r in super_features(featureless, family, gate, zeros=False).collect()}
+    d = {r["chunk_id"]: r["base_id"] for r in ReductionPipeline("small_fastcdc", method).decide(featureless, featureless)["decisions"].collect()}
+    assert len(zero) > 10 and sum(d[c] is not None for c in zero) > 5
+    if method in ("odess", "mibl", "ntransform", "finesse"):
+        by = {}
+        for r in sf.orderBy("pos").collect():
+            by.setdefault(r["chunk_id"], []).append(r["sf"])
+        assert d == slow_replay([(r["chunk_id"], bytes(r["payload"]), by.get(r["chunk_id"], [])) for r in featureless.orderBy("chunk_id").collect()], method)
+
+
+def test_all_greedy_tries_all_of_the_zero_group(featureless):
+    sf = super_features(featureless)
+    want = {r["chunk_id"]: (r["base_id"], r["save_size"]) for r in reduce.by_candidates(featureless, index.all_matches(sf)).collect()}
+    d = ReductionPipeline("small_fastcdc", "all_greedy").decide(featureless, featureless)["decisions"].collect()
+    assert {r["chunk_id"]: (r["base_id"], r["save_size"]) for r in d} == want and sum(b is not None for b, _ in want.values()) > 10
+    assert reduce.close_matches(featureless, sf).count() < index.all_matches(sf).count()
