@@ -61,8 +61,12 @@ class ReductionPipeline:
             if m == "palantir":
                 rows = cut(unique.select("chunk_id", ft.odess_features("payload").alias("f")))
                 sf = rows.select("chunk_id", F.explode(ft.tiered_super(F.col("f"))).alias("t")).select("chunk_id", (F.col("t.tier") * 10 + F.col("t.pos")).alias("pos"), "t.sf")
+            repeats = None
+            if m == "palantir":
+                known = unique.select("fp", "chunk_id", dedup.place().alias("first"))
+                repeats = chunks.select("fp", *dedup.PLACE).join(known, "fp").where(dedup.place() != F.col("first"))
             samples = unique.select("chunk_id", ft.sampled_features("payload").alias("s")) if m == "mibl3" else None
-            decisions = reduce.replay(unique, sf, m, samples, reduce.lz4_ratio(unique) if m == "palantir" else 1.0)
+            decisions = reduce.replay(unique, sf, m, samples, reduce.lz4_ratio(unique) if m == "palantir" else 1.0, repeats)
         decisions = cut(decisions)
         placed = store.pack(decisions.join(unique.select("chunk_id", "version_no"), "chunk_id").withColumnRenamed("save_size", "stored"))
         logical = chunks.agg(F.count("*").alias("logical_chunks"), F.coalesce(F.sum("chunk_size"), F.lit(0)).alias("logical_bytes"))

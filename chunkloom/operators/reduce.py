@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from chunkloom.operators import codec, index
 from chunkloom.operators.components import components, cut
+from chunkloom.operators.dedup import PLACE
 
 DECISIONS = "chunk_id long, kind string, base_id long, chunk_size long, save_size long, depth int"
 
@@ -76,13 +77,15 @@ class Method:
     accept: str = "no_larger"  # no_larger | always | ratio
     rewrite: bool = False
     kind: str = "DELTA"
+    keep: tuple[tuple[int, int], ...] = ()  # (tier, versions after which its entries are gone); a position is tier * 10 + number
 
 
 METHODS = {
     "ntransform": Method("latest", True, True, accept="always"),
     "finesse": Method("latest", True, True, accept="always", kind="FEATURE_DELTA"),
     "odess": Method("latest", True),
-    "palantir": Method("latest", True, accept="ratio"),
+    # at the end of version v entries older than v - 5 and v - 2 go; version v + 1 does not find them
+    "palantir": Method("latest", True, accept="ratio", keep=((2, 6), (3, 3))),
     "midf": Method("latest", False, choose="literals"),
     "mibl": Method("latest", False),
     "mibl2": Method("latest", False, choose="chain_size"),
@@ -101,6 +104,8 @@ class Replay:
     def __init__(self, method: Method, ratio: float = 1.0) -> None:
         self.m, self.ratio = method, ratio
         self.index: dict[tuple, int] = {}
+        self.keep, self.version = dict(method.keep), 0
+        self.stored: dict[tuple, int] = {}
         self.data: dict[int, bytes] = {}
         self.up: dict[int, int] = {}
         self.children: dict[int, list[int]] = {}
@@ -201,10 +206,22 @@ class Replay:
             k = self._key(pos, sf)
             if self.m.index == "latest" or k not in self.index:
                 self.index[k] = chunk
+                if self.keep:
+                    self.stored[k] = self.version
 
-    def decide(self, chunk: int, data: bytes, sfs: list[tuple[int, int]], samples: list[int]) -> tuple:
+    def _alive(self, pos: int, key: tuple) -> bool:
+        return key in self.index and (pos // 10 not in self.keep or self.version - self.stored[key] <= self.keep[pos // 10])
+
+    def again(self, chunk: int, sfs: list[tuple[int, int]], version: int) -> None:
+        """A duplicate of a base stores its values anew."""
+        self.version = version
+        if chunk not in self.up:
+            self._insert(chunk, sfs)
+
+    def decide(self, chunk: int, data: bytes, sfs: list[tuple[int, int]], samples: list[int], version: int = 0) -> tuple:
         """(chunk_id, kind, base_id, chunk_size, save_size, depth)"""
-        hit = next((self.index[k] for k in (self._key(*x) for x in sfs) if k in self.index), None)
+        self.version = version
+        hit = next((self.index[k] for pos, k in ((x[0], self._key(*x)) for x in sfs) if self._alive(pos, k)), None)
         base, save = None, codec.lz4_size(data)
         kind = "BASE_LZ4" if save < len(data) else "BASE_RAW"
         if hit is not None:
@@ -273,13 +290,19 @@ def always(unique: DataFrame, sf: DataFrame, how: Method) -> DataFrame:
     return sized.select("chunk_id", kind, "base_id", "chunk_size", F.when(hit, F.col("d")).otherwise(F.col("lz4")).alias("save_size"), hit.cast("int").alias("depth"))
 
 
-def replay(unique: DataFrame, sf: DataFrame, method: str, samples: DataFrame | None = None, ratio: float = 1.0) -> DataFrame:
-    """unique: chunk_id, payload; sf: chunk_id, pos, sf (long); samples: chunk_id, s (array), for chain_overlap only."""
+def replay(unique: DataFrame, sf: DataFrame, method: str, samples: DataFrame | None = None, ratio: float = 1.0, repeats: DataFrame | None = None) -> DataFrame:
+    """unique: chunk_id, payload; sf: chunk_id, pos, sf (long); samples: chunk_id, s (array), for chain_overlap only.
+
+    Methods whose entries expire need the place of chunks in unique, too, and of their duplicates in repeats."""
     how = METHODS[method]
     if how.accept == "always" and how.choose == "hit" and how.bases_only and how.per_position:
         return always(unique, sf, how)
     found = _grouped(sf, F.xxhash64("pos", "sf") if how.per_position else F.xxhash64("sf"))
-    rows = unique.select("chunk_id", "payload").join(found.select(F.col("node").alias("chunk_id"), "component"), "chunk_id", "left")
+    order = PLACE if how.keep else ["chunk_id"]
+    rows = unique.select(*{"chunk_id": 0, "payload": 0} | dict.fromkeys(order))
+    if repeats is not None:
+        rows = rows.unionByName(repeats.select("chunk_id", *order, F.lit(None).cast("binary").alias("payload")))
+    rows = rows.join(found.select(F.col("node").alias("chunk_id"), "component"), "chunk_id", "left")
     rows = rows.withColumn("component", F.coalesce("component", "chunk_id"))
     probes = sf.groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("pos", "sf"))).alias("sfs"))  # a few for each chunk
     rows = rows.join(probes, "chunk_id", "left")
@@ -291,14 +314,20 @@ def replay(unique: DataFrame, sf: DataFrame, method: str, samples: DataFrame | N
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
         for b in batches:
             out = []
-            for c, chunk, data, sfs, s in zip(*(b.column(x).to_pylist() for x in ("component", "chunk_id", "payload", "sfs", "s")), strict=True):
+            for c, chunk, data, sfs, s, v in zip(*(b.column(x).to_pylist() for x in ("component", "chunk_id", "payload", "sfs", "s", "version")), strict=True):
                 if c != component or state is None:
                     component, state = c, Replay(how, ratio)
-                out.append(state.decide(chunk, data, [(x["pos"], x["sf"]) for x in sfs or ()], s or []))
+                sfs = [(x["pos"], x["sf"]) for x in sfs or ()]
+                if data is None:
+                    state.again(chunk, sfs, v)
+                else:
+                    out.append(state.decide(chunk, data, sfs, s or [], v))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    ordered = rows.select("component", "chunk_id", "payload", "sfs", "s").repartition("component").sortWithinPartitions("component", "chunk_id")
+    version = F.col("version_no") if how.keep else F.lit(0)
+    ordered = rows.withColumn("version", version).repartition("component").sortWithinPartitions("component", *order)
+    ordered = ordered.select("component", "chunk_id", "payload", "sfs", "s", "version")
     return ordered.mapInArrow(run, DECISIONS)
 
 

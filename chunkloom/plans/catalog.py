@@ -77,10 +77,14 @@ def proxy_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def small_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unique content-defined chunks of the small profile."""
+def small_chunks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All and the unique content-defined chunks of the small profile."""
     c = cut(dedup.fingerprinted(segment.content_defined(files(spark, sf_dir), segment.SMALL_FASTCDC)))
-    return cut(dedup.unique_chunks(c.drop("payload")).join(c.select(*dedup.PLACE, "payload"), dedup.PLACE))
+    return c, cut(dedup.unique_chunks(c.drop("payload")).join(c.select(*dedup.PLACE, "payload"), dedup.PLACE))
+
+
+def small_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return small_chunks(spark, sf_dir)[1]
 
 
 # ---- sources
@@ -433,8 +437,7 @@ def delta_round_trip_mismatches(spark, sf_dir):
 
 def _decisions(method):
     def run(spark, sf_dir):
-        u = small_unique(spark, sf_dir)
-        return ReductionPipeline("small_fastcdc", method).decide(u, u)["decisions"]
+        return ReductionPipeline("small_fastcdc", method).decide(*small_chunks(spark, sf_dir))["decisions"]
 
     return run
 

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from chunkloom.functions.features import gear32
+from chunkloom.functions.features import gear32, odess
 from chunkloom.operators import archive, codec, dedup, index, metrics, reduce, segment, store
 from chunkloom.operators.components import components, cut
 from chunkloom.operators.pipeline import ReductionPipeline, super_features
@@ -401,3 +401,35 @@ def test_all_greedy_tries_all_of_the_zero_group(featureless):
     d = ReductionPipeline("small_fastcdc", "all_greedy").decide(featureless, featureless)["decisions"].collect()
     assert {r["chunk_id"]: (r["base_id"], r["save_size"]) for r in d} == want and sum(b is not None for b, _ in want.values()) > 10
     assert reduce.close_matches(featureless, sf).count() < index.all_matches(sf).count()
+
+
+def test_tiered_replay_forgets_old_versions(spark):
+    """Values of tiers 2 and 3 by hand; a duplicate of a base renews them, one of a delta does not."""
+    r = random.Random(3)
+    text = bytes(r.randrange(256) for _ in range(300))
+    row = lambda c, v, i: (c, v, c, i, text + bytes([c]) * 9)
+    rows = [row(0, 0, 0), row(1, 6, 0), row(2, 7, 0), row(3, 0, 0), row(4, 3, 0), row(5, 4, 0), row(6, 0, 0), row(7, 9, 0), row(8, 0, 0), row(9, 1, 0), row(10, 8, 0), row(11, 0, 0), row(12, 99, 0)]
+    sf = [(c, pos, v) for cs, pos, v in (((0, 1, 2), 20, 1), ((3, 4, 5), 30, 2), ((6, 7), 20, 3), ((8, 9, 10), 20, 4), ((11, 12), 10, 5)) for c in cs]
+    unique = spark.createDataFrame(rows, "chunk_id long, version_no int, file_id long, seq int, payload binary")
+    repeats = spark.createDataFrame([(6, 3, 500, 0), (9, 5, 500, 0)], "chunk_id long, version_no int, file_id long, seq int")
+    got = reduce.replay(unique, spark.createDataFrame(sf, "chunk_id long, pos int, sf long"), "palantir", repeats=repeats).collect()
+    want = {0: None, 1: 0, 2: None, 3: None, 4: 3, 5: None, 6: None, 7: 6, 8: None, 9: 8, 10: None, 11: None, 12: 11}
+    assert {r["chunk_id"]: r["base_id"] for r in got} == want
+
+
+def test_tiered_pipeline_renews_bases_by_duplicates(spark):
+    r = random.Random(4)
+
+    def plain(begin=b""):  # without sampled positions, so all share their values
+        while True:
+            b = begin + bytes(r.randrange(256) for _ in range(80 - len(begin)))
+            if not odess([b]).any():
+                return b
+
+    a = plain()
+    for again, want in ((), None), ((a,), 0):
+        data = [a, plain(), *again, plain(a[:60])]  # the latest base is the second chunk, or the first one, stored anew
+        c = spark.createDataFrame([(i, i, 0, len(b), b) for i, b in enumerate(data)], "version_no int, file_id long, seq int, chunk_size int, payload binary")
+        c = cut(dedup.fingerprinted(c))
+        u = cut(dedup.unique_chunks(c).join(c.select(*dedup.PLACE, "payload"), dedup.PLACE))
+        assert {x["chunk_id"]: x["base_id"] for x in ReductionPipeline("small_fastcdc", "palantir").decide(c, u)["decisions"].collect()} == {0: None, 1: None, 2: want}
