@@ -1,7 +1,10 @@
 """Media columns, TIFF: walk image directories, decode strips and tiles, undo predictors, one row per page.
 
 Defined results
-* null or undecodable media: one row, page 0, ``error`` set, ``pixels`` null; a fault in a later page keeps the earlier pages.
+* null or undecodable media: one row, page 0, ``error`` set, ``pixels`` null.
+* a page that cannot be decoded is such a row with its number, and the other pages are kept; where the directory chain
+  itself breaks, the row ends the file.
+* samples of 1, 2 or 4 bits are stored as a byte each, as they are (the photometric tag is not applied).
 * a directory chain that loops ends at the first repeat with an error row.
 * repeated rows give repeated results; extra columns are ignored; an empty table gives no rows.
 """
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame
 from chunkloom.llm.common import sliced
 
 # TIFF 6.0 tags and compression codes.
-WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
+WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, FILL_ORDER = 256, 257, 258, 259, 262, 266
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR, PREDICTOR = 273, 277, 278, 279, 284, 317
 TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, SAMPLE_FORMAT = 322, 323, 324, 325, 339
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
@@ -46,6 +49,12 @@ class Page:
     pixels: np.ndarray  # height x width x samples
 
 
+@dataclass
+class Fault:
+    number: int
+    error: TiffError
+
+
 # ---- codecs
 
 
@@ -183,11 +192,17 @@ def _unpredict(block: np.ndarray, predictor: int) -> np.ndarray:
     """block: rows x columns x samples in native order; a wrap-around sum undoes horizontal differencing."""
     if predictor == 1:
         return block
-    if predictor == 2 and block.dtype.kind == "u":
+    if predictor == 2 and block.dtype.kind in "iu":
         return np.cumsum(block, axis=1, dtype=block.dtype)
     raise TiffError(f"predictor {predictor} is not supported for {block.dtype}")
 
 
+def _unpack_bits(raw: bytes, rows: int, bits: int) -> np.ndarray:
+    """Rows of samples of 1, 2 or 4 bits, the high bits first; each row begins with a byte."""
+    single = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(rows, -1), axis=1)
+    return np.packbits(single.reshape(rows, -1, bits), axis=2)[:, :, 0] >> (8 - bits)
+
+
 def _float_unpredict(raw: bytes, rows: int, cols: int, samples: int, itemsize: int) -> np.ndarray:
     """Predictor 3: bytes are grouped by significance over the row and differenced."""
     b = np.frombuffer(raw, np.uint8).reshape(rows, cols * samples * itemsize)
@@ -204,6 +219,14 @@ def _float_unpredict(raw: bytes, rows: int, cols: int, samples: int, itemsize: i
 
 def read_pages(data: bytes, max_page_bytes: int = MAX_PAGE_BYTES) -> Iterator[Page]:
     """Every page of a classic or big TIFF, in the order of the directory chain. Raises TiffError on a fault."""
+    for p in read_each(data, max_page_bytes):
+        if isinstance(p, Fault):
+            raise p.error
+        yield p
+
+
+def read_each(data: bytes, max_page_bytes: int = MAX_PAGE_BYTES) -> Iterator[Page | Fault]:
+    """As read_pages, with a Fault in place of each page that cannot be decoded. Raises TiffError where the chain breaks."""
     if len(data) < 8 or data[:2] not in (b"II", b"MM"):
         raise TiffError("no TIFF header")
     e = "<" if data[:2] == b"II" else ">"
@@ -230,18 +253,22 @@ def read_pages(data: bytes, max_page_bytes: int = MAX_PAGE_BYTES) -> Iterator[Pa
         tags: dict[int, tuple] = {}
         if n * entry > len(data):
             raise TiffError("a directory is longer than the file")
-        for i in range(n):
-            p = base + i * entry
-            tag, kind = at("HH", p)
-            (count,) = at(offset_fmt, p + 4)
-            if kind not in FIELD_TYPES:
-                continue
-            size = struct.calcsize(FIELD_TYPES[kind]) * count
-            if size > len(data):
-                raise TiffError("a field is longer than the file")
-            inline = p + 4 + struct.calcsize(offset_fmt)
-            tags[tag] = at(f"{count}{FIELD_TYPES[kind]}", inline if size <= struct.calcsize(offset_fmt) else at(offset_fmt, inline)[0])
-        yield _page(data, e, tags, number, max_page_bytes)
+        try:
+            for i in range(n):
+                p = base + i * entry
+                tag, kind = at("HH", p)
+                (count,) = at(offset_fmt, p + 4)
+                if kind not in FIELD_TYPES:
+                    continue
+                size = struct.calcsize(FIELD_TYPES[kind]) * count
+                if size > len(data):
+                    raise TiffError("a field is longer than the file")
+                inline = p + 4 + struct.calcsize(offset_fmt)
+                tags[tag] = at(f"{count}{FIELD_TYPES[kind]}", inline if size <= struct.calcsize(offset_fmt) else at(offset_fmt, inline)[0])
+            page: Page | Fault = _page(data, e, tags, number, max_page_bytes)
+        except TiffError as error:
+            page = Fault(number, error)
+        yield page
         number += 1
         (where,) = at(offset_fmt, base + n * entry)
 
@@ -256,14 +283,15 @@ def _page(data: bytes, e: str, tags: dict[int, tuple], number: int, max_page_byt
 
     width, height, samples, bits = one(WIDTH), one(HEIGHT), one(SAMPLES, 1), one(BITS, 1)
     compression, predictor, planar, form = one(COMPRESSION, 1), one(PREDICTOR, 1), one(PLANAR, 1), one(SAMPLE_FORMAT, 1)
-    if bits not in (8, 16, 32, 64) or form not in (1, 3) or (form == 3 and bits < 32):
+    small = bits in (1, 2, 4) and form == 1 and predictor == 1
+    if not small and (bits not in (8, 16, 32, 64) or form not in (1, 2, 3) or (form == 3 and bits < 32)):
         raise TiffError(f"{bits} bits of sample format {form} are not supported")
     if not width or not height or not samples:
         raise TiffError("an empty page")
-    item = bits // 8
+    item = max(1, bits // 8)
     if width * height * samples * item > max_page_bytes:
         raise TiffError("the page is larger than the limit")
-    kind = ("u" if form == 1 else "f") + str(item)
+    kind = " uif"[form] + str(item)
     planes = samples if planar == 2 else 1
     depth = samples // planes
     tiled = TILE_OFFSETS in tags
@@ -281,8 +309,13 @@ def _page(data: bytes, e: str, tags: dict[int, tuple], number: int, max_page_byt
         rows = bh if tiled else min(bh, height - y)
         if where + size > len(data):
             raise TiffError("a strip or tile lies outside the file")
-        raw = _unpack(data[where : where + size], compression, rows * bw * depth * item)
-        if predictor == 3:
+        coded = data[where : where + size]
+        if small and one(FILL_ORDER, 1) == 2:
+            coded = np.packbits(np.unpackbits(np.frombuffer(coded, np.uint8)), bitorder="little").tobytes()
+        raw = _unpack(coded, compression, rows * -(-bw * depth * bits // 8))
+        if small:
+            block = _unpack_bits(raw, rows, bits)[:, : bw * depth].reshape(rows, bw, depth)
+        elif predictor == 3:
             block = _float_unpredict(raw, rows, bw, depth, item)
         else:
             block = _unpredict(np.frombuffer(raw, e + kind).reshape(rows, bw, depth).astype(f"={kind}"), predictor)
@@ -358,9 +391,12 @@ def tiff_pages(df: DataFrame, id_col: str, media_col: str, max_page_bytes: int =
                 for key, media in zip(batch.column("id").to_pylist(), batch.column("media").to_pylist(), strict=True):
                     number = 0
                     try:
-                        for p in read_pages(media or b"", max_page_bytes):
-                            rows.append((key, p.number, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.pixels.tobytes(), None))
+                        for p in read_each(media or b"", max_page_bytes):
                             number = p.number + 1
+                            if isinstance(p, Fault):
+                                rows.append((key, p.number, *[None] * 7, str(p.error)))
+                            else:
+                                rows.append((key, p.number, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.pixels.tobytes(), None))
                     except TiffError as fault:
                         rows.append((key, number, *[None] * 7, str(fault)))
                 names = [x.split()[0] for x in PAGE_SCHEMA.split(", ")]

@@ -65,3 +65,38 @@ def test_digests(spark, edge):
     assert tiff.text_media_digests(edge.limit(0)).count() == 0
     n, media = tiff.store_text("x" * (64 * tiff.PAGE_ROWS + 5))
     assert len(list(tiff.read_pages(media))) == 2
+
+
+def packed_page(values, bits, compression=1, form=1, fill=1):
+    """The strip and the tags of one page of small samples."""
+    h, w = values.shape
+    single = np.unpackbits((values.astype(np.uint8) << (8 - bits))[:, :, None], axis=2)[:, :, :bits].reshape(h, -1)
+    raw = np.packbits(single, axis=1).tobytes()
+    raw = tiff.packbits_encode(raw) if compression == tiff.PACKBITS else raw
+    raw = bytes(int(f"{b:08b}"[::-1], 2) for b in raw) if fill == 2 else raw
+    return raw, [(256, w), (257, h), (258, bits), (259, compression), (266, fill), (273, None), (277, 1), (278, h), (279, len(raw)), (339, form)]
+
+
+def chained(pages):
+    out, link = bytearray(b"II*\0\0\0\0\0"), 4
+    for raw, tags in pages:
+        at = len(out)
+        out += raw + bytes(len(raw) % 2)
+        out[link : link + 4] = len(out).to_bytes(4, "little")
+        out += len(tags).to_bytes(2, "little") + b"".join(t.to_bytes(2, "little") + b"\4\0\1\0\0\0" + (at if v is None else v).to_bytes(4, "little") for t, v in tags)
+        link = len(out)
+        out += bytes(4)
+    return bytes(out)
+
+
+def test_small_and_signed_samples_and_pages_after_a_fault(spark):
+    r = np.random.default_rng(5)
+    want = [r.integers(0, 1 << b, (7, 13), np.uint8) for b in (1, 2, 4, 1)]
+    pages = [packed_page(v, b, c, fill=f) for v, b, c, f in zip(want, (1, 2, 4, 1), (tiff.PACKBITS, 1, tiff.PACKBITS, 1), (1, 1, 1, 2), strict=True)]
+    signed = np.array([[-3, 100, -128]], np.int8)
+    pages.append((signed.tobytes(), [(256, 3), (257, 1), (258, 8), (259, 1), (273, None), (277, 1), (278, 1), (279, 3), (339, 2)]))
+    bad = packed_page(want[0], 1, 7)  # a compression that is not supported
+    media = chained([bad, *pages[:2], bad, *pages[2:]])
+    rows = sorted(tiff.tiff_pages(spark.createDataFrame([(1, media)], "id long, media binary"), "id", "media").collect(), key=lambda x: x["page"])
+    assert [x["page"] for x in rows] == list(range(7)) and [x["page"] for x in rows if x["error"]] == [0, 3]
+    assert [bytes(x["pixels"]) for x in rows if not x["error"]] == [v.tobytes() for v in [*want, signed]]
