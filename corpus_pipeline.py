@@ -20,10 +20,20 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the smallest id; documents without an id stay."""
-    classes = jaccard.classes(docs)
-    leave = cut(classes.where("doc_id <> component_id").select("doc_id").distinct())
-    return docs.join(leave, "doc_id", "left_anti").select(*docs.columns)
+    """Of each class of near duplicates one row with the smallest id; rows without an id or without shingles stay.
+
+    Rows are told apart by id and text, as ids may be repeated; of repeats in both any one stays."""
+    (key,) = unused(docs.columns, "row")
+    keyed = docs.withColumn(key, F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string")))
+    classes = jaccard.classes(keyed.select(F.col(key).alias("doc_id"), "text")).where("n_shingles > 0")
+    named = classes.groupBy(F.col("doc_id").alias("k"), "component_id").agg(F.count("*").alias("n"))
+    ids = keyed.where("doc_id is not null").select(F.col(key).alias("k"), F.col("doc_id").cast("long").alias("id")).distinct()
+    named = cut(named.join(ids, "k"))
+    first = named.groupBy("component_id").agg(F.min(F.struct("id", "k")).alias("m"))
+    decided = cut(named.join(first, "component_id").select(F.col("k").alias(key), (F.col("k") == F.col("m.k")).alias("stays"), "n").where("not stays or n > 1"))
+    rest = keyed.join(decided.select(key), key, "left_anti")
+    single = keyed.join(decided.where("stays").select(key), key, "left_semi").dropDuplicates([key])
+    return rest.unionByName(single).select(*docs.columns)
 
 
 def remove_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

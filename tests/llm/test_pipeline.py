@@ -49,3 +49,13 @@ def test_registered():
     q = __spark_entry__.queries()
     assert "pipeline" in q and all(any(n.startswith(f"op{i}_") for n in q) for i in range(1, 11))
     assert set(__spark_entry__.oracle_sql()) <= set(q)
+
+
+def test_near_duplicates_with_repeated_ids(spark):
+    words = [f"w{i}" for i in range(400)]
+    a, b, c = (" ".join(words[i : i + 100]) for i in (0, 100, 200))
+    near = a + " more"
+    rows = [(1, a, "x"), (2, near, "x"), (2, b, "x"), (3, c, "x"), (3, c, "y"), (None, a, "x"), (4, "", "x"), (4, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.join_near_duplicates(spark, docs, "").collect()), key=repr)
+    assert got == sorted([(1, a), (2, b), (3, c), (None, a), (4, ""), (4, "")], key=repr)
