@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chunkloom.functions import features as ft
+from chunkloom.functions.names import strip_version
 from chunkloom.operators import archive, dedup, index, metrics, reduce, segment, store
 from chunkloom.operators.components import cut
 
@@ -41,7 +42,10 @@ class ReductionPipeline:
         """chunks, unique, recipes, decisions, containers, metrics."""
         chunks = cut(dedup.fingerprinted(CHUNKERS[self.chunker](files)))
         unique = dedup.unique_chunks(chunks)
-        unique = cut(unique.join(chunks.select(*dedup.PLACE, "payload"), dedup.PLACE))
+        carried = ["payload"]
+        if "name" in chunks.columns:  # of archives: headers and bodies of a member apart
+            carried.append(F.concat_ws("/", F.when(F.col("kind") == "header", "header").otherwise("body"), strip_version(F.col("name"))).alias("member"))
+        unique = cut(unique.join(chunks.select(*dedup.PLACE, *carried), dedup.PLACE))
         return {"chunks": chunks, "unique": unique, "recipes": dedup.recipes(chunks, unique)} | self.decide(chunks, unique)
 
     def decide(self, chunks: DataFrame, unique: DataFrame) -> dict[str, DataFrame]:
@@ -52,7 +56,11 @@ class ReductionPipeline:
             sf = super_features(unique, gate=self.gate)
             decisions = reduce.by_candidates(unique, reduce.close_matches(unique, sf) if m == "all_greedy" else POLICIES[m](sf))
         elif m == "bisearch":
-            names = index.last_of_name(unique.select("chunk_id", F.col("file_id").alias("name")))
+            if "member" in unique.columns:
+                names = index.last_of_name(unique.select("chunk_id", F.col("member").alias("name")))
+            else:  # one name for all: the chunk before
+                names = unique.select("chunk_id", (F.col("chunk_id") - 1).alias("base_id"))
+            names = names.join(unique.where("version_no > 0").select("chunk_id"), "chunk_id", "left_semi")
             decisions = reduce.locality(unique, names, None, index.latest(super_features(unique, gate=-1)))
         else:
             family = m if m in ("ntransform", "finesse") else "odess"

@@ -433,3 +433,17 @@ def test_tiered_pipeline_renews_bases_by_duplicates(spark):
         c = cut(dedup.fingerprinted(c))
         u = cut(dedup.unique_chunks(c).join(c.select(*dedup.PLACE, "payload"), dedup.PLACE))
         assert {x["chunk_id"]: x["base_id"] for x in ReductionPipeline("small_fastcdc", "palantir").decide(c, u)["decisions"].collect()} == {0: None, 1: None, 2: want}
+
+
+def test_locality_by_member_name_or_chunk_before(spark):
+    r = random.Random(8)
+    one, two = (bytes(r.randrange(256) for _ in range(3000)) for _ in range(2))
+    old, new = tar_bytes([("p-1/a", one), ("p-1/b", two)]), tar_bytes([("p-2/a", one[:2900] + bytes(100)), ("p-2/b", two[:2900] + bytes(100))])
+    out = ReductionPipeline("tar", "bisearch").run(spark.createDataFrame([(0, 1, "p-1.tar", old), (1, 2, "p-2.tar", new)], FILES))
+    d, payload = {x["chunk_id"]: x for x in out["decisions"].collect()}, {x["chunk_id"]: bytes(x["payload"]) for x in out["unique"].collect()}
+    for data in (one, two):
+        (was,) = (c for c, b in payload.items() if b[:3000] == data)
+        (now,) = (c for c, b in payload.items() if b[:2900] == data[:2900] and c != was)
+        assert (d[now]["kind"], d[now]["base_id"]) == ("LOCAL_DELTA", was)
+    files = spark.createDataFrame([(0, 1, "x", one[:64]), (1, 2, "y", one[:60] + b"diff")], FILES)
+    assert ReductionPipeline("small_fixed", "bisearch").run(files)["decisions"].where("kind = 'LOCAL_DELTA'").count() == 1
