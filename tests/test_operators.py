@@ -447,3 +447,8 @@ def test_locality_by_member_name_or_chunk_before(spark):
         assert (d[now]["kind"], d[now]["base_id"]) == ("LOCAL_DELTA", was)
     files = spark.createDataFrame([(0, 1, "x", one[:64]), (1, 2, "y", one[:60] + b"diff")], FILES)
     assert ReductionPipeline("small_fixed", "bisearch").run(files)["decisions"].where("kind = 'LOCAL_DELTA'").count() == 1
+
+
+def test_tree_cache_decides_as_tree_layer(unique):
+    a, b = (sorted(map(tuple, ReductionPipeline("small_fastcdc", m).decide(unique, unique)["decisions"].collect())) for m in ("tree_cache", "tree_layer"))
+    assert a == b and a
