@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,12 +20,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses spark.checkpoint.dir; sets a folder only where the session names none (tests, a laptop)."""
+    """Uses spark.checkpoint.dir. Where the session names none, a local session (tests, a laptop) gets a folder of its
+    own; on a cluster that is an error, as the folder has to be shared."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     configured = sc.getConf().get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(configured or "/tmp/checkpoints/chunkloom")
+    if not configured and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    sc.setCheckpointDir(configured or os.path.join(tempfile.gettempdir(), "chunkloom-checkpoints"))
 
 
 def cut(df: DataFrame) -> DataFrame:

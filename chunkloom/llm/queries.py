@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from chunkloom.llm import jaccard, licenses, mixing, neighbours, quality, rollups, sentencepiece_bpe, substrings, suffixes, tiff
-from chunkloom.llm.common import ensure_checkpoint_dir, read_table
+from chunkloom.llm.common import cut, read_table
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,19 +47,19 @@ def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     five words leave; the counts under words-1 are revised to leave out words of a single sign."""
     from pyspark.sql import functions as F
 
-    docs = read_table(spark, sf_dir, "documents").select("source", "lang", "text")
-    ensure_checkpoint_dir(spark)
+    docs = read_table(spark, sf_dir, "documents")
+    single = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D](?![^\x20\x09-\x0D])"))
+    # each text is counted once; the batches read the counts
+    counted = cut(docs.select("source", "lang", *[rollups.token_count(docs["text"], t).alias(t) for t in rollups.TOKENIZERS], single.cast("long").alias("single")))
     root = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/rollup-{uuid.uuid4().hex}"
     r = rollups.Rollup(spark, root)
-    r.commit("words-1", rollups.changes(docs, "words-1"))
-    r.commit("words-2", rollups.changes(docs, "words-2"))
-    r.commit("words-2", rollups.changes(docs, "words-2"))
-    short = docs.where(rollups.token_count(docs["text"], "words-1") < 5)
-    r.commit("short-leave", rollups.changes(short, "words-1", -1), rollups.changes(short, "words-2", -1))
-    stay = docs.where(rollups.token_count(docs["text"], "words-1") >= 5)
-    single = F.regexp_count("text", F.lit(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D](?![^\x20\x09-\x0D])"))
-    old = rollups.token_count(stay["text"], "words-1")
-    r.commit("words-1-longer", rollups.revisions(stay, old, old - single, "words-1"))
+    all_of = lambda df, t, sign=1: rollups.changes(df, t, sign, F.col(t))
+    r.commit("words-1", all_of(counted, "words-1"))
+    r.commit("words-2", all_of(counted, "words-2"))
+    r.commit("words-2", all_of(counted, "words-2"))
+    short, stay = counted.where(F.col("words-1") < 5), counted.where(F.col("words-1") >= 5)
+    r.commit("short-leave", all_of(short, "words-1", -1), all_of(short, "words-2", -1))
+    r.commit("words-1-longer", rollups.revisions(stay, F.col("words-1"), F.col("words-1") - F.col("single"), "words-1"))
     return r.totals()
 
 
