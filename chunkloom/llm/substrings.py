@@ -1,13 +1,16 @@
 """Substring dedup: words in windows of LENGTH words that start earlier too, found with an FM-index per shard.
 
-Each shard (see repeats.py) holds the distinct segments whose windows share anchors, as a Burrows-Wheeler transform in
-a wavelet matrix of packed bits with counts. Its documents' segments stream through it from right to left: a backward
-step extends the match by a word, and once LENGTH words match, the interval is widened to all rows that share them.
-These are the matching statistics up to the threshold; an interval's earliest place is the window's first occurrence.
+Each shard (see repeats.py) holds the distinct segments whose windows share anchors, as a compressed FM-index: their
+Burrows-Wheeler transform in a wavelet tree shaped by an optimal prefix code, packed bits with counts. Its documents'
+segments stream through it from right to left: a backward step extends the match by a word, and once LENGTH words
+match, the interval is widened to all rows that share them. These are the matching statistics up to the threshold; the
+earliest place of an interval of several rows is the window's first occurrence.
 
 Defined results: null, empty and blank texts have no words; texts under LENGTH words lose nothing; of equal texts the
-one with the smallest doc_id stays; rows with one doc_id do not count as earlier than each other; a null doc_id comes
-before all others; extra columns are kept or ignored as the function says; an empty table gives no rows.
+one with the smallest doc_id stays; a null doc_id comes before all others; rows with one doc_id are compared by start
+alone, so a window there is removed if it starts at a smaller word number in any of them, and windows that start at the
+same one in several of them all stay; extra columns are kept or ignored as the function says; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -20,50 +23,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkloom.llm.bwt import Bwt
+from chunkloom.llm.bwt import FmIndex
 from chunkloom.llm.repeats import Unit, Units, remove_repeats
 
 LENGTH, GRAM = 20, 6
 
 
-def places_with_marks(b: Bwt, size: np.ndarray, place: np.ndarray) -> np.ndarray:
-    out = np.full(b.n, np.iinfo(np.int64).max)
-    out[np.arange(len(place)) + np.repeat(np.arange(len(size)), size)] = place
-    return out
-
-
 def matching_statistics(code: np.ndarray, size: np.ndarray, count: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
     """The first place of every window of `length` symbols, by backward search of all segments side by side."""
-    b = Bwt(code, size, length)
-    h, rank = b.at_depth
-    sa = b.sa
-    prev, own = sa[:-1], sa[1:]
-    same = (b.left[prev] >= length) & (b.left[own] >= length) & (rank[prev] == rank[own])
-    i = np.flatnonzero(same)
-    same[i] = rank[prev[i] + length - h] == rank[own[i] + length - h]
-    begin = np.concatenate(([0], np.flatnonzero(~same) + 1))
-    group = np.zeros(b.n, np.int64)
-    group[begin[1:]] = 1
-    group = np.cumsum(group)
-    end = np.append(begin[1:], b.n)
-    earliest = np.minimum.reduceat(places_with_marks(b, size, place)[sa], begin)
+    index = FmIndex(code, size, place, length)
+    text = (np.unique(code, return_inverse=True)[1] + 1).astype(np.int32)  # the segments that are streamed
     # all segments at once, longest first, from their last symbol on
     order = np.argsort(-size, kind="stable")
-    last, sizes = (b.start + size - 1)[order], size[order]
+    last, sizes = (np.cumsum(size) - 1)[order], size[order]
     window0 = (np.cumsum(count) - count)[order]
-    out = np.empty(int(count.sum()), np.int64)
+    ends = np.cumsum(count)
+    out = place[np.arange(int(count.sum())) + np.repeat(np.cumsum(size) - size - (ends - count), count)]  # their own
     lo = hi = np.empty(0, np.int64)
     for t in range(int(sizes[0]) if len(sizes) else 0):
         m = int(np.searchsorted(-sizes, -t, "left"))  # segments longer than t
-        symbol = b.text[last[:m] - t]
+        symbol = text[last[:m] - t]
         if t == 0:
-            lo, hi = b.first[symbol], b.first[symbol + 1]
+            lo, hi = index.row[symbol], index.row[symbol + 1]
         else:
-            lo, hi = b.extend(symbol, lo[:m], hi[:m])
+            lo, hi = index.extend(symbol, lo[:m], hi[:m])
         if t + 1 >= length:
-            g = group[lo]
-            lo, hi = begin[g], end[g]
-            out[window0[:m] + sizes[:m] - 1 - t] = earliest[g]
+            several, g = index.shared(lo)
+            i = np.flatnonzero(several)
+            g = g[i]
+            lo[i], hi[i] = index.begin[g], index.end[g]
+            out[window0[i] + sizes[i] - 1 - t] = index.earliest[g]
     return out
 
 

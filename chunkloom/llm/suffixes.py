@@ -7,8 +7,9 @@ has marked divides suffixes with just that many bytes in common. The rounds stop
 lie within groups of suffixes that share LENGTH bytes, and the earliest place of a group is its first occurrence.
 
 Defined results: null texts are empty; texts under LENGTH bytes lose nothing; of equal texts the one with the smallest
-doc_id stays; rows with one doc_id do not count as earlier than each other; a null doc_id comes before all others;
-what is kept may cut a UTF-8 sign, so it is bytes; extra columns are ignored; an empty table gives no rows.
+doc_id stays; a null doc_id comes before all others; rows with one doc_id are compared by start alone, so a string there
+is removed if it starts at a smaller byte number in any of them, and strings that start at the same one in several of
+them all stay; what is kept may cut a UTF-8 sign, so it is bytes; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ from pyspark.sql import DataFrame
 
 from chunkloom.llm.bwt import Bwt
 from chunkloom.llm.repeats import Unit, Units, remove_repeats
-from chunkloom.llm.substrings import places_with_marks
 
 LENGTH, GRAM = 100, 32
 
@@ -31,9 +31,9 @@ def bounded_intervals(b: Bwt, length: int) -> np.ndarray:
     divided = np.zeros(b.n + 1, bool)
     divided[0] = divided[b.n] = True
     divided[: b.marks + 1] = True  # marks differ from each other
-    some = np.flatnonzero(np.diff(b.first)[1:]) + 1
-    lo = np.concatenate((np.arange(b.marks), b.first[some]))
-    hi = np.concatenate((np.arange(b.marks) + 1, b.first[some + 1]))
+    some = np.flatnonzero(np.diff(b.first_row)[1:]) + 1
+    lo = np.concatenate((np.arange(b.marks), b.first_row[some]))
+    hi = np.concatenate((np.arange(b.marks) + 1, b.first_row[some + 1]))
     divided[hi] = True
     step = b.steps()
     alone = lo[hi - lo == 1]  # intervals of one row have one extension: a step on the transform
@@ -61,7 +61,9 @@ def first_places(code: np.ndarray, size: np.ndarray, count: np.ndarray, place: n
     b = Bwt(code, size, length)
     divided = bounded_intervals(b, length)[: b.n]
     begin = np.flatnonzero(divided)
-    earliest = np.minimum.reduceat(places_with_marks(b, size, place)[b.sa], begin)
+    whole = np.full(b.n, np.iinfo(np.int64).max)  # places, with the marks
+    whole[np.arange(len(place)) + np.repeat(np.arange(len(size)), size)] = place
+    earliest = np.minimum.reduceat(whole[b.sa], begin)
     group = np.cumsum(divided) - 1
     ends = np.cumsum(count)
     at = np.arange(int(count.sum())) + np.repeat(b.start - (ends - count), count)

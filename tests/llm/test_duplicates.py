@@ -146,6 +146,48 @@ def test_removal_edges(spark, edge):
     assert {r.doc_id: r.text for r in clean.collect()}[2] == ""
 
 
+def test_rows_with_one_id_and_other_texts(spark):
+    """Compared by start alone: the reading that the docstrings state."""
+    w, c = [f"w{i}" for i in range(30)], "".join(f"{i:04d}" for i in range(60))
+    rows = [(5, w), (5, ["x", *w]), (6, w[:25] + ["y"]), (7, w[2:]), (7, w[2:] + ["z"]), (9, ["q"] * 30)]
+    first = {}
+    for d, own in rows:
+        for i in range(len(own) - 19):
+            key = tuple(own[i : i + 20])
+            first[key] = min(first.get(key, (d, i)), (d, i))
+    want = []
+    for d, own in rows:
+        gone = set()
+        for i in range(len(own) - 19):
+            if first[tuple(own[i : i + 20])] != (d, i):
+                gone |= set(range(i, i + 20))
+        want.append((d, len(own), len(gone)))
+    df = spark.createDataFrame([(d, " ".join(own)) for d, own in rows], "doc_id long, text string").repartition(3)
+    assert sorted((r[0], r[1], r[2]) for r in substrings.digests(df).collect()) == sorted(want)
+    assert sorted(want)[:2] == [(5, 30, 0), (5, 31, 30)]
+    df = spark.createDataFrame([(5, c), (5, "x" + c), (5, c + "y")], "doc_id long, text string")
+    assert sorted((r[1], r[2]) for r in suffixes.digests(df).collect()) == [(240, 0), (241, 0), (241, 240)]
+
+
+def test_compressed_index():
+    r = np.random.default_rng(5)
+    for sigma, n in ((1, 50), (2, 700), (300, 5000), (5000, 20000)):
+        seq = np.minimum((r.exponential(sigma / 12, n)).astype(np.int64), sigma - 1)
+        m = bwt.HuffmanMatrix(seq, sigma)
+        i = r.integers(0, n + 1, 400)
+        symbol = r.choice(seq, 400)
+        want = [int((seq[:k] == c).sum()) for k, c in zip(i, symbol, strict=True)]
+        assert (m.down(symbol, i) - m.down(symbol, np.zeros(400, np.int64))).tolist() == want
+        bits = bwt.Bits(seq % 2 == 1)
+        assert bits.ones(i).tolist() == [int((seq[:k] % 2 == 1).sum()) for k in i]
+    counts = np.array([50, 1, 1, 7, 20])
+    assert bwt.code_lengths(counts).tolist() == [1, 4, 4, 3, 2]
+    size = np.full(400, 40)
+    code = r.zipf(1.3, int(size.sum())).astype(np.uint64)
+    index = bwt.FmIndex(code, size, np.arange(len(code)), 20)
+    assert index.tree.nbytes + index.head.nbytes < 4 * len(code)
+
+
 def test_index_of_segments():
     r = np.random.default_rng(0)
     size = r.integers(8, 30, 60)
