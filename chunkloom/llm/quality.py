@@ -5,8 +5,8 @@ Words (runs of letters, digits or signs) fall into BUCKETS by hash. Each bucket
 -1; a word's vector is the sum of the indexes of the words up to WINDOW places away, over all documents, in whole
 numbers, so that its size is fixed and reruns agree. A document is the mean and the spread of its words' unit vectors.
 
-The network is fitted on the driver on at most SAMPLE labelled documents, those of smallest hash; a fifth of them
-sets the temperature. Everything else covers all rows. Labels, lang, source and doc_id are no inputs of a score.
+The network is fitted on the driver on at most SAMPLE labelled rows, those of smallest hash; a fifth of them sets the
+temperature, or all of them where they are fewer than APART. Everything else covers all rows. Labels, lang, source and doc_id are no inputs of a score.
 
 Defined results: null and empty texts pool to zeros and get the network's score for that; labels that contradict each
 other are averaged, ties count as 1, null labels are ignored; with labels of one class or none, every score is that
@@ -25,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chunkloom.llm.common import sliced
+from chunkloom.llm.common import lean, sliced
 
 BUCKETS, DIMS, WINDOW = 1 << 15, 32, 2
 SAMPLE, HIDDEN, EPOCHS, SEED = 20_000, 32, 60, 11
+APART, DECAY = 50, 1e-4
 CHUNKS = 64
 WORD = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 
@@ -101,7 +102,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(sums), pa.int32()), "sums": pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())})
 
     shape = "chunk int, sums binary"
-    found = docs.select(docs["text"].cast("string").alias("text")).mapInArrow(count, shape).repartition(12, "chunk").mapInArrow(add, shape).collect()
+    found = docs.select(docs["text"].cast("string").alias("text")).mapInArrow(lean(count), shape).repartition(12, "chunk").mapInArrow(lean(add), shape).collect()
     out = np.zeros((CHUNKS, BUCKETS * DIMS // CHUNKS), np.int64)
     for r in found:  # CHUNKS rows of fixed size
         out[r["chunk"]] = np.frombuffer(zlib.decompress(bytes(r["sums"])), np.int64)
@@ -147,6 +148,15 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -500, 500)))
 
 
+def gradients(params: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+    """Of the mean log loss and half of DECAY times the squared weights: w1, b1, w2, b2."""
+    h = np.tanh(a @ params[0] + params[1])
+    p = 1 / (1 + np.exp(-np.clip(h @ params[2] + params[3][0], -500, 500)))
+    g = (p - b) / len(b)
+    gh = np.outer(g, params[2]) * (1 - h * h)
+    return [a.T @ gh + DECAY * params[0], gh.sum(axis=0), h.T @ g + DECAY * params[2], np.array([g.sum()])]
+
+
 def fit(x: np.ndarray, y: np.ndarray, seed: int = SEED) -> Network:
     r = np.random.default_rng(seed)
     d = x.shape[1]
@@ -154,7 +164,7 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = SEED) -> Network:
         share = float(np.clip(y.mean() if len(y) else 0.5, 1e-6, 1 - 1e-6))
         return Network(np.zeros(d), np.ones(d), np.zeros((d, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), float(np.log(share / (1 - share))))
     order = r.permutation(len(y))
-    apart, own = (order[: len(y) // 5], order[len(y) // 5 :]) if len(y) >= 50 else (order, order)
+    apart, own = (order[: len(y) // 5], order[len(y) // 5 :]) if len(y) >= APART else (order, order)
     xs, ys = x[own], y[own]
     net = Network(xs.mean(axis=0), xs.std(axis=0) + 1e-6, r.normal(0, d**-0.5, (d, HIDDEN)), np.zeros(HIDDEN), r.normal(0, HIDDEN**-0.5, HIDDEN), 0.0)
     z = (xs - net.centre) / net.scale
@@ -163,14 +173,8 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = SEED) -> Network:
     step = 0
     for _ in range(max(EPOCHS, min(1000, 20_000 // max(1, len(ys) // 256 + 1)))):
         for part in np.array_split(r.permutation(len(ys)), max(1, len(ys) // 256)):
-            a, b = z[part], ys[part]
-            h = np.tanh(a @ params[0] + params[1])
-            p = 1 / (1 + np.exp(-np.clip(h @ params[2] + params[3][0], -500, 500)))
-            g = (p - b) / len(b)
-            gh = np.outer(g, params[2]) * (1 - h * h)
-            grads = [a.T @ gh + 1e-4 * params[0], gh.sum(axis=0), h.T @ g + 1e-4 * params[2], np.array([g.sum()])]
             step += 1
-            for i, q in enumerate(grads):
+            for i, q in enumerate(gradients(params, z[part], ys[part])):
                 m[i] = 0.9 * m[i] + 0.1 * q
                 v[i] = 0.999 * v[i] + 0.001 * q * q
                 params[i] -= 3e-3 * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
@@ -200,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", sample: i
 
     few = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     few = few.join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("doc_id", F.col("_y").alias("y"), "text")  # at most `sample` ids
-    rows = few.mapInArrow(pooled, "doc_id long, y double, x binary").toPandas().sort_values(["doc_id", "x"])
+    rows = few.mapInArrow(lean(pooled), "doc_id long, y double, x binary").orderBy(F.xxhash64("doc_id", "x"), "doc_id", "x").limit(sample).toPandas().sort_values(["doc_id", "x"])
     x = np.array([np.frombuffer(b, np.float32) for b in rows["x"]], np.float64).reshape(-1, 2 * DIMS)
     return vectors, fit(x, (rows["y"].to_numpy() >= 0.5).astype(np.float64))
 
@@ -215,7 +219,7 @@ def score(docs: DataFrame, vectors: np.ndarray, net: Network) -> DataFrame:
                 p = net.scores(pool(vectors, tokens, batch.column("text").to_pylist()))
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(p, pa.float64())})
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, target: str = "quality") -> DataFrame:
@@ -235,4 +239,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Dat
                 good = net.scores(pool(vectors, tokens, batch.column("text").to_pylist())) >= threshold
                 yield batch.filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

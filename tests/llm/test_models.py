@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -23,12 +25,83 @@ def test_quality_edges(spark, edge):
     assert {r["score"] for r in quality.classify(edge, labels.limit(0)).collect()} == {0.5}
     assert quality.classify(edge.limit(0), labels).count() == 0
     assert quality.keep_good(edge, labels, 0.0).columns == edge.columns
-    import zlib
-
     ids = spark.range(50).select(F.col("id").alias("d"), quality.held_out(F.col("id")).alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["d"]).encode()) % 3 == 1) for r in ids)
 
 
+TEXTS = ["The cat, the dog & a_cat 42!", None, "", "one", "un café noir — 7 fois", "the the the the dog", "a b c d e f g h " * 9]
+
+
+def test_word_vectors_against_plain_loops(spark):
+    words = [quality.WORD.findall(t or "") for t in TEXTS]
+    bucket = lambda w: zlib.crc32(w.encode()) % quality.BUCKETS
+    plus, minus = quality.random_index()
+    want = {}
+    for own in words:
+        for i, w in enumerate(own):
+            v = want.setdefault(bucket(w), [0] * quality.DIMS)
+            for j in range(max(0, i - quality.WINDOW), min(len(own), i + quality.WINDOW + 1)):
+                if j != i:
+                    v[plus[bucket(own[j])]] += 1
+                    v[minus[bucket(own[j])]] -= 1
+    got = quality.word_vectors(spark.createDataFrame([(t,) for t in TEXTS], "text string").repartition(3))
+    assert got.shape == (quality.BUCKETS, quality.DIMS) and set(np.flatnonzero(got.any(axis=1))) <= set(want)
+    for b, v in want.items():
+        n = sum(x * x for x in v) ** 0.5
+        assert np.allclose(got[b], np.array(v) / (n or 1), atol=1e-6)
+    # pooling
+    pooled = quality.pool(got, quality.Tokens(), TEXTS)
+    for row, own in zip(pooled, words, strict=True):
+        vectors = [got[bucket(w)].astype(float) for w in own]
+        for d in range(quality.DIMS):
+            x = [v[d] for v in vectors]
+            mean = sum(x) / len(x) if x else 0.0
+            spread = max(0.0, sum(a * a for a in x) / len(x) - mean * mean) ** 0.5 if x else 0.0
+            assert abs(row[d] - mean) < 1e-6 and abs(row[quality.DIMS + d] - spread) < 1e-3
+    assert (quality.pool(got, quality.Tokens(), ["x y " * 70_000])[0] == quality.pool(got, quality.Tokens(), ["x y " * 70_000, ""])[0]).all()
+
+
+def test_gradients_and_scores_against_plain_loops():
+    r = np.random.default_rng(2)
+    params = [r.normal(size=(5, 4)), r.normal(size=4), r.normal(size=4), r.normal(size=1)]
+    a, b = r.normal(size=(7, 5)), r.integers(0, 2, 7).astype(float)
+
+    def logit(x):
+        hidden = [np.tanh(sum(x[i] * params[0][i, j] for i in range(5)) + params[1][j]) for j in range(4)]
+        return sum(h * params[2][j] for j, h in enumerate(hidden)) + params[3][0]
+
+    def loss():
+        own = sum(np.log1p(np.exp(-logit(x) if y else logit(x))) for x, y in zip(a, b, strict=True)) / len(b)
+        return own + quality.DECAY / 2 * ((params[0] ** 2).sum() + (params[2] ** 2).sum())
+
+    got = quality.gradients(params, a, b)
+    for p, g in zip(params, got, strict=True):
+        for i in np.ndindex(p.shape):
+            old, step = p[i], 1e-6
+            p[i] = old + step
+            up = loss()
+            p[i] = old - step
+            down = loss()
+            p[i] = old
+            assert abs((up - down) / (2 * step) - g[i]) < 1e-6
+    net = quality.Network(np.full(5, 0.5), np.full(5, 2.0), *params[:3], params[3][0], 1.7)
+    x = a * 2 + 0.5
+    assert np.allclose(net.scores(x), [1 / (1 + np.exp(-logit(v) / 1.7)) for v in a])
+
+
+def test_sample_bounds_rows(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(300)] + [(2, "b")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    seen = []
+    old = quality.fit
+    quality.fit = lambda x, y: (seen.append(len(x)), old(x, y))[1]
+    try:
+        quality.train(docs, labels, sample=40)
+    finally:
+        quality.fit = old
+    assert seen and seen[0] <= 40
+
+
 def brute(ids, x, k, every):
     out = {}
     for i, q in zip(ids, x, strict=True):
