@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkloom.llm.common import cut
+from chunkloom.llm.common import cut, lean
 
 MAX_ROUNDS = 60
 #: Up to so many distinct links (16 bytes each) one task joins them; beyond, rounds of stars over all tasks do.
@@ -38,7 +38,7 @@ def components(links: DataFrame) -> DataFrame:
     counts and a checksum."""
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     if edges.count() <= ONE_TASK:
-        return edges.coalesce(1).mapInArrow(join_links, "node long, component long")
+        return edges.coalesce(1).mapInArrow(lean(join_links), "node long, component long")
     seen = None
     for _ in range(MAX_ROUNDS):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

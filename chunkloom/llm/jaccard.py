@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkloom.llm.common import cut, fan_out, sliced
+from chunkloom.llm.common import cut, fan_out, lean, sliced
 from chunkloom.llm.components import components
 from chunkloom.llm.packed import STEP, Words, column_bytes, scramble
 
@@ -109,7 +109,7 @@ def describe(docs: DataFrame) -> DataFrame:
         null = pa.nulls(len(some), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), null, null, null, pa.array([zlib.compress(parts[i].tobytes(), 1) for i in some], pa.binary())], ["part", "doc_id", "n", "node", "data"])
 
-    return _texts(docs).mapInArrow(run, "part int, doc_id long, n long, node long, data binary")
+    return _texts(docs).mapInArrow(lean(run), "part int, doc_id long, n long, node long, data binary")
 
 
 def frequency_levels(described: DataFrame) -> np.ndarray:
@@ -125,7 +125,7 @@ def frequency_levels(described: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"part": pa.array(list(sums), pa.int32()), "data": pa.array(levels, pa.binary())})
 
     out = np.zeros((CHUNKS, (1 << SKETCH_BITS) // CHUNKS), np.uint8)
-    for r in described.where("part >= 0").select("part", "data").repartition(12, "part").mapInArrow(add, "part int, data binary").collect():
+    for r in described.where("part >= 0").select("part", "data").repartition(12, "part").mapInArrow(lean(add), "part int, data binary").collect():
         out[r["part"]] = np.frombuffer(zlib.decompress(bytes(r["data"])), np.uint8)
     return out.ravel()
 
@@ -179,7 +179,7 @@ def prefixes(docs: DataFrame, levels: np.ndarray, buckets: int) -> DataFrame:
         if held:
             yield from flush()
 
-    return _texts(docs).mapInArrow(run, "bucket int, data binary")
+    return _texts(docs).mapInArrow(lean(run), "bucket int, data binary")
 
 
 def _admit(n1: np.ndarray, p1: np.ndarray, n2: np.ndarray, p2: np.ndarray) -> np.ndarray:
@@ -251,7 +251,7 @@ def group_pairs(packed: DataFrame, buckets: int) -> DataFrame:
         if blobs:
             yield from one(blobs)
 
-    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, PAIRS)
+    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(run), PAIRS)
 
 
 def fine_counts(texts: DataFrame) -> DataFrame:
@@ -265,7 +265,7 @@ def fine_counts(texts: DataFrame) -> DataFrame:
                 bins = [np.minimum(np.bincount((s >> np.uint64(64 - FINE_BITS)).astype(np.int64), minlength=FINE), 255).astype(np.uint8) for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([zlib.compress(x.tobytes(), 1) for x in bins], pa.binary())], ["node", "fine"])
 
-    return texts.mapInArrow(run, "node long, fine binary")
+    return texts.mapInArrow(lean(run), "node long, fine binary")
 
 
 def _close(n: np.ndarray, pos: np.ndarray, label: np.ndarray, block: np.ndarray, bins: np.ndarray, spanning: bool) -> Iterator[np.ndarray]:
@@ -344,7 +344,7 @@ def cross_pairs(members: DataFrame, labels: DataFrame, fine: DataFrame, spanning
         if held:
             yield from one()
 
-    return left.repartition(fan_out(members), "a", "x", "y").sortWithinPartitions("a", "x", "y", "n", "b").mapInArrow(run, "a long, b long").distinct()
+    return left.repartition(fan_out(members), "a", "x", "y").sortWithinPartitions("a", "x", "y", "n", "b").mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def suffix_filter(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -363,7 +363,7 @@ def suffix_filter(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             ok |= np.maximum(na, nb) > 65535
             yield pa.RecordBatch.from_pydict({"a": b.column("a"), "b": b.column("b")}).filter(pa.array(ok))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(lean(run), "a long, b long")
 
 
 def _filter_bits(nodes: DataFrame) -> np.ndarray:
@@ -397,7 +397,7 @@ def node_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 texts = b.column("text").take(pa.array(rows, pa.int64())).to_pylist()
                 yield pa.RecordBatch.from_pydict({"node": pa.array(node, pa.int64()), "text": pa.array([zlib.compress(t.encode("utf-8", "surrogatepass"), 6) for t in texts], pa.binary())})
 
-    return _texts(docs).mapInArrow(run, "node long, text binary").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+    return _texts(docs).mapInArrow(lean(run), "node long, text binary").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -430,7 +430,7 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
     both = hubs.unionByName(spokes).repartition(fan_out(pairs), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(lean(run), "a long, b long")
 
 
 def classes(docs: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkloom.llm.common import sliced
+from chunkloom.llm.common import lean, sliced
 
 #: Phrases and their labels.
 PHRASES = [("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit")]
@@ -117,7 +117,7 @@ def token_frequencies(docs: DataFrame, text_col: str, tokens: frozenset[bytes])
                         total[w] += 1
         yield pa.RecordBatch.from_pydict({"token": [t.decode() for t in total], "n": pa.array(list(total.values()), pa.int64())})
 
-    rows = docs.select(docs[text_col].cast("string").alias("text")).mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(docs[text_col].cast("string").alias("text")).mapInArrow(lean(run), "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
     return {r["token"].encode(): r["n"] for r in rows}
 
 
@@ -223,4 +223,4 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True))], [x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(lean(run), SCHEMA)

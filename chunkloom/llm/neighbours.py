@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chunkloom.llm.common import cut, fan_out
+from chunkloom.llm.common import cut, fan_out, lean
 
 SAMPLE, BRANCHES, LEAF_POINTS, MAX_LEAVES = 20_000, 8, 256, 4096
 CALIBRATION, TARGET_RECALL, BLOCK, SEED = 128, 0.95, 4096, 5
@@ -129,7 +129,7 @@ def _to_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def search(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", target_recall: float = TARGET_RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row whose id is divisible by `every`."""
-    rows = cut(usable(df, id_col, vec_col).mapInArrow(_to_bytes, "vec_id long, v binary"))
+    rows = cut(usable(df, id_col, vec_col).mapInArrow(lean(_to_bytes), "vec_id long, v binary"))
     first = Window.partitionBy("v").orderBy("vec_id")
     # the k + 1 smallest ids of each distinct vector; Spark limits each group before the shuffle
     few = rows.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)
@@ -148,7 +148,7 @@ def search(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
         for b in batches:
             yield pa.RecordBatch.from_pydict({"leaf": pa.array(tree.assign(_matrix(b.column("v"))) if b.num_rows else [], pa.int32()), "pid": b.column("pid"), "v": b.column("v")})
 
-    placed = cut(points.select("pid", "v").mapInArrow(place, "leaf int, pid long, v binary"))
+    placed = cut(points.select("pid", "v").mapInArrow(lean(place), "leaf int, pid long, v binary"))
     counts = {r["leaf"]: r["count"] for r in placed.groupBy("leaf").count().collect()}  # at most MAX_LEAVES rows
     blocks = {leaf: -(-c // BLOCK) for leaf, c in counts.items()}
 
@@ -173,7 +173,7 @@ def search(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
 
     shape = "leaf int, block int, tag int, pid long, v binary"
     sought = points.join(asked.select("pid").distinct(), "pid", "left_semi").select("pid", "v")
-    both = placed.mapInArrow(tag_points, shape).unionByName(sought.mapInArrow(tag_queries, shape))
+    both = placed.mapInArrow(lean(tag_points), shape).unionByName(sought.mapInArrow(lean(tag_queries), shape))
     both = both.repartition(fan_out(df), "leaf", "block").sortWithinPartitions("leaf", "block", "tag")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +228,7 @@ def search(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
         if held:
             yield batch(reduced())
 
-    near = both.mapInArrow(compare, "q long, pid long, score double")
+    near = both.mapInArrow(lean(compare), "q long, pid long, score double")
     best = Window.partitionBy("q").orderBy(F.desc("score"), "pid")
     near = near.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r")
     found = near.join(points.select("pid", "ids"), "pid").select("q", "score", F.explode("ids").alias("id"))
@@ -259,7 +259,7 @@ def _calibrate(points: DataFrame, asked: DataFrame, tree: Tree, k: int, target:
             yield pa.RecordBatch.from_pydict({"q": pa.array(np.repeat(np.arange(len(q)), keep), pa.int32()), "leaf": pa.array(leaf[top].ravel(), pa.int32()), "score": pa.array(np.take_along_axis(s, top, axis=1).ravel(), pa.float64())})
 
     w = Window.partitionBy("q").orderBy(F.desc("score"), "leaf")
-    true = points.select("v").mapInArrow(brute, "q int, leaf int, score double").withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).collect()
+    true = points.select("v").mapInArrow(lean(brute), "q int, leaf int, score double").withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).collect()
     order = [{leaf: i for i, leaf in enumerate(tree.visit(v, tree.leaves))} for v in q]
     need = sorted(order[r["q"]][r["leaf"]] + 1 for r in true for _ in range(weight[r["q"]]))
     return need[min(len(need) - 1, int(np.ceil(target * len(need))) - 1)]

@@ -16,14 +16,19 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+#: Powers of a number that a worker keeps; longer tables, for longer texts, live as long as their user.
+KEEP_POWERS = 1 << 19
+
+
 def powers(base: np.uint64, n: int, _kept: dict = {}) -> np.ndarray:  # noqa: B006
+    """The first n powers of base, modulo 2^64."""
     have = _kept.get(int(base))
     if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 20), base, np.uint64)
+        have = np.full(max(n, KEEP_POWERS), base, np.uint64)
         have[0] = 1
-        have = np.multiply.accumulate(have)
-        _kept.clear() if len(_kept) > 4 else None
-        _kept[int(base)] = have
+        np.multiply.accumulate(have, out=have)
+        if len(have) == KEEP_POWERS:
+            _kept[int(base)] = have
     return have[:n]
 
 

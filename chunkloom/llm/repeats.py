@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkloom.llm.common import cut, fan_out, sliced, unused
+from chunkloom.llm.common import cut, fan_out, lean, sliced, unused
 from chunkloom.llm.packed import BYTE_CODES, STEP, STEP_BACK, Words, column_bytes, powers, scramble, sliding_min
 
 SKETCH_BITS, BITMAP_BITS, CHUNKS = 21, 27, 64
@@ -139,7 +139,7 @@ def _sum_chunks(rows: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"part": pa.array(list(sums), pa.int32()), "data": pa.array(packed, pa.binary())})
 
     out = np.zeros((CHUNKS, (1 << SKETCH_BITS) // CHUNKS), np.uint8)
-    for r in rows.repartition(12, "part").mapInArrow(add, "part int, data binary").collect():
+    for r in rows.repartition(12, "part").mapInArrow(lean(add), "part int, data binary").collect():
         out[r["part"]] = np.frombuffer(zlib.decompress(bytes(r["data"])), np.uint8)
     return out.ravel()
 
@@ -157,7 +157,7 @@ def gram_levels(docs: DataFrame, unit: Unit) -> np.ndarray:
         some = [i for i in range(CHUNKS) if parts[i].any()]
         yield pa.RecordBatch.from_pydict({"part": pa.array(some, pa.int32()), "data": pa.array([zlib.compress(parts[i].tobytes(), 1) for i in some], pa.binary())})
 
-    return _sum_chunks(_texts(docs).mapInArrow(run, "part int, data binary"))
+    return _sum_chunks(_texts(docs).mapInArrow(lean(run), "part int, data binary"))
 
 
 def _bit(anchor: np.ndarray) -> np.ndarray:
@@ -222,8 +222,8 @@ def repeated_anchors(docs: DataFrame, unit: Unit, levels: np.ndarray) -> tuple[n
         if held:
             yield one()
 
-    sent = _texts(docs).mapInArrow(run, "bucket int, data binary, often binary")
-    rows = sent.repartition(fan_out(docs), "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "bucket int, n long, bits binary").collect()
+    sent = _texts(docs).mapInArrow(lean(run), "bucket int, data binary, often binary")
+    rows = sent.repartition(fan_out(docs), "bucket").sortWithinPartitions("bucket").mapInArrow(lean(meet), "bucket int, n long, bits binary").collect()
     bitmap = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
     for r in rows:  # at most `buckets` rows of fixed size
         bitmap[r["bucket"] * width // 8 : (r["bucket"] + 1) * width // 8] = np.frombuffer(zlib.decompress(bytes(r["bits"])), np.uint8)
@@ -355,8 +355,8 @@ def kept_windows(docs: DataFrame, unit: Unit, levels: np.ndarray, bitmap: np.nda
         if held:
             yield one()
 
-    sent = _texts(docs).mapInArrow(send, "shard int, data binary")
-    return sent.repartition(min(shards, 4 * fan_out(docs)), "shard").sortWithinPartitions("shard").mapInArrow(settle, "bucket int, data binary")
+    sent = _texts(docs).mapInArrow(lean(send), "shard int, data binary")
+    return sent.repartition(min(shards, 4 * fan_out(docs)), "shard").sortWithinPartitions("shard").mapInArrow(lean(settle), "bucket int, data binary")
 
 
 def _split(s: Segments, cuts: list[int]) -> Iterator[bytes]:
@@ -390,7 +390,7 @@ def remove_repeats(docs: DataFrame, unit: Unit, index: Index, finish: Finish, sc
             yield pa.RecordBatch.from_arrays([*b.columns, *extra.values()], [*names, *extra])
 
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    tagged = docs.mapInArrow(place, f"{shape}, `{bucket_col}` int, `{tag_col}` int, `{data_col}` binary")
+    tagged = docs.mapInArrow(lean(place), f"{shape}, `{bucket_col}` int, `{tag_col}` int, `{data_col}` binary")
     marks = kept.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema.fields], F.col("bucket").alias(bucket_col), F.lit(0).alias(tag_col), F.col("data").alias(data_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -430,4 +430,4 @@ def remove_repeats(docs: DataFrame, unit: Unit, index: Index, finish: Finish, sc
                     yield finish(b.select(names), u, np.cumsum(gone[:-1]) > 0)
 
     both = tagged.unionByName(marks).repartition(2 * fan_out(docs), bucket_col).sortWithinPartitions(bucket_col, tag_col)
-    return both.mapInArrow(run, schema)
+    return both.mapInArrow(lean(run), schema)

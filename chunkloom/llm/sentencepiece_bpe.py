@@ -24,7 +24,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from chunkloom.llm.common import sliced
+from chunkloom.llm.common import lean, sliced
 
 SPACE = "▁"
 # Piece types of the model file.
@@ -300,7 +300,7 @@ def encode_table(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col:
                 ids = [codec.encode(t or "") for t in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, ids array<int>")
 
 
 def decode_table(df: DataFrame, model: bytes) -> DataFrame:
@@ -312,7 +312,7 @@ def decode_table(df: DataFrame, model: bytes) -> DataFrame:
             texts = [None if x is None else codec.decode(x) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return df.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return df.select("doc_id", "ids").mapInArrow(lean(run), "doc_id long, text string")
 
 
 def round_trip(df: DataFrame, model: bytes) -> DataFrame:
@@ -335,7 +335,7 @@ def round_trip(df: DataFrame, model: bytes) -> DataFrame:
                     same.append(back == (text or "").replace(SPACE, " "))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(same, pa.bool_())], names)
 
-    return df.select(df["doc_id"].cast("long").alias("doc_id"), df["text"].cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, is_lossless boolean")
+    return df.select(df["doc_id"].cast("long").alias("doc_id"), df["text"].cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, is_lossless boolean")
 
 
 def encode_corpus(docs: DataFrame, model: bytes) -> DataFrame:
@@ -354,4 +354,4 @@ def encode_corpus(docs: DataFrame, model: bytes) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "lang", "source")), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "lang", "source", "n_tokens", "ids"])
 
     few = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["lang"].cast("string").alias("lang"), docs["source"].cast("string").alias("source"), docs["text"].cast("string").alias("text"))
-    return few.mapInArrow(run, "doc_id long, lang string, source string, n_tokens long, ids array<int>")
+    return few.mapInArrow(lean(run), "doc_id long, lang string, source string, n_tokens long, ids array<int>")

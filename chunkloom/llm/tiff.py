@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from chunkloom.llm.common import sliced
+from chunkloom.llm.common import lean, sliced
 
 # TIFF 6.0 tags and compression codes.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, FILL_ORDER = 256, 257, 258, 259, 262, 266
@@ -403,7 +403,7 @@ def tiff_pages(df: DataFrame, id_col: str, media_col: str, max_page_bytes: int =
                 kinds = [pa.int64(), *[pa.int32()] * 7, pa.binary(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 10, kinds, strict=True)], names)
 
-    return df.select(df[id_col].cast("long").alias("id"), df[media_col].cast("binary").alias("media")).mapInArrow(run, PAGE_SCHEMA)
+    return df.select(df[id_col].cast("long").alias("id"), df[media_col].cast("binary").alias("media")).mapInArrow(lean(run), PAGE_SCHEMA)
 
 
 #: Width of the stored pages, and rows after which a payload continues on a new page.
@@ -447,4 +447,4 @@ def text_media_digests(docs: DataFrame) -> DataFrame:
                 cols = zip(*map(digest, batch.column("text").to_pylist()), strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names)
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, DIGEST_SCHEMA)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(lean(run), DIGEST_SCHEMA)
