@@ -1,6 +1,7 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and read again as the next one's documents.
 
-Null ids, texts and columns pass through as the operators define; extra columns are kept up to the last stage.
+Null ids, texts and columns pass through as the operators define; rows that share an id are judged each on its own text;
+an empty table stays empty; extra columns are kept up to the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -42,10 +43,13 @@ def remove_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it. Rows that share an id share the most copies that one of them gets."""
-    key, copies, nth = unused(docs.columns, "id", "copies", "copy")
-    taken = mixing.mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").cast("int").alias(copies))
-    return docs.join(taken, docs["doc_id"].eqNullSafe(taken[key])).select(*docs.columns, F.explode(F.sequence(F.lit(1), copies)).alias(nth)).select(*docs.columns)
+    """Every document as often as the mix takes it. Rows are told apart by id, text and source; of rows equal in these,
+    which the mix may take a different number of times, each comes as often as the one taken most."""
+    key, source, copies, nth = unused(docs.columns, "name", "mixed", "copies", "copy")
+    taken = mixing.mix(docs).where("copies > 0").groupBy(F.col("name").alias(key), F.col("source").alias(source)).agg(F.max("copies").cast("int").alias(copies))
+    named = docs.withColumn(nth, mixing.row_name(docs))
+    both = named.join(taken, (named[nth] == taken[key]) & named["source"].cast("string").eqNullSafe(taken[source]))
+    return both.select(*docs.columns, F.explode(F.sequence(F.lit(1), copies)).alias(nth)).select(*docs.columns)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
