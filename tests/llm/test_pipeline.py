@@ -51,6 +51,38 @@ def test_registered():
     assert set(__spark_entry__.oracle_sql()) <= set(q)
 
 
+def test_stages_on_edges(spark, edge, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows and ids, clashing columns, and empty tables."""
+    sf = str(tmp_path)
+    spark.createDataFrame([(1, 1), (2, 1), (4, 0), (None, 1), (8, None)], "doc_id long, quality int").write.parquet(f"{sf}/labels.parquet")
+    for docs in (edge, edge.limit(0)):
+        for name, f in corpus_pipeline.STAGES:
+            out = f(spark, docs, sf)
+            if f is not corpus_pipeline.encode_pieces:
+                assert out.columns == docs.columns, name
+            assert (out.count() == 0) == (docs is not edge), name
+    docs = [(r["doc_id"], r["text"], r["node"], r["score"]) for r in edge.collect()]
+    kept = [(r["doc_id"], r["text"], r["node"], r["score"]) for r in corpus_pipeline.join_near_duplicates(spark, edge, sf).collect()]
+    assert set(kept) <= set(docs) and sorted(d for d, *_ in kept if d) == [1, 3, 4, 5, 6, 8, 10, 11, 12] and None in {d for d, *_ in kept}
+    cleaned = corpus_pipeline.remove_substrings(spark, edge, sf).collect()
+    assert len(cleaned) == len(docs) and all(r["n_chars"] == (len(r["text"]) if r["text"] is not None else None) for r in cleaned)
+    encoded = corpus_pipeline.encode_pieces(spark, edge, sf).collect()
+    assert len(encoded) == len(docs) and all(r["n_tokens"] == len(r["ids"]) for r in encoded)
+
+
+def test_mix_of_rows_with_one_id(spark):
+    rows = [(1, "a " * 40, "s"), (1, "b " * 3, "t"), (None, "c " * 9, "s"), (None, "d " * 2, None), (2, "e " * 70, "t"), (3, None, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    from chunkloom.llm import mixing
+
+    want = {(g["doc_id"], g["size"], g["source"]): g["copies"] for g in mixing.mix(docs).collect()}
+    got = {}
+    for r in corpus_pipeline.mix_sources(spark, docs, "").collect():
+        k = (r["doc_id"], len((r["text"] or "").split()), r["source"])
+        got[k] = got.get(k, 0) + 1
+    assert got == {k: n for k, n in want.items() if n}
+
+
 def test_near_duplicates_with_repeated_ids(spark):
     words = [f"w{i}" for i in range(400)]
     a, b, c = (" ".join(words[i : i + 100]) for i in (0, 100, 200))
