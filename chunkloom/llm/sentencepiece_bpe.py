@@ -339,19 +339,18 @@ def round_trip(df: DataFrame, model: bytes) -> DataFrame:
 
 
 def encode_corpus(docs: DataFrame, model: bytes) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids of every row; ids that do not decode to the text again raise an error."""
+    """doc_id, lang, source, n_tokens, ids, is_lossless of every row; is_lossless: the ids decode to the text again (the
+    mark that stands for a blank in pieces comes back as a blank)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model)
         for whole in batches:
             for batch in sliced(whole, "text"):
-                ids = []
-                for text in batch.column("text").to_pylist():
-                    own = codec.encode(text or "")
-                    if codec.decode(own) != (text or "").replace(SPACE, " "):
-                        raise ValueError("a text does not come back from its ids")
-                    ids.append(own)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "lang", "source")), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "lang", "source", "n_tokens", "ids"])
+                texts = [t or "" for t in batch.column("text").to_pylist()]
+                ids = [codec.encode(t) for t in texts]
+                same = [codec.decode(own) == t.replace(SPACE, " ") for own, t in zip(ids, texts, strict=True)]
+                columns = [*(batch.column(c) for c in ("doc_id", "lang", "source")), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang", "source", "n_tokens", "ids", "is_lossless"])
 
     few = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["lang"].cast("string").alias("lang"), docs["source"].cast("string").alias("source"), docs["text"].cast("string").alias("text"))
-    return few.mapInArrow(lean(run), "doc_id long, lang string, source string, n_tokens long, ids array<int>")
+    return few.mapInArrow(lean(run), "doc_id long, lang string, source string, n_tokens long, ids array<int>, is_lossless boolean")

@@ -67,7 +67,7 @@ def test_stages_on_edges(spark, edge, tmp_path):
     cleaned = corpus_pipeline.remove_substrings(spark, edge, sf).collect()
     assert len(cleaned) == len(docs) and all(r["n_chars"] == (len(r["text"]) if r["text"] is not None else None) for r in cleaned)
     encoded = corpus_pipeline.encode_pieces(spark, edge, sf).collect()
-    assert len(encoded) == len(docs) and all(r["n_tokens"] == len(r["ids"]) for r in encoded)
+    assert len(encoded) == len(docs) and all(r["n_tokens"] == len(r["ids"]) and r["is_lossless"] for r in encoded)
 
 
 def test_mix_of_rows_with_one_id(spark):
