@@ -53,7 +53,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids of every document that the mix holds, in its copies."""
+    """doc_id, lang, source, n_tokens, ids, is_lossless of every document that the mix holds, in its copies."""
     import public_tokenizers
 
     model = sentencepiece_bpe.model_bytes(public_tokenizers.path("piece_bpe_32k.model"))
