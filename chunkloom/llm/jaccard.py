@@ -7,12 +7,16 @@
 3. Each bucket finds its shingles of several nodes. Pairs must pass the length filter and the positional filter. Small
    groups give all such pairs. In a large group each node pairs with a leader of like size only, and the group's
    members are kept: once the links found so far are known, members of different classes are paired too (step 5). As
-   links within a class change nothing, no class is lost, and a group of n copies costs about n pairs.
+   links within a class change nothing, no class is lost, and a group of n copies costs about n pairs. The nodes of a
+   shingle with more than HOT places in the corpus are dealt over several buckets, and their leaders meet after that,
+   so no task holds a whole group.
 4. Distinct pairs pass the suffix filter (shingles counted by hash range bound the overlap), then are verified, once,
    on the whole sets of their texts. A node with many pairs is spread over several tasks.
 5. Large groups that still hold several classes are searched across classes, with the suffix filter in finer ranges:
    first for pairs that likely link, at most one for each class to be joined, then for all pairs that are left.
-   These are verified in the same way.
+   Members are dealt in blocks. A class that fills a block has blocks of its own, which meet those of other classes
+   only: a class of n members and r others cost n * r / BLOCK rows, whatever n is. What was verified before is not
+   verified again.
 
 Defined results: null, empty or blank texts have n_shingles 0 and form a class each; texts of under five words have one
 shingle, the whole sequence; rows that share a doc_id are each judged by their own text; extra columns are ignored; an
@@ -40,8 +44,9 @@ SKETCH_BITS, CHUNKS = 23, 64
 #: Groups up to this size give all their pairs at once. Pairs of a node that one task verifies. Bits of the node filter.
 SMALL_GROUP, SPREAD, FILTER_BITS = 12, 1024, 23
 BINS = 64
-#: Ranges of the suffix filter within large groups; members of a group that one task holds (twice).
-FINE_BITS, BLOCK = 10, 4096
+#: Ranges of the suffix filter within large groups; members of a group that one task holds (twice). Places of a shingle
+#: in the corpus, by the table of counts, beyond which its nodes are dealt over several buckets.
+FINE_BITS, BLOCK, HOT = 10, 4096, 1 << 16
 FINE = 1 << FINE_BITS
 SLICE = 1 << 18
 
@@ -144,7 +149,8 @@ def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 def prefixes(docs: DataFrame, levels: np.ndarray, buckets: int) -> DataFrame:
-    """bucket, data: the packed prefix entries (ordered shingle, node, n, position) of all distinct nodes of a task."""
+    """bucket, data: the packed prefix entries (ordered shingle, node, n, position) of all distinct nodes of a task. A
+    shingle's level is in its key, so that all tasks deal a frequent one's nodes over the same buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -153,7 +159,9 @@ def prefixes(docs: DataFrame, levels: np.ndarray, buckets: int) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             key, node, n, pos = (np.concatenate(x) for x in zip(*held, strict=True))
-            bucket = (scramble(key) >> np.uint64(40)).astype(np.int64) % buckets
+            parts = np.ceil(2.0 ** ((key >> np.uint64(56)).astype(np.float64) / 4) / HOT).astype(np.uint64)
+            salt = np.where(parts > 1, scramble(node.astype(np.uint64)) % np.maximum(parts, 1), np.uint64(0))
+            bucket = (scramble(key + salt * STEP) >> np.uint64(40)).astype(np.int64) % buckets
             order = np.lexsort((key, bucket))
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             some = np.flatnonzero(np.diff(cuts))
@@ -173,7 +181,7 @@ def prefixes(docs: DataFrame, levels: np.ndarray, buckets: int) -> DataFrame:
                     key = np.sort(np.partition(key, p - 1)[:p])
                     held.append((key, np.full(p, name), np.full(p, len(s)), np.arange(p)))
                     size += p
-                    if size >= 1 << 20:
+                    if size >= 1 << 19:
                         yield from flush()
                         size = 0
         if held:
@@ -201,8 +209,24 @@ def _across(node: np.ndarray, n: np.ndarray, pos: np.ndarray) -> Iterator[np.nda
 PAIRS = "kind int, a long, b long, n long, pos long"
 
 
+def _stars(node: np.ndarray, n: np.ndarray, pos: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The leaders (places) of a group's members, sorted by n, and the pairs (2 x m) of each with members of like size."""
+    lo, hi = 0, len(node)
+    while lo < hi:
+        stop = min(hi, lo + np.searchsorted(n[lo:hi], n[lo] * DEN // NUM, "right"))
+        j = np.arange(lo + 1, stop)
+        j = j[_admit(n[lo], pos[lo], n[j], pos[j])]
+        yield lo, np.stack([np.full(len(j), node[lo]), node[j]])
+        lo = stop
+
+
 def group_pairs(packed: DataFrame, buckets: int) -> DataFrame:
-    """kind 0: a pair (a, b). kind 1: a member of a large group (a: shingle, b: node, n, pos)."""
+    """kind 0: a pair (a, b); a comes first by n, then by node. kind 1: a member of a large group (a: shingle, b: node, n,
+    pos). kind 2: the same, of a leader in a group that is dealt over several buckets."""
+
+    def rows(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray | None = None, pos: np.ndarray | None = None) -> pa.RecordBatch:
+        zero = pa.nulls(len(a), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), zero if n is None else pa.array(n), zero if pos is None else pa.array(pos)], ["kind", "a", "b", "n", "pos"])
 
     def one(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         key, node, n, pos = (np.concatenate(x) for x in zip(*map(_unpack, blobs), strict=True))
@@ -213,31 +237,30 @@ def group_pairs(packed: DataFrame, buckets: int) -> DataFrame:
         key, node, n, pos = key[fresh], node[fresh], n[fresh], pos[fresh]
         cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
         sizes = np.diff(cuts)
+        dealt = 2.0 ** ((key[cuts[:-1]] >> np.uint64(56)).astype(np.float64) / 4) > HOT  # this may be a part of the group
         pairs: list[np.ndarray] = []
-        two = cuts[:-1][sizes == 2]  # the common case, all at once
+        two = cuts[:-1][(sizes == 2) & ~dealt]  # the common case, all at once
         if len(two):
             ok = _admit(n[two], pos[two], n[two + 1], pos[two + 1])
             pairs.append(np.stack([node[two[ok]], node[two[ok] + 1]]))
-        keep = []
-        for g in np.flatnonzero(sizes > 2):
+        keep, leaders = [], []
+        for g in np.flatnonzero((sizes > 2) | dealt):
             lo, hi = cuts[g], cuts[g + 1]
-            if hi - lo <= SMALL_GROUP:
+            if hi - lo <= SMALL_GROUP and not dealt[g]:
                 pairs += _across(node[lo:hi], n[lo:hi], pos[lo:hi])
                 continue
             keep.append(np.arange(lo, hi))
-            while lo < hi:  # stars of like size
-                stop = min(hi, lo + np.searchsorted(n[lo:hi], n[lo] * DEN // NUM, "right"))
-                j = np.arange(lo + 1, stop)
-                j = j[_admit(n[lo], pos[lo], n[j], pos[j])]
-                pairs.append(np.stack([np.full(len(j), node[lo]), node[j]]))
-                lo = stop
+            for at, p in _stars(node[lo:hi], n[lo:hi], pos[lo:hi]):
+                pairs.append(p)
+                if dealt[g]:
+                    leaders.append(lo + at)
         if pairs and sum(x.shape[1] for x in pairs):
             p = np.unique(np.concatenate(pairs, axis=1), axis=1)
-            zero = pa.nulls(p.shape[1], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(p.shape[1], np.int32)), pa.array(p[0]), pa.array(p[1]), zero, zero], ["kind", "a", "b", "n", "pos"])
-        if keep:
-            i = np.concatenate(keep)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(i), np.int32)), pa.array(key[i].astype(np.int64)), pa.array(node[i]), pa.array(n[i]), pa.array(pos[i])], ["kind", "a", "b", "n", "pos"])
+            yield rows(0, p[0], p[1])
+        for kind, places in ((1, keep), (2, [leaders] if leaders else [])):
+            if places:
+                i = np.concatenate(places)
+                yield rows(kind, key[i].astype(np.int64), node[i], n[i], pos[i])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, blobs = None, []
@@ -254,6 +277,25 @@ def group_pairs(packed: DataFrame, buckets: int) -> DataFrame:
     return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(run), PAIRS)
 
 
+def leader_pairs(leaders: DataFrame) -> DataFrame:
+    """Pairs of the leaders (a: shingle, b: node, n, pos) of groups that were dealt over several buckets: few for each
+    bucket, and streamed in order, so that a task holds the leader at hand only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = head = None
+        for b in batches:
+            left, right = [], []
+            for k, node, n, pos in zip(*(b.column(c).to_pylist() for c in ("a", "b", "n", "pos")), strict=True):
+                if k != key or n * NUM > head[1] * DEN:
+                    key, head = k, (node, n, pos)
+                elif node != head[0] and _admit(np.int64(head[1]), np.int64(head[2]), np.int64(n), np.int64(pos)):
+                    left.append(head[0])
+                    right.append(node)
+            yield pa.RecordBatch.from_pydict({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+    return leaders.repartition(fan_out(leaders), "a").sortWithinPartitions("a", "n", "b").mapInArrow(lean(run), "a long, b long")
+
+
 def fine_counts(texts: DataFrame) -> DataFrame:
     """node, fine: each set's shingles counted in FINE hash ranges, packed; counts stop at 255."""
 
@@ -297,15 +339,31 @@ def _close(n: np.ndarray, pos: np.ndarray, label: np.ndarray, block: np.ndarray,
             yield np.stack([np.full(len(j), i), j])
 
 
-def cross_pairs(members: DataFrame, labels: DataFrame, fine: DataFrame, spanning: bool) -> DataFrame:
-    """Pairs of members of one large group whose classes still differ. members: a (shingle), b (node), n, pos. Groups
-    beyond BLOCK members are dealt in pairs of blocks, so that no task holds more than two blocks of a group."""
+def dealt_blocks(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """a, b, n, pos, label, block, x, y: the members of large groups that still hold several classes, once for each pair
+    of blocks (x, y) in which they can meet another class. A class of BLOCK / 2 members or more has blocks of its own."""
     labelled = members.join(labels.select(F.col("node").alias("b"), F.col("component").alias("label")), "b", "left").withColumn("label", F.coalesce("label", "b"))
-    open_ = labelled.groupBy("a").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("k")).where("lo <> hi").select("a", "k")
-    left = labelled.join(open_, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("k")).cast("int"))
-    left = left.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
-    left = left.select("a", "b", "n", "pos", "label", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-    left = left.join(fine.withColumnRenamed("node", "b"), "b")
+    sizes = labelled.groupBy("a", "label").agg(F.count("*").alias("c"))
+    large = F.col("c") >= F.lit(BLOCK // 2)
+    per = F.ceil(F.col("c") / BLOCK).cast("int")
+    own = F.sort_array(F.collect_list(F.when(large, F.struct("label", per.alias("k")))))  # at most 2 / BLOCK of the members
+    groups = sizes.groupBy("a").agg(F.count("*").alias("classes"), own.alias("large"), F.coalesce(F.ceil(F.sum(F.when(~large, F.col("c"))) / BLOCK), F.lit(0)).cast("int").alias("rest"))
+    groups = groups.where("classes > 1").select("a", "large", "rest", F.aggregate("large", F.lit(0), lambda t, x: t + x["k"]).alias("own"))
+    # blocks 0 .. rest - 1 are those of small classes; a large class has the k blocks from `at` on
+    starts = groups.select("a", "large", F.posexplode("large").alias("i", "e"), "rest").select("a", F.col("e.label").alias("label"), F.col("e.k").alias("k"), F.expr("rest + aggregate(slice(large, 1, i), 0, (t, x) -> t + x.k)").alias("at"))
+    left = labelled.join(groups.select("a", "rest", "own"), "a").join(starts, ["a", "label"], "left")
+    spot = F.xxhash64("b")
+    left = left.withColumn("block", F.when(F.col("k").isNotNull(), F.col("at") + F.pmod(spot, F.col("k"))).otherwise(F.pmod(spot, F.greatest(F.col("rest"), F.lit(1)))).cast("int"))
+    others = F.sequence(F.lit(0), F.col("rest") + F.col("own") - 1)
+    others = F.when(F.col("k").isNull(), others).otherwise(F.filter(others, lambda o: (o < F.col("at")) | (o >= F.col("at") + F.col("k"))))
+    left = left.select("a", "b", "n", "pos", "label", "block", F.explode(others).alias("other"))
+    return left.select("a", "b", "n", "pos", "label", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+
+
+def cross_pairs(members: DataFrame, labels: DataFrame, fine: DataFrame, spanning: bool) -> DataFrame:
+    """Pairs (a, b; a first by n, then by node) of members of one large group whose classes still differ. members: a
+    (shingle), b (node), n, pos. No task holds more than two blocks of a group."""
+    left = dealt_blocks(members, labels).join(fine.withColumnRenamed("node", "b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -327,7 +385,7 @@ def cross_pairs(members: DataFrame, labels: DataFrame, fine: DataFrame, spanning
                 yield out(node, found)
 
         def out(node: np.ndarray, found: list[np.ndarray]) -> pa.RecordBatch:
-            p = np.sort(node[np.concatenate(found, axis=1)], axis=0)
+            p = node[np.concatenate(found, axis=1)]
             return pa.RecordBatch.from_pydict({"a": pa.array(p[0]), "b": pa.array(p[1])})
 
         for b in batches:
@@ -442,7 +500,8 @@ def classes(docs: DataFrame) -> DataFrame:
     buckets = 4 * fan_out(docs)
     grouped = cut(group_pairs(prefixes(docs, levels, buckets), buckets))
 
-    near = cut(suffix_filter(grouped.where("kind = 0").select("a", "b").distinct(), nodes))
+    pairs = grouped.where("kind = 0").select("a", "b").unionByName(leader_pairs(grouped.where("kind = 2").select("a", "b", "n", "pos")))
+    near = cut(suffix_filter(pairs.distinct(), nodes))
     members = grouped.where("kind = 1").select("a", "b", "n", "pos")
     inside = members.select(F.col("b").alias("node")).distinct()
     wanted = cut(near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).unionByName(inside).distinct())
@@ -451,9 +510,11 @@ def classes(docs: DataFrame) -> DataFrame:
     found = cut(components(links))
     fine = cut(fine_counts(texts.join(inside, "node", "left_semi")))
     # first what joins the most classes with the fewest pairs, then all pairs across classes that are left
+    seen = near
     for spanning in (True, False):
-        more = cut(cross_pairs(members, found, fine, spanning))
+        more = cut(cross_pairs(members, found, fine, spanning).join(seen, ["a", "b"], "left_anti"))
         new = None if more.isEmpty() else cut(verify(more, texts))
+        seen = seen.unionByName(more)
         if new is not None and not new.isEmpty():
             links = links.unionByName(new)
             found = cut(components(links))

@@ -60,13 +60,35 @@ def test_classes_match_brute_force(spark, seed):
     assert got == classes(rows)
 
 
-@pytest.mark.parametrize("one_task", [0, 1 << 20])
-def test_classes_in_blocks_and_rounds(spark, monkeypatch, one_task):
+@pytest.mark.parametrize("one_task, hot", [(0, 1 << 16), (1 << 20, 8), (1 << 20, 2)])
+def test_classes_in_blocks_and_rounds(spark, monkeypatch, one_task, hot):
+    """With small blocks and groups dealt over buckets; each pair is verified once over all rounds."""
     monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "HOT", hot)
     monkeypatch.setattr(components, "ONE_TASK", one_task)
+    verified = []
+    verify = jaccard.verify
+    monkeypatch.setattr(jaccard, "verify", lambda pairs, texts: (verified.extend(map(tuple, pairs.select("a", "b").collect())), verify(pairs, texts))[1])
     rows = corpus(3)
     got = sorted(map(tuple, jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()), key=repr)
     assert got == classes(rows)
+    assert verified and len({frozenset(p) for p in verified}) == len(verified)
+
+
+def test_blocks_of_a_large_class_do_not_meet(spark, monkeypatch):
+    """A class of n members and r others give about 2 n rows, not n squared."""
+    monkeypatch.setattr(jaccard, "BLOCK", 64)
+    n = 2000
+    members = spark.createDataFrame([(7, i, 100, 0) for i in range(n + 5)] + [(8, i, 100, 0) for i in range(90)], "a long, b long, n long, pos long")
+    labels = spark.createDataFrame([(i, 0) for i in range(n)], "node long, component long")
+    rows = jaccard.dealt_blocks(members, labels).collect()
+    assert {r["a"] for r in rows} == {7} and len(rows) <= n + 5 * (2 + n // 64 + 1)
+    met = {}
+    for r in rows:
+        met.setdefault((r["x"], r["y"]), {}).setdefault(r["block"], set()).add(r["b"])
+    for i in range(n, n + 5):  # each of the others meets every member once
+        together = [b for p in met.values() if any(i in own for own in p.values()) for own in p.values() for b in own]
+        assert set(range(n)) <= set(together)
 
 
 @pytest.mark.parametrize("one_task", [0, 1 << 20])
