@@ -7,6 +7,7 @@ import zlib
 
 import pandas as pd
 import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,6 +86,15 @@ def added_bytes(target: bytes, base: bytes) -> bytes:
     return delta_parts(target, base)[1]
 
 
+def block_delta_size(target: Column, base: Column) -> Column:
+    """Size of a delta in the block codec, in native expressions: 4 bytes, 4 for each block of STEP bytes that the base has
+    at a block's place, and 1 more than their length for the others. Null without a base."""
+    blocks = lambda x: F.when(F.length(x) > 0, F.transform(F.sequence(F.lit(0), F.length(x) - 1, F.lit(STEP)), lambda i: F.substring(x, i + 1, F.lit(STEP)))).otherwise(F.array().cast("array<binary>"))
+    # hex strings, as arrays of binary values cannot be searched
+    known = F.transform(blocks(base), F.hex)
+    return F.lit(4) + F.aggregate(blocks(target), F.lit(0), lambda n, z: n + F.when(F.array_contains(known, F.hex(z)), 4).otherwise(F.length(z) + 1))
+
+
 @F.pandas_udf(T.LongType())
 def lz4_sizes(data: pd.Series) -> pd.Series:
     return data.map(lambda x: lz4_size(bytes(x)))

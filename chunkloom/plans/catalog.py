@@ -12,36 +12,27 @@ from chunkloom.functions import names
 from chunkloom.operators import archive, codec, dedup, index, metrics, segment, store
 from chunkloom.operators.components import cut
 from chunkloom.operators.pipeline import ReductionPipeline, super_features
+from chunkloom.plans import sql
 from chunkloom.sources import corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 SIZE = 64
 
-# Named parts of the checking SQL; each is a chain of common table expressions.
-_V = """v AS (SELECT source, row_number() OVER (ORDER BY array_to_string(list_transform(regexp_extract_all(upper(source), '([0-9]+|[^0-9]+)'),
-  lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(x, 20, '0') ELSE x END), ''), source) - 1 AS version_no FROM (SELECT DISTINCT source FROM documents)),
-f AS (SELECT version_no, doc_id AS file_id, source AS path, encode(coalesce(text, '')) AS b FROM documents JOIN v USING (source))"""
-_K = f"""{_V},
-k AS (SELECT version_no, file_id, off // {SIZE} AS seq, off, b[off + 1:off + {SIZE}] AS payload, octet_length(b[off + 1:off + {SIZE}]) AS chunk_size, sha256(b[off + 1:off + {SIZE}]) AS fp
-  FROM (SELECT *, unnest(range(0, octet_length(b), {SIZE})) AS off FROM f))"""
-_U = f"""{_K},
-o AS (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY version_no, file_id, seq) AS nth, count(*) OVER (PARTITION BY fp) AS copies FROM k),
-u AS (SELECT *, row_number() OVER (ORDER BY version_no, file_id, seq) - 1 AS chunk_id FROM o WHERE nth = 1)"""
-_S = f"""{_U},
-s AS (SELECT chunk_id, version_no, pos, hex(payload[16 * pos + 1:16 * pos + 8]) AS sf FROM u, (SELECT unnest([0, 1, 2]) AS pos) WHERE chunk_size = {SIZE})"""
-_D = f"""{_S},
-h AS (SELECT chunk_id, pos, max(chunk_id) OVER (PARTITION BY sf ORDER BY chunk_id RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS base_id FROM s),
-m AS (SELECT chunk_id, arg_min(base_id, pos) AS base_id FROM h WHERE base_id IS NOT NULL GROUP BY chunk_id),
-d AS (SELECT u.chunk_id, u.version_no, chunk_size, u.seq = 0 AS is_header, m.base_id, CASE WHEN m.base_id IS NULL THEN 'BASE_RAW' ELSE 'DELTA' END AS kind,
-  CASE WHEN m.base_id IS NULL THEN chunk_size ELSE greatest(1, chunk_size // 3) END AS save_size FROM u LEFT JOIN m USING (chunk_id))"""
-
-
-def register(name: str, sql: str | None = None):
+#: Bytes of the fixed chunks of queries that compare all chunks of a value: large enough that few are without features.
+WIDE = 512
+
+_V, _K = sql.FILES, sql.fixed(SIZE)
+_U = sql.unique(_K)
+_W = sql.super_features(sql.unique(sql.fixed(WIDE)))
+_S, _D = sql.super_features(sql.SMALL), sql.DECISIONS
+
+
+def register(name: str, check: str | None = None):
     def deco(f):
         QUERIES[name] = f
-        if sql is not None:
-            ORACLE_SQL[name] = sql
+        if check is not None:
+            ORACLE_SQL[name] = check
         return f
 
     return deco
@@ -61,19 +52,28 @@ def unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(dedup.unique_chunks(c.drop("payload")).join(c.select(*dedup.PLACE, "payload"), dedup.PLACE))
 
 
-def proxy_features(u: DataFrame) -> DataFrame:
-    """chunk_id, version_no, pos, sf: three pieces of eight bytes, so that index policies can be checked in SQL."""
-    pieces = F.array(*[F.hex(F.substring("payload", 16 * i + 1, 8)) for i in range(3)])
-    return u.where(F.col("chunk_size") == SIZE).select("chunk_id", "version_no", F.posexplode(pieces).alias("pos", "sf"))
+def wide_unique(spark: SparkSession, sf_dir: str, source: DataFrame | None = None) -> DataFrame:
+    """Unique fixed chunks of WIDE bytes."""
+    c = dedup.fingerprinted(segment.fixed(files(spark, sf_dir) if source is None else source, WIDE))
+    return cut(dedup.unique_chunks(c.drop("payload")).join(c.select(*dedup.PLACE, "payload"), dedup.PLACE))
 
 
-def proxy_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = unique(spark, sf_dir)
-    m = index.latest(proxy_features(u)).select("chunk_id", "base_id")
-    base = F.col("base_id").isNull()
-    return u.join(m, "chunk_id", "left").select(
-        "chunk_id", "version_no", "chunk_size", (F.col("seq") == 0).alias("is_header"), "base_id", F.when(base, "BASE_RAW").otherwise("DELTA").alias("kind"),
-        F.when(base, F.col("chunk_size")).otherwise(F.expr("greatest(1, chunk_size div 3)")).alias("save_size"),
+def pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Web pages as files, hosts as versions; file_id, name: the address behind the host, without its last part."""
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("host", F.split_part("url", F.lit("/"), F.lit(3)))
+    member = F.regexp_replace(F.regexp_replace("url", "^[^:]*://[^/]*/", ""), "/?[^/]*$", "")
+    return corpus.from_table(p, "host", "page_id", "html"), p.select(F.col("page_id").alias("file_id"), member.alias("name"))
+
+
+def block_decisions(u: DataFrame) -> DataFrame:
+    """Decisions by the latest match of the Odess features, sized by the block codec, which SQL can express, too."""
+    base = u.select(F.col("chunk_id").alias("base_id"), F.col("payload").alias("base"))
+    m = index.latest(super_features(u)).select("chunk_id", "base_id").join(base, "base_id")
+    d = u.join(m, "chunk_id", "left").withColumn("delta", codec.block_delta_size(F.col("payload"), F.col("base")))
+    ok = F.coalesce(F.col("delta") <= F.col("chunk_size"), F.lit(False))
+    return d.select(
+        "chunk_id", "version_no", "chunk_size", (F.col("seq") == 0).alias("is_header"), F.when(ok, F.col("base_id")).alias("base_id"), F.when(ok, "DELTA").otherwise("BASE_RAW").alias("kind"),
+        F.when(ok, F.col("delta")).otherwise(F.col("chunk_size")).cast("long").alias("save_size"),
     )
 
 
@@ -176,9 +176,9 @@ def cross_source_shared_chunks(spark, sf_dir):
     return g.groupBy("versions").agg(F.count("*").alias("fingerprints"), F.sum("n").alias("chunks"))
 
 
-@register("header_kind_breakdown", f"WITH {_D} SELECT is_header, kind, count(*) AS chunks, CAST(sum(chunk_size) AS BIGINT) AS logical_bytes, CAST(sum(save_size) AS BIGINT) AS stored_bytes FROM d GROUP BY is_header, kind")
+@register("header_kind_breakdown", f"WITH RECURSIVE {_D} SELECT is_header, kind, count(*) AS chunks, CAST(sum(chunk_size) AS BIGINT) AS logical_bytes, CAST(sum(save_size) AS BIGINT) AS stored_bytes FROM d GROUP BY is_header, kind")
 def header_kind_breakdown(spark, sf_dir):
-    return metrics.by_header(proxy_decisions(spark, sf_dir))
+    return metrics.by_header(block_decisions(small_unique(spark, sf_dir)))
 
 
 @register("fastcdc_reassembly", "SELECT doc_id AS file_id, CAST(octet_length(encode(text)) AS BIGINT) AS bytes, sha256(text) AS digest FROM documents WHERE text <> ''")
@@ -187,17 +187,28 @@ def fastcdc_reassembly(spark, sf_dir):
     return dedup.restore(c.withColumn("chunk_id", F.col("seq")).select(*dedup.PLACE, "payload", F.struct("file_id", "seq").alias("chunk_id")).drop("payload"), c.select(F.struct("file_id", "seq").alias("chunk_id"), "payload")).select("file_id", F.length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("digest"))
 
 
-@register("fastcdc_cuts")
+_CUTS = 'WITH RECURSIVE {} SELECT file_id, seq, CAST(begin AS BIGINT) AS "offset", CAST(cut - begin AS BIGINT) AS chunk_size FROM cuts'
+
+
+@register("fastcdc_cuts", _CUTS.format(sql.SMALL))
 def fastcdc_cuts(spark, sf_dir):
     return segment.content_defined(files(spark, sf_dir), segment.SMALL_FASTCDC).select("file_id", "seq", "offset", "chunk_size")
 
 
-@register("gear_cuts")
+@register("gear_cuts", _CUTS.format(sql.SMALL_GEAR))
 def gear_cuts(spark, sf_dir):
     return segment.content_defined(files(spark, sf_dir), segment.SMALL_GEARCDC).select("file_id", "seq", "offset", "chunk_size")
 
 
-@register("tar_segments")
+_TAR = f"""WITH {_V}, a AS (SELECT file_id, path || '/' || file_id AS name, (octet_length(b) + 511) // 512 * 512 AS body FROM f),
+t AS (SELECT *, 1 + ((512 + body + 1024 + 10239) // 10240 * 10240 - 512 - body) // 512 AS heads FROM a),
+r AS (SELECT file_id, 0 AS seq, 'body' AS kind, 512 AS p, body AS chunk_size, name FROM t WHERE body > 0
+  UNION ALL SELECT file_id, j + CASE WHEN body > 0 THEN 1 ELSE 0 END, 'header', CASE WHEN j = 0 THEN 0 ELSE 512 + body + (16 * j - 1) * 512 END, 512 * least(16, heads - 16 * j), CASE WHEN j = 0 THEN name ELSE '' END
+    FROM (SELECT *, unnest(range(0, (heads + 15) // 16)) AS j FROM t))
+SELECT file_id, CAST(seq AS BIGINT) AS seq, kind, CAST(p AS BIGINT) AS "offset", CAST(chunk_size AS BIGINT) AS chunk_size, name FROM r"""
+
+
+@register("tar_segments", _TAR)
 def tar_segments(spark, sf_dir):
     """Every document as a member of an archive of its own, cut into headers and bodies."""
     import io
@@ -248,58 +259,77 @@ def name_hash_equality_groups(spark, sf_dir):
 # ---- features
 
 
-@register("odess_features")
+def _text(f: str):
+    """An array of numbers as text, which both sides write alike."""
+    return F.array_join(F.transform(f, lambda x: x.cast("string")), ",").alias("features")
+
+
+_ODESS = sql.odess(sql.SMALL)
+#: Only equality of super-features matters: each is named by the first chunk that has it in any position.
+_LEADER = "min(chunk_id) OVER (PARTITION BY sf)"
+
+
+def _named(sf: DataFrame) -> DataFrame:
+    return sf.join(sf.groupBy("sf").agg(F.min("chunk_id").alias("leader")), "sf").drop("sf")
+
+
+@register("odess_features", f"WITH RECURSIVE {_ODESS} SELECT chunk_id, {sql.FEATURES} AS features FROM fe WHERE chunk_size > {ft.MIN_SIZE}")
 def odess_features(spark, sf_dir):
     u = small_unique(spark, sf_dir)
-    return u.where(F.col("chunk_size") > ft.MIN_SIZE).select("chunk_id", ft.odess_features("payload").alias("f"))
+    return u.where(F.col("chunk_size") > ft.MIN_SIZE).select("chunk_id", ft.odess_features("payload").alias("f")).select("chunk_id", _text("f"))
 
 
-@register("odess_sampled_positions")
+@register("odess_sampled_positions", f"WITH RECURSIVE {_ODESS} SELECT chunk_id, CAST(sampled AS INT) AS sampled FROM fe")
 def odess_sampled_positions(spark, sf_dir):
     return small_unique(spark, sf_dir).select("chunk_id", F.size(ft.sampled_features("payload")).alias("sampled"))
 
 
-@register("odess_super_features")
+@register("odess_super_features", f"WITH RECURSIVE {_S} SELECT chunk_id, pos, {_LEADER} AS leader FROM s")
 def odess_super_features(spark, sf_dir):
-    return super_features(small_unique(spark, sf_dir))
+    return _named(super_features(small_unique(spark, sf_dir)))
+
 
+def _tiered(u: DataFrame) -> DataFrame:
+    rows = u.select("chunk_id", "version_no", ft.odess_features("payload").alias("f"))
+    return rows.select("chunk_id", "version_no", F.explode(ft.tiered_super(F.col("f"))).alias("t")).select("chunk_id", "version_no", "t.tier", "t.pos", "t.sf")
 
-@register("tiered_super_features")
+
+@register("tiered_super_features", f"WITH RECURSIVE {sql.tiered(sql.SMALL)} SELECT chunk_id, tier, pos, min(chunk_id) OVER (PARTITION BY tier, sf) AS leader FROM t")
 def tiered_super_features(spark, sf_dir):
-    rows = small_unique(spark, sf_dir).select("chunk_id", ft.odess_features("payload").alias("f"))
-    return rows.select("chunk_id", F.explode(ft.tiered_super(F.col("f"))).alias("t")).select("chunk_id", "t.tier", "t.pos", "t.sf")
+    return _named(_tiered(small_unique(spark, sf_dir)).drop("version_no"))
 
 
-@register("finesse_features")
+@register("finesse_features", f"WITH RECURSIVE {sql.finesse(sql.SMALL)} SELECT chunk_id, {sql.FEATURES} AS features FROM fe")
 def finesse_features(spark, sf_dir):
-    return small_unique(spark, sf_dir).select("chunk_id", ft.finesse_features("payload").alias("f"))
+    return small_unique(spark, sf_dir).select("chunk_id", ft.finesse_features("payload").alias("f")).select("chunk_id", _text("f"))
 
 
-@register("finesse_super_features")
+@register("finesse_super_features", f"WITH RECURSIVE {sql.finesse(sql.SMALL)} SELECT chunk_id, pos, {_LEADER} AS leader FROM s")
 def finesse_super_features(spark, sf_dir):
-    return super_features(small_unique(spark, sf_dir), "finesse", -1)
+    return _named(super_features(small_unique(spark, sf_dir), "finesse", -1))
 
 
-@register("finesse_latest_match")
+@register("finesse_latest_match", f"""WITH RECURSIVE {sql.finesse(sql.SMALL)}, h AS (SELECT chunk_id, pos, max(chunk_id) OVER (PARTITION BY sf, pos ORDER BY chunk_id RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS base_id FROM s)
+SELECT chunk_id, arg_min(base_id, pos) AS base_id, CAST(min(pos) AS BIGINT) AS pos FROM h WHERE base_id IS NOT NULL GROUP BY chunk_id""")
 def finesse_latest_match(spark, sf_dir):
-    return index.latest(super_features(small_unique(spark, sf_dir), "finesse", -1), per_position=True)
+    return index.latest(super_features(small_unique(spark, sf_dir), "finesse", -1), per_position=True).withColumn("pos", F.col("pos").cast("long"))
 
 
-@register("ntransform_features")
+@register("ntransform_features", f"WITH RECURSIVE {sql.ntransform(sql.SMALL)} SELECT chunk_id, {sql.FEATURES} AS features FROM fe")
 def ntransform_features(spark, sf_dir):
-    return small_unique(spark, sf_dir).select("chunk_id", ft.ntransform_features("payload").alias("f"))
+    return small_unique(spark, sf_dir).select("chunk_id", ft.ntransform_features("payload").alias("f")).select("chunk_id", _text("f"))
 
 
 # ---- index policies
 
-_HIT = "WITH {s}, h AS ({h}) SELECT chunk_id, arg_min(base_id, pos) AS base_id, CAST(min(pos) AS BIGINT) AS pos FROM h WHERE base_id IS NOT NULL GROUP BY chunk_id"
-_FRAME = "OVER (PARTITION BY sf ORDER BY chunk_id RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+_HIT = "WITH RECURSIVE {s}, h AS ({h}) SELECT chunk_id, arg_min(base_id, pos) AS base_id, CAST(min(pos) AS BIGINT) AS pos FROM h WHERE base_id IS NOT NULL GROUP BY chunk_id"
+_FRAME = sql.FRAME
 _NTH = f"SELECT *, count(*) {_FRAME} AS n, row_number() OVER (PARTITION BY sf ORDER BY chunk_id, pos) - 1 AS nth FROM s"
 
 
-def _match(policy):
+def _match(policy, of=small_unique):
     def run(spark, sf_dir):
-        out = policy(proxy_features(unique(spark, sf_dir)))
+        out = policy(super_features(of(spark, sf_dir)))
         return out.withColumn("pos", F.col("pos").cast("long")) if "pos" in out.columns else out
 
     return run
@@ -309,44 +339,56 @@ register("sf_latest_match", _HIT.format(s=_S, h=f"SELECT chunk_id, pos, max(chun
 register("sf_first_match", _HIT.format(s=_S, h=f"SELECT chunk_id, pos, min(chunk_id) {_FRAME} AS base_id FROM s"))(_match(index.first))
 register("sf_log2_match", _HIT.format(s=f"{_S}, n AS ({_NTH})", h="SELECT p.chunk_id, p.pos, q.chunk_id AS base_id FROM n p JOIN n q ON p.sf = q.sf AND q.nth = CASE WHEN p.n <= 1 THEN 0 ELSE CAST(pow(2, length(bin(p.n - 1)) - 1) AS BIGINT) END WHERE p.n > 0"))(_match(index.log2))
 register("sf_less4_match", _HIT.format(s=f"{_S}, n AS ({_NTH})", h="SELECT p.chunk_id, p.pos, q.chunk_id AS base_id FROM n p JOIN n q ON p.sf = q.sf AND q.nth = least(p.n - 1, 4) WHERE p.n > 0"))(_match(index.less4))
-register("sf_all_matches", f"""WITH {_S}, h AS (SELECT DISTINCT p.chunk_id, p.pos, q.chunk_id AS base_id FROM s p JOIN s q ON p.sf = q.sf AND q.chunk_id < p.chunk_id),
-b AS (SELECT chunk_id, min(pos) AS pos FROM h GROUP BY chunk_id) SELECT DISTINCT h.chunk_id, h.base_id FROM h JOIN b USING (chunk_id, pos)""")(_match(index.all_matches))
+register("sf_all_matches", f"""WITH {_W}, h AS (SELECT DISTINCT p.chunk_id, p.pos, q.chunk_id AS base_id FROM s p JOIN s q ON p.sf = q.sf AND q.chunk_id < p.chunk_id),
+b AS (SELECT chunk_id, min(pos) AS pos FROM h GROUP BY chunk_id) SELECT DISTINCT h.chunk_id, h.base_id FROM h JOIN b USING (chunk_id, pos)""")(_match(index.all_matches, wide_unique))
 
-_TIERS = f"""{_U}, t AS (SELECT chunk_id, version_no, tier, pos, hex(payload[16 * pos + 1:16 * pos + width]) AS sf FROM u, (SELECT unnest([0, 1, 2]) AS pos), (VALUES (1, 12), (2, 8), (3, 5)) w(tier, width) WHERE chunk_size = {SIZE}),
+#: After version v the entries of tier 2 older than v - 5 and of tier 3 older than v - 2 go, so the next version still
+#: finds those 6 and 3 versions old.
+TIER_KEEP = {2: 6, 3: 3}
+_TIERS = f"""{sql.tiered(sql.SMALL)},
 l AS (SELECT *, max(chunk_id) OVER (PARTITION BY tier, sf ORDER BY chunk_id RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS base_id FROM t),
-a AS (SELECT l.chunk_id, l.tier, l.pos, l.base_id FROM l JOIN u b ON b.chunk_id = l.base_id WHERE NOT (tier = 2 AND l.version_no - b.version_no > 5) AND NOT (tier = 3 AND l.version_no - b.version_no > 2))"""
+a AS (SELECT l.chunk_id, l.tier, l.pos, l.base_id FROM l JOIN u b ON b.chunk_id = l.base_id WHERE NOT (tier = 2 AND l.version_no - b.version_no > {TIER_KEEP[2]}) AND NOT (tier = 3 AND l.version_no - b.version_no > {TIER_KEEP[3]}))"""
 
 
-@register("tiered_match_with_expiry", f"WITH {_TIERS} SELECT chunk_id, arg_min(base_id, tier * 10 + pos) AS base_id, CAST(min(tier * 10 + pos) // 10 AS BIGINT) AS tier, CAST(min(tier * 10 + pos) % 10 AS BIGINT) AS pos FROM a GROUP BY chunk_id")
+@register("tiered_match_with_expiry", f"WITH RECURSIVE {_TIERS} SELECT chunk_id, arg_min(base_id, tier * 10 + pos) AS base_id, CAST(min(tier * 10 + pos) // 10 AS BIGINT) AS tier, CAST(min(tier * 10 + pos) % 10 AS BIGINT) AS pos FROM a GROUP BY chunk_id")
 def tiered_match_with_expiry(spark, sf_dir):
-    u = unique(spark, sf_dir).where(F.col("chunk_size") == SIZE)
-    rows = F.array(*[F.struct(F.lit(t).alias("tier"), F.lit(p).alias("pos"), F.hex(F.substring("payload", 16 * p + 1, w)).alias("sf")) for t, w in ((1, 12), (2, 8), (3, 5)) for p in range(3)])
-    sf = u.select("chunk_id", "version_no", F.explode(rows).alias("x")).select("chunk_id", "version_no", "x.*")
-    return index.tiered(sf, {2: 5, 3: 2}).select("chunk_id", "base_id", F.col("tier").cast("long").alias("tier"), F.col("pos").cast("long").alias("pos"))
+    sf = _tiered(small_unique(spark, sf_dir))
+    return index.tiered(sf, TIER_KEEP).select("chunk_id", "base_id", F.col("tier").cast("long").alias("tier"), F.col("pos").cast("long").alias("pos"))
+
+
+_PAGE_NAMES = f"""{sql.super_features(sql.unique(sql.fixed(WIDE, sql.PAGES)))}, w AS (SELECT page_id AS file_id, {sql.PAGE_NAME} AS name FROM pages),
+n AS (SELECT chunk_id, max(chunk_id) OVER (PARTITION BY name ORDER BY chunk_id RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS base_id FROM u JOIN w USING (file_id))"""
 
 
-@register("name_table_match", f"WITH {_U} SELECT * FROM (SELECT chunk_id, max(chunk_id) OVER (PARTITION BY version_no ORDER BY chunk_id RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS base_id FROM u) WHERE base_id IS NOT NULL")
+def _page_names(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Unique chunks of pages, and the latest earlier chunk of each one's name."""
+    source, member = pages(spark, sf_dir)
+    u = wide_unique(spark, sf_dir, source)
+    return u, index.last_of_name(u.join(member, "file_id").select("chunk_id", "name"))
+
+
+@register("name_table_match", f"WITH {_PAGE_NAMES} SELECT chunk_id, base_id FROM n WHERE base_id IS NOT NULL")
 def name_table_match(spark, sf_dir):
-    return index.last_of_name(dedup.unique_chunks(chunks(spark, sf_dir)).select("chunk_id", F.col("version_no").alias("name")))
+    return _page_names(spark, sf_dir)[1]
 
 
-@register("similar_records", f"WITH {_S} SELECT DISTINCT p.chunk_id AS key, q.chunk_id AS other FROM s p JOIN s q ON p.sf = q.sf AND p.chunk_id <> q.chunk_id")
+@register("similar_records", f"WITH {_W} SELECT DISTINCT p.chunk_id AS key, q.chunk_id AS other FROM s p JOIN s q ON p.sf = q.sf AND p.chunk_id <> q.chunk_id")
 def similar_records(spark, sf_dir):
-    return index.similar_records(proxy_features(unique(spark, sf_dir)).select(F.col("chunk_id").alias("key"), "pos", "sf"))
+    return index.similar_records(super_features(wide_unique(spark, sf_dir)).select(F.col("chunk_id").alias("key"), "pos", "sf"))
 
 
-@register("similar_record_count", f"WITH {_S}, g AS (SELECT sf FROM s GROUP BY sf HAVING count(DISTINCT chunk_id) > 1) SELECT count(DISTINCT chunk_id) AS similar FROM s JOIN g USING (sf)")
+@register("similar_record_count", f"WITH RECURSIVE {_S}, g AS (SELECT sf FROM s GROUP BY sf HAVING count(DISTINCT chunk_id) > 1) SELECT count(DISTINCT chunk_id) AS similar FROM s JOIN g USING (sf)")
 def similar_record_count(spark, sf_dir):
-    return index.count_similar(proxy_features(unique(spark, sf_dir)).select(F.col("chunk_id").alias("key"), "pos", "sf"))
+    return index.count_similar(super_features(small_unique(spark, sf_dir)).select(F.col("chunk_id").alias("key"), "pos", "sf"))
 
 
-@register("locality_vs_feature", f"""WITH {_D}, n AS (SELECT chunk_id, max(chunk_id) OVER (PARTITION BY version_no ORDER BY chunk_id RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS base_id FROM u)
+@register("locality_vs_feature", f"""WITH {_PAGE_NAMES}, {sql.LATEST}
 SELECT CASE WHEN n.base_id IS NULL AND m.base_id IS NULL THEN 'none' WHEN n.base_id IS NULL THEN 'only_feature' WHEN m.base_id IS NULL THEN 'only_meta' WHEN n.base_id = m.base_id THEN 'same' ELSE 'different' END AS outcome, count(*) AS chunks
 FROM u LEFT JOIN n USING (chunk_id) LEFT JOIN m USING (chunk_id) GROUP BY 1""")
 def locality_vs_feature(spark, sf_dir):
-    u = unique(spark, sf_dir)
-    n = index.last_of_name(u.select("chunk_id", F.col("version_no").alias("name"))).withColumnRenamed("base_id", "n")
-    m = index.latest(proxy_features(u)).select("chunk_id", F.col("base_id").alias("m"))
+    u, names_ = _page_names(spark, sf_dir)
+    n = names_.withColumnRenamed("base_id", "n")
+    m = index.latest(super_features(u)).select("chunk_id", F.col("base_id").alias("m"))
     both = u.select("chunk_id").join(n, "chunk_id", "left").join(m, "chunk_id", "left")
     n, m = F.col("n"), F.col("m")
     outcome = F.when(n.isNull() & m.isNull(), "none").when(n.isNull(), "only_feature").when(m.isNull(), "only_meta").when(n == m, "same").otherwise("different")
@@ -360,7 +402,7 @@ _CHAIN = f"WITH RECURSIVE {_EDGES}, r AS (SELECT chunk_id AS node, base_id AS up
 
 
 def _edges(spark, sf_dir):
-    return index.first(proxy_features(unique(spark, sf_dir))).select("chunk_id", "base_id")
+    return index.first(super_features(small_unique(spark, sf_dir))).select("chunk_id", "base_id")
 
 
 @register("ancestor_chain", f"{_CHAIN} SELECT * FROM x")
@@ -392,22 +434,22 @@ z AS (SELECT *, logical_bytes - borig - dorig AS dedup_reduct, borig - base_byte
 
 
 def _metrics(spark, sf_dir):
-    logical = chunks(spark, sf_dir).agg(F.count("*").alias("logical_chunks"), F.sum("chunk_size").alias("logical_bytes"))
-    return metrics.reduction(proxy_decisions(spark, sf_dir), logical)
+    c, u = small_chunks(spark, sf_dir)
+    return metrics.reduction(block_decisions(u), c.agg(F.count("*").alias("logical_chunks"), F.sum("chunk_size").alias("logical_bytes")))
 
 
-@register("reduction_metrics", f"""WITH {_METRICS} SELECT logical_chunks, logical_bytes, unique_chunks, base_chunks, delta_chunks, stored_bytes, base_bytes, delta_bytes, logical_bytes / stored_bytes AS ocr, delta_chunks / unique_chunks AS dcc,
+@register("reduction_metrics", f"""WITH RECURSIVE {_METRICS} SELECT logical_chunks, logical_bytes, unique_chunks, base_chunks, delta_chunks, stored_bytes, base_bytes, delta_bytes, logical_bytes / stored_bytes AS ocr, delta_chunks / unique_chunks AS dcc,
   CASE WHEN delta_bytes <> 0 THEN dorig / delta_bytes END AS dcr, dce, dedup_reduct, local_reduct, delta_reduct FROM z""")
 def reduction_metrics(spark, sf_dir):
     return _metrics(spark, sf_dir)
 
 
-@register("reduction_cascade", f"WITH {_METRICS} SELECT logical_bytes / (logical_bytes - dedup_reduct) AS dedup_ratio, logical_bytes / (logical_bytes - dedup_reduct - local_reduct) AS lossless_ratio, logical_bytes / (logical_bytes - dedup_reduct - local_reduct - delta_reduct) AS delta_ratio FROM z")
+@register("reduction_cascade", f"WITH RECURSIVE {_METRICS} SELECT logical_bytes / (logical_bytes - dedup_reduct) AS dedup_ratio, logical_bytes / (logical_bytes - dedup_reduct - local_reduct) AS lossless_ratio, logical_bytes / (logical_bytes - dedup_reduct - local_reduct - delta_reduct) AS delta_ratio FROM z")
 def reduction_cascade(spark, sf_dir):
     return metrics.cascade(_metrics(spark, sf_dir))
 
 
-@register("index_overhead_model", f"WITH {_METRICS} SELECT unique_chunks * 112 AS fp_bytes, base_chunks * 120 AS sf_bytes, logical_chunks * 8 AS recipe_bytes, unique_chunks * 112 + base_chunks * 120 AS total_bytes, base_chunks * 3 AS sf_number FROM z")
+@register("index_overhead_model", f"WITH RECURSIVE {_METRICS} SELECT unique_chunks * 112 AS fp_bytes, base_chunks * 120 AS sf_bytes, logical_chunks * 8 AS recipe_bytes, unique_chunks * 112 + base_chunks * 120 AS total_bytes, base_chunks * 3 AS sf_number FROM z")
 def index_overhead_model(spark, sf_dir):
     return metrics.index_overhead(_metrics(spark, sf_dir))
 

@@ -7,12 +7,6 @@ import __spark_entry__
 from chunkloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-SOME = [
-    "files_natural_order", "fixed_chunk_dedup_summary", "fixed_chunk_first_occurrence", "recipes_ordered", "restore_mismatches", "dedup_by_version_cumulative", "path_directory",
-    "name_hash_equality_groups", "sf_latest_match", "sf_log2_match", "sf_all_matches", "tiered_match_with_expiry", "subtree_nodes", "container_packing", "reduction_metrics",
-]
-
-
 def plain(v):
     return round(v, 6) if isinstance(v, float) else v
 
@@ -25,7 +19,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", SOME)
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_query_equals_sql(spark, duck, name):
     df = __spark_entry__.queries()[name](spark, SF)
     got = duck.execute(__spark_entry__.oracle_sql()[name])
