@@ -220,7 +220,7 @@ def _stars(node: np.ndarray, n: np.ndarray, pos: np.ndarray) -> Iterator[tuple[i
         lo = stop
 
 
-def group_pairs(packed: DataFrame, buckets: int) -> DataFrame:
+def group_pairs(packed: DataFrame) -> DataFrame:
     """kind 0: a pair (a, b); a comes first by n, then by node. kind 1: a member of a large group (a: shingle, b: node, n,
     pos). kind 2: the same, of a leader in a group that is dealt over several buckets."""
 
@@ -274,7 +274,7 @@ def group_pairs(packed: DataFrame, buckets: int) -> DataFrame:
         if blobs:
             yield from one(blobs)
 
-    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(run), PAIRS)
+    return packed.repartition(fan_out(packed), "bucket").sortWithinPartitions("bucket").mapInArrow(lean(run), PAIRS)
 
 
 def leader_pairs(leaders: DataFrame) -> DataFrame:
@@ -497,8 +497,7 @@ def classes(docs: DataFrame) -> DataFrame:
     levels = frequency_levels(described)
     rows = described.where("part < 0").select("doc_id", "n", "node", "data")
     nodes = cut(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min("data").alias("data")))
-    buckets = 4 * fan_out(docs)
-    grouped = cut(group_pairs(prefixes(docs, levels, buckets), buckets))
+    grouped = cut(group_pairs(prefixes(docs, levels, 4 * fan_out(docs))))
 
     pairs = grouped.where("kind = 0").select("a", "b").unionByName(leader_pairs(grouped.where("kind = 2").select("a", "b", "n", "pos")))
     near = cut(suffix_filter(pairs.distinct(), nodes))
