@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkloom.llm import jaccard, mixing, quality, sentencepiece_bpe, substrings
-from chunkloom.llm.common import cut, ensure_checkpoint_dir, read_table, unused
+from chunkloom.llm.common import cut, ensure_checkpoint_dir, few_files, read_table, unused
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is 0.5 or more."""
-    return quality.keep_good(docs, read_table(spark, sf_dir, "labels"))
+    return few_files(quality.keep_good(docs, read_table(spark, sf_dir, "labels")))
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,12 +34,12 @@ def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     decided = cut(named.join(first, "component_id").select(F.col("k").alias(key), (F.col("k") == F.col("m.k")).alias("stays"), "n").where("not stays or n > 1"))
     rest = keyed.join(decided.select(key), key, "left_anti")
     single = keyed.join(decided.where("stays").select(key), key, "left_semi").dropDuplicates([key])
-    return rest.unionByName(single).select(*docs.columns)
+    return few_files(rest.unionByName(single).select(*docs.columns))
 
 
 def remove_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without the words of windows that start earlier too; n_chars follows the text."""
-    return substrings.cleaned(docs)
+    return few_files(substrings.cleaned(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = mixing.mix(docs).where("copies > 0").groupBy(F.col("name").alias(key), F.col("source").alias(source)).agg(F.max("copies").cast("int").alias(copies))
     named = docs.withColumn(nth, mixing.row_name(docs))
     both = named.join(taken, (named[nth] == taken[key]) & named["source"].cast("string").eqNullSafe(taken[source]))
-    return both.select(*docs.columns, F.explode(F.sequence(F.lit(1), copies)).alias(nth)).select(*docs.columns)
+    return few_files(both.select(*docs.columns, F.explode(F.sequence(F.lit(1), copies)).alias(nth)).select(*docs.columns))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     import public_tokenizers
 
     model = sentencepiece_bpe.model_bytes(public_tokenizers.path("piece_bpe_32k.model"))
-    return sentencepiece_bpe.encode_corpus(docs, model)
+    return few_files(sentencepiece_bpe.encode_corpus(docs, model))
 
 
 STAGES = [
