@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chunkloom.operators import dedup
 from chunkloom.operators.segment import FASTCDC, Cdc, cut_points
 
 BLOCK, BIG = 512, 4 << 20
@@ -18,23 +19,30 @@ BODY_TYPES = (b"0", b"x", b"L")
 
 def blocks(data: bytes) -> Iterator[tuple[str, int, int, str]]:
     """(kind, offset, size, member name) in file order; kind is header or body. Bodies are rounded up to whole blocks;
-    an old-style member (type NUL) and the closing zeros have no body."""
-    at = 0
+    an old-style member (type NUL) and the closing zeros have no body. The body of a member of type L is the name of the
+    member behind it, whose own field has room for 100 bytes only; the two headers and bodies share that name."""
+    at, long_name = 0, None
     while at + BLOCK <= len(data):
         head = data[at : at + BLOCK]
-        name = head[:100].split(b"\0", 1)[0].decode("utf-8", "replace")
-        yield "header", at, BLOCK, name
-        at += BLOCK
+        size = 0
         if head[156:157] in BODY_TYPES:
             digits = head[124:135].strip(b" \0") or b"0"
             try:
                 size = int(digits, 8)
             except ValueError:
                 size = 0
-            size = min(-(-size // BLOCK) * BLOCK, len(data) - at)
-            if size:
-                yield "body", at, size, name
-                at += size
+        whole = min(-(-size // BLOCK) * BLOCK, len(data) - at - BLOCK)
+        if head[156:157] == b"L":
+            long_name = data[at + BLOCK : at + BLOCK + min(size, whole)].split(b"\0", 1)[0].decode("utf-8", "replace")
+            name = long_name
+        else:
+            name = head[:100].split(b"\0", 1)[0].decode("utf-8", "replace") if long_name is None else long_name
+            long_name = None
+        yield "header", at, BLOCK, name
+        at += BLOCK
+        if whole:
+            yield "body", at, whole, name
+            at += whole
     if at < len(data):
         yield "body", at, len(data) - at, ""
 
@@ -97,6 +105,26 @@ def join_headers(data: bytes) -> bytes:
     return b"".join(out)
 
 
+def weave(headers: bytes, bodies: bytes) -> bytes:
+    """The archive whose headers and bodies these are, each in order."""
+    return join_headers(struct.pack("<Q", len(bodies)) + bodies + headers)
+
+
+def restore_archives(recipe: DataFrame, payloads: DataFrame) -> DataFrame:
+    """version_no, file_id, content: archives from their recipes (version_no, file_id, seq, chunk_id, part), whose headers
+    and bodies are joined apart and woven into one another again."""
+    streams = dedup.restore(recipe, payloads, ("version_no", "file_id", "part"))
+    side = lambda part: streams.where(F.col("part") == part).select("version_no", "file_id", F.col("content").alias(part))
+    both = side("header").join(side("data"), ["version_no", "file_id"], "full")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [weave(h or b"", d or b"") for h, d in zip(b.column("header").to_pylist(), b.column("data").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("version_no"), b.column("file_id"), pa.array(out, pa.binary())], ["version_no", "file_id", "content"])
+
+    return both.mapInArrow(run, "version_no int, file_id long, content binary")
+
+
 ARCHIVE_CHUNKS = "version_no int, file_id long, seq long, kind string, offset long, chunk_size long, name string, payload binary"
 
 

@@ -20,6 +20,16 @@ def lz4_size(data: bytes) -> int:
     return min(len(data), len(_LZ4.compress(data, asbytes=True))) if data else 0
 
 
+def lz4_pack(data: bytes) -> bytes:
+    """The LZ4 block, or the raw bytes if that is not smaller; unpacked by their sizes."""
+    small = _LZ4.compress(data, asbytes=True) if data else b""
+    return small if len(small) < len(data) else data
+
+
+def lz4_unpack(stored: bytes, size: int) -> bytes:
+    return stored if len(stored) == size else _LZ4.decompress(stored, size, asbytes=True)
+
+
 def add_blocks(known: dict[bytes, int], base: bytes | bytearray, start: int = 0) -> None:
     """The places of base's blocks of STEP bytes from `start` (a multiple of STEP); of equal blocks the first counts."""
     for i in range(start, len(base) - STEP + 1, STEP):
@@ -86,6 +96,12 @@ def added_bytes(target: bytes, base: bytes) -> bytes:
     return delta_parts(target, base)[1]
 
 
+def literals(delta: bytes) -> bytes:
+    """The same, read from the packed delta."""
+    (n,) = struct.unpack_from("<I", delta)
+    return zlib.decompress(delta[4:])[8 * n :]
+
+
 def block_delta_size(target: Column, base: Column) -> Column:
     """Size of a delta in the block codec, in native expressions: 4 bytes, 4 for each block of STEP bytes that the base has
     at a block's place, and 1 more than their length for the others. Null without a base."""

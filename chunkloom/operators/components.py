@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,17 +13,31 @@ MAX_ROUNDS = 60
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder is set only where the session names none (tests, a laptop)."""
+    """spark.checkpoint.dir. Where the session names none, a local session (tests, a laptop) gets a folder of its own; on
+    a cluster that is an error, as the folder has to be shared."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or "/tmp/checkpoints/chunkloom")
+        configured = sc.getConf().get("spark.checkpoint.dir", None)
+        if not configured and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        sc.setCheckpointDir(configured or os.path.join(tempfile.gettempdir(), "chunkloom-checkpoints"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder and read back."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df written to the shared checkpoint folder and read back, in an eighth of the session's shuffle partitions, but four
+    for each core at least; a task writes what several partitions hold."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    files = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
+    return df.coalesce(files).checkpoint(eager=True)
+
+
+def parted(df: DataFrame, by: str) -> DataFrame:
+    """df written to the checkpoint folder as a table with a folder for each value of a column, of which few are read."""
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.repartition(by).write.partitionBy(by).parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,15 +45,47 @@ def duplicates(chunks: DataFrame) -> DataFrame:
 
 
 def recipes(chunks: DataFrame, unique: DataFrame) -> DataFrame:
-    """version_no, file_id, seq, chunk_id for every logical chunk."""
-    return chunks.select("fp", *PLACE).join(unique.select("fp", "chunk_id"), "fp").select(*PLACE, "chunk_id")
-
-
-def restore(recipe: DataFrame, payloads: DataFrame) -> DataFrame:
-    """version_no, file_id, content: the payloads (chunk_id, payload) of each file's recipe in order. A file is one row,
-    so its chunks meet in one task whatever the plan."""
-    rows = recipe.join(payloads, "chunk_id").groupBy("version_no", "file_id").agg(F.sort_array(F.collect_list(F.struct("seq", "payload"))).alias("parts"))
-    return rows.select("version_no", "file_id", F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["payload"])), "")).alias("content"))
+    """version_no, file_id, seq, chunk_id for every logical chunk; of archives (chunks with a kind) also part, header or
+    data: an archive has a recipe for each."""
+    part = [F.when(F.col("kind") == "header", "header").otherwise("data").alias("part")] if "kind" in chunks.columns else []
+    return chunks.select("fp", *PLACE, *part).join(unique.select("fp", "chunk_id"), "fp").drop("fp")
+
+
+def restore(recipe: DataFrame, payloads: DataFrame, keys: tuple[str, ...] = ("version_no", "file_id")) -> DataFrame:
+    """version_no, file_id, content: the payloads (chunk_id, payload) of each file's recipe in order, joined by one pass
+    over sorted rows. A file is one row and so below 2 GB; restore_pieces() has no such limit."""
+    rows = recipe.join(payloads.select("chunk_id", "payload"), "chunk_id").select(*keys, "seq", "payload")
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def one() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(pa.array([k], t) for k, t in zip(key, types, strict=True)), pa.array([b"".join(held)], pa.binary())], [*keys, "content"])
+
+        types = None
+        for b in batches:
+            types = [b.schema.field(k).type for k in keys]
+            for *now, data in zip(*(b.column(c).to_pylist() for c in (*keys, "payload")), strict=True):
+                if now != key:
+                    if held:
+                        yield one()
+                    key, held = now, []
+                held.append(data or b"")
+        if held:
+            yield one()
+
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "seq")
+    return ordered.mapInArrow(run, ", ".join(f"{k} {kinds[k].simpleString()}" for k in keys) + ", content binary")
+
+
+def restore_pieces(recipe: DataFrame, payloads: DataFrame, size: int = 64 << 20) -> DataFrame:
+    """version_no, file_id, piece, content: as restore(), in pieces of about `size` bytes that can be written one after
+    the other; a piece holds whole chunks."""
+    places = recipe.join(payloads.select("chunk_id", F.octet_length("payload").alias("n")), "chunk_id")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("version_no", "file_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = places.withColumn("piece", F.floor(before / size)).select(*PLACE, "chunk_id", "piece")
+    return restore(numbered, payloads, ("version_no", "file_id", "piece"))
 
 
 def version_log(chunks: DataFrame) -> DataFrame:

@@ -11,12 +11,13 @@ from chunkloom.functions import features as ft
 from chunkloom.functions.names import strip_version
 from chunkloom.operators import archive, dedup, index, metrics, reduce, segment, store
 from chunkloom.operators.components import cut
+from chunkloom.sources import corpus
 
 CHUNKERS = {
-    "fixed": lambda f: segment.fixed(f), "fastcdc": lambda f: segment.content_defined(f), "gearcdc": lambda f: segment.content_defined(f, segment.GEARCDC),
-    "small_fixed": lambda f: segment.fixed(f, 64), "small_fastcdc": lambda f: segment.content_defined(f, segment.SMALL_FASTCDC),
-    "tar": lambda f: archive.tar_segments(f), "tar_headers": lambda f: archive.tar_segments(f, 16),
-    "mtar": lambda f: segment.content_defined(archive.rewrite(f)), "mtar_gear": lambda f: segment.content_defined(archive.rewrite(f), segment.GEARCDC),
+    "fixed": lambda f, h: segment.fixed(f), "fastcdc": lambda f, h: segment.content_defined(f), "gearcdc": lambda f, h: segment.content_defined(f, segment.GEARCDC),
+    "small_fixed": lambda f, h: segment.fixed(f, 64), "small_fastcdc": lambda f, h: segment.content_defined(f, segment.SMALL_FASTCDC),
+    "tar": lambda f, h: archive.tar_segments(f), "tar_headers": lambda f, h: archive.tar_segments(f, h),
+    "mtar": lambda f, h: segment.content_defined(archive.rewrite(f)), "mtar_gear": lambda f, h: segment.content_defined(archive.rewrite(f), segment.GEARCDC),
 }
 POLICIES = {"mibl": index.latest, "log2": index.log2, "less4": index.less4, "all_greedy": index.all_matches}
 
@@ -32,15 +33,26 @@ def super_features(unique: DataFrame, family: str = "odess", gate: int = ft.MIN_
     return out.withColumn("sf", F.xxhash64("sf")) if family == "finesse" else out
 
 
+def _tiers(unique: DataFrame) -> DataFrame:
+    """chunk_id, pos, sf: a position is ten times the tier and its number there."""
+    rows = cut(unique.select("chunk_id", ft.odess_features("payload").alias("f")))
+    return rows.select("chunk_id", F.explode(ft.tiered_super(F.col("f"))).alias("t")).select("chunk_id", (F.col("t.tier") * 10 + F.col("t.pos")).alias("pos"), "t.sf")
+
+
 @dataclass
 class ReductionPipeline:
     chunker: str = "fastcdc"
     method: str = "tree_cut"
     gate: int = ft.MIN_SIZE
+    versions: int | None = None  # only so many
+    headers: int = 16  # in a header chunk of "tar_headers"
+    threshold: float | None = None  # of the locality method, in place of its estimate of gains
+    locality: bool = True  # whether that method looks at names at all
 
     def run(self, files: DataFrame) -> dict[str, DataFrame]:
         """chunks, unique, recipes, decisions, containers, metrics."""
-        chunks = cut(dedup.fingerprinted(CHUNKERS[self.chunker](files)))
+        files = files if self.versions is None else corpus.first_versions(files, self.versions)
+        chunks = cut(dedup.fingerprinted(CHUNKERS[self.chunker](files, self.headers)))
         unique = dedup.unique_chunks(chunks)
         carried = ["payload"]
         if "name" in chunks.columns:  # of archives: headers and bodies of a member apart
@@ -55,26 +67,17 @@ class ReductionPipeline:
         elif m in POLICIES:
             sf = super_features(unique, gate=self.gate)
             decisions = reduce.by_candidates(unique, reduce.close_matches(unique, sf) if m == "all_greedy" else POLICIES[m](sf))
-        elif m == "bisearch":
-            if "member" in unique.columns:
-                names = index.last_of_name(unique.select("chunk_id", F.col("member").alias("name")))
-            else:  # one name for all: the chunk before
-                names = unique.select("chunk_id", (F.col("chunk_id") - 1).alias("base_id"))
-            names = names.join(unique.where("version_no > 0").select("chunk_id"), "chunk_id", "left_semi")
-            decisions = reduce.locality(unique, names, None, index.latest(super_features(unique, gate=-1)))
         else:
             family = m if m in ("ntransform", "finesse") else "odess"
-            gate = -1 if m in ("ntransform", "finesse", "palantir") else self.gate
-            sf = super_features(unique, family, gate)
-            if m == "palantir":
-                rows = cut(unique.select("chunk_id", ft.odess_features("payload").alias("f")))
-                sf = rows.select("chunk_id", F.explode(ft.tiered_super(F.col("f"))).alias("t")).select("chunk_id", (F.col("t.tier") * 10 + F.col("t.pos")).alias("pos"), "t.sf")
-            repeats = None
+            sf = _tiers(unique) if m == "palantir" else super_features(unique, family, -1 if m in ("ntransform", "finesse", "bisearch") else self.gate)
+            repeats = names = None
             if m == "palantir":
                 known = unique.select("fp", "chunk_id", dedup.place().alias("first"))
                 repeats = chunks.select("fp", *dedup.PLACE).join(known, "fp").where(dedup.place() != F.col("first"))
+            if m == "bisearch" and self.locality:  # a file without members is its own
+                names = unique.select("chunk_id", (F.col("member") if "member" in unique.columns else F.col("file_id").cast("string")).alias("name"))
             samples = unique.select("chunk_id", ft.sampled_features("payload").alias("s")) if m == "mibl3" else None
-            decisions = reduce.replay(unique, sf, m, samples, reduce.lz4_ratio(unique) if m == "palantir" else 1.0, repeats)
+            decisions = reduce.replay(unique, sf, m, samples, repeats, names, self.threshold)
         decisions = cut(decisions)
         placed = store.pack(decisions.join(unique.select("chunk_id", "version_no"), "chunk_id").withColumnRenamed("save_size", "stored"))
         logical = chunks.agg(F.count("*").alias("logical_chunks"), F.coalesce(F.sum("chunk_size"), F.lit(0)).alias("logical_bytes"))

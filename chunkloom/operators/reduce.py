@@ -74,7 +74,7 @@ class Method:
     bases_only: bool
     per_position: bool = False
     choose: str = "hit"  # hit | chain_size | chain_overlap | descent | subtree | literals
-    accept: str = "no_larger"  # no_larger | always | ratio
+    accept: str = "no_larger"  # no_larger | always | ratio (size / delta reaches the running ratio of the bases)
     rewrite: bool = False
     kind: str = "DELTA"
     keep: tuple[tuple[int, int], ...] = ()  # (tier, versions after which its entries are gone); a position is tier * 10 + number
@@ -86,6 +86,7 @@ METHODS = {
     "odess": Method("latest", True),
     # at the end of version v entries older than v - 5 and v - 2 go; version v + 1 does not find them
     "palantir": Method("latest", True, accept="ratio", keep=((2, 6), (3, 3))),
+    "bisearch": Method("latest", True, choose="locality"),
     "midf": Method("latest", False, choose="literals"),
     "mibl": Method("latest", False),
     "mibl2": Method("latest", False, choose="chain_size"),
@@ -95,6 +96,8 @@ METHODS = {
     "tree_layer": Method("first", False, choose="descent", rewrite=True),
 }
 METHODS["tree_cache"] = METHODS["tree_layer"]  # its cache of restored chunks changes no result
+#: The ratio that a delta has to reach before there is any base, and the share of later deltas in a gain.
+FIRST_RATIO, LATER = 2.0, 10.0
 #: Wins in a row after which the layered tree points its index at the winner.
 LAYER_WINS = 4
 
@@ -102,8 +105,10 @@ LAYER_WINS = 4
 class Replay:
     """Decides one component's chunks, given in order."""
 
-    def __init__(self, method: Method, ratio: float = 1.0) -> None:
-        self.m, self.ratio = method, ratio
+    def __init__(self, method: Method) -> None:
+        self.m = method
+        #: The last base of each member name.
+        self.names: dict[str, int] = {}
         self.index: dict[tuple, int] = {}
         self.keep, self.version = dict(method.keep), 0
         self.stored: dict[tuple, int] = {}
@@ -219,17 +224,39 @@ class Replay:
         if chunk not in self.up:
             self._insert(chunk, sfs)
 
-    def decide(self, chunk: int, data: bytes, sfs: list[tuple[int, int]], samples: list[int], version: int = 0) -> tuple:
-        """(chunk_id, kind, base_id, chunk_size, save_size, depth)"""
+    def _local(self, data: bytes, name: str | None, hit: int | None, bar: float | None) -> tuple[str, int, int] | None:
+        """Locality first: the last base of the same name, if its delta gains enough or features find it, too; else the base
+        that features find. Kind, base and size of the delta, or None for a new base."""
+        local = self.names.get(name) if self.version > 0 and name is not None else None
+        if local is not None:
+            size = len(codec.encode(data, self.data[local]))
+            if size <= len(data) and (hit == local or bar is None or bar <= len(data) // size):
+                return "LOCAL_DELTA", local, size
+        if hit is not None:
+            size = len(codec.encode(data, self.data[hit]))
+            if size <= len(data):
+                return "FEATURE_DELTA", hit, size
+        return None
+
+    def decide(self, chunk: int, data: bytes, sfs: list[tuple[int, int]], samples: list[int], version: int = 0, name: str | None = None, bar: float | None = None) -> tuple:
+        """(chunk_id, kind, base_id, chunk_size, save_size, depth). bar: what a delta has to reach where the method compares
+        it with the chunks before; None: there are none."""
         self.version = version
         hit = next((self.index[k] for pos, k in ((x[0], self._key(*x)) for x in sfs) if self._alive(pos, k)), None)
         base, save = None, codec.lz4_size(data)
         kind = "BASE_LZ4" if save < len(data) else "BASE_RAW"
-        if hit is not None:
+        if self.m.choose == "locality":
+            found = self._local(data, name, hit, bar)
+            if found is not None:
+                kind, base, save = found
+                self.up[chunk] = base
+            else:
+                self.names[name] = chunk
+        elif hit is not None:
             at, content, known = self._choose(hit, data, samples, sfs)
             runs, added = codec.delta_parts(data, content, known)
             size = len(codec.pack(runs, added))
-            if self.m.accept == "always" or (size <= len(data) if self.m.accept == "no_larger" else len(data) >= self.ratio * size):
+            if self.m.accept == "always" or (size <= len(data) if self.m.accept == "no_larger" else len(data) >= (FIRST_RATIO if bar is None else bar) * size):
                 base, save, kind = at, size, self.m.kind
                 self.up[chunk] = at
                 self.children.setdefault(at, []).append(chunk)
@@ -291,16 +318,75 @@ def always(unique: DataFrame, sf: DataFrame, how: Method) -> DataFrame:
     return sized.select("chunk_id", kind, "base_id", "chunk_size", F.when(hit, F.col("d")).otherwise(F.col("lz4")).alias("save_size"), hit.cast("int").alias("depth"))
 
 
-def replay(unique: DataFrame, sf: DataFrame, method: str, samples: DataFrame | None = None, ratio: float = 1.0, repeats: DataFrame | None = None) -> DataFrame:
+def replay(unique: DataFrame, sf: DataFrame, method: str, samples: DataFrame | None = None, repeats: DataFrame | None = None, names: DataFrame | None = None, threshold: float | None = None) -> DataFrame:
     """unique: chunk_id, payload; sf: chunk_id, pos, sf (long); samples: chunk_id, s (array), for chain_overlap only.
 
-    Methods whose entries expire need the place of chunks in unique, too, and of their duplicates in repeats."""
+    Methods whose entries expire need the place of chunks in unique, too, and of their duplicates in repeats; the locality
+    method needs version_no in unique, and names: chunk_id, name. threshold: the whole ratio that a local delta has to reach
+    there, in place of the estimate of its gain.
+
+    Methods that compare a delta with averages over all chunks before are replayed again and again, each time with the
+    averages that the last decisions give, until no decision changes. A chunk's decision depends on earlier ones only, so
+    what does not change is what one pass over all chunks in order decides."""
     how = METHODS[method]
     if how.accept == "always" and how.choose == "hit" and how.bases_only and how.per_position:
         return always(unique, sf, how)
-    found = _grouped(sf, F.xxhash64("pos", "sf") if how.per_position else F.xxhash64("sf"))
+    bar = _ratio_bar if how.accept == "ratio" else _gain_bar if how.choose == "locality" else None
+    keys = sf.select("chunk_id", F.xxhash64("pos", "sf").alias("k") if how.per_position else F.xxhash64("sf").alias("k"))
+    if names is not None:
+        keys = keys.unionByName(names.where("name is not null").select("chunk_id", F.xxhash64(F.lit("name"), "name").alias("k")))
+    component = cut(_grouped(keys, F.col("k")))
+    once = lambda bars: _replayed(unique, sf, how, component, samples, repeats, names, bars)
+    if bar is None:
+        return once(None)
+    if threshold is not None:
+        return once(unique.select("chunk_id", F.lit(float(threshold)).alias("bar")))
+    last = None
+    for _ in range(MAX_ROUNDS):
+        now = cut(once(None if last is None else bar(last)))
+        if last is not None and now.join(last, ["chunk_id", "kind", "base_id"], "left_anti").where("base_id is not null").isEmpty() and now.where("base_id is null").join(last.where("base_id is null"), "chunk_id", "left_anti").isEmpty():
+            return now
+        last = now
+    raise RuntimeError("the decisions did not settle")
+
+
+#: Replays until the decisions have to agree.
+MAX_ROUNDS = 100
+
+
+def _before(decisions: DataFrame, **sums: Column) -> DataFrame:
+    """chunk_id and each sum over all chunks with a smaller id, in two levels."""
+    d = decisions.select("chunk_id", F.expr("chunk_id div 65536").alias("part"), *[x.cast("double").alias(n) for n, x in sums.items()])
+    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each part
+    parts = d.groupBy("part").agg(*[F.sum(n).alias(n) for n in sums]).select("part", *[F.coalesce(F.sum(n).over(upto), F.lit(0.0)).alias(f"{n}_") for n in sums])
+    inner = Window.partitionBy("part").orderBy("chunk_id").rowsBetween(Window.unboundedPreceding, -1)
+    return d.select("part", "chunk_id", *[F.coalesce(F.sum(n).over(inner), F.lit(0.0)).alias(n) for n in sums]).join(parts, "part").select("chunk_id", *[(F.col(n) + F.col(f"{n}_")).alias(n) for n in sums])
+
+
+def _base_sums() -> dict[str, Column]:
+    base = F.col("base_id").isNull()
+    return {"raw": F.when(base, F.col("chunk_size")).otherwise(0), "small": F.when(base, F.col("save_size")).otherwise(0), "bases": base.cast("int")}
+
+
+def _ratio_bar(decisions: DataFrame) -> DataFrame:
+    """chunk_id, bar: raw over stored bytes of the bases before."""
+    return _before(decisions, **_base_sums()).select("chunk_id", F.when(F.col("small") > 0, F.col("raw") / F.when(F.col("small") > 0, F.col("small"))).alias("bar"))
+
+
+def _gain_bar(decisions: DataFrame) -> DataFrame:
+    """chunk_id, bar: the same ratio, and behind it what later deltas gain: the mean whole ratio of the deltas before, times
+    the whole deltas for each base before, over LATER. Null, so that all is taken, before the first delta."""
+    delta = F.col("base_id").isNotNull()
+    b = _before(decisions, **_base_sums(), deltas=delta.cast("int"), gains=F.when(delta, F.expr("chunk_size div save_size")).otherwise(0))
+    some = (F.col("small") > 0) & (F.col("deltas") > 0)
+    of = lambda x: F.when(some, F.col(x))
+    return b.select("chunk_id", (of("raw") / of("small") + of("gains") / of("deltas") * F.floor(of("deltas") / of("bases")) / LATER).alias("bar"))
+
+
+def _replayed(unique: DataFrame, sf: DataFrame, how: Method, found: DataFrame, samples: DataFrame | None, repeats: DataFrame | None, names: DataFrame | None, bars: DataFrame | None) -> DataFrame:
     order = PLACE if how.keep else ["chunk_id"]
-    rows = unique.select(*{"chunk_id": 0, "payload": 0} | dict.fromkeys(order))
+    version = ["version_no"] if how.keep or how.choose == "locality" else []
+    rows = unique.select(*{"chunk_id": 0, "payload": 0} | dict.fromkeys([*order, *version]))
     if repeats is not None:
         rows = rows.unionByName(repeats.select("chunk_id", *order, F.lit(None).cast("binary").alias("payload")))
     rows = rows.join(found.select(F.col("node").alias("chunk_id"), "component"), "chunk_id", "left")
@@ -309,50 +395,29 @@ def replay(unique: DataFrame, sf: DataFrame, method: str, samples: DataFrame | N
     rows = rows.join(probes, "chunk_id", "left")
     rows = rows.join(samples.select("chunk_id", "s"), "chunk_id", "left") if samples is not None else rows.withColumn("s", F.lit(None).cast("array<bigint>"))
 
+    rows = rows.join(names.select("chunk_id", "name"), "chunk_id", "left") if names is not None else rows.withColumn("name", F.lit(None).cast("string"))
+    rows = rows.join(bars, "chunk_id", "left") if bars is not None else rows.withColumn("bar", F.lit(None).cast("double"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         component, state = None, None
         names = [x.split()[0] for x in DECISIONS.split(", ")]
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
         for b in batches:
             out = []
-            for c, chunk, data, sfs, s, v in zip(*(b.column(x).to_pylist() for x in ("component", "chunk_id", "payload", "sfs", "s", "version")), strict=True):
+            for c, chunk, data, sfs, s, v, name, bar in zip(*(b.column(x).to_pylist() for x in ("component", "chunk_id", "payload", "sfs", "s", "version", "name", "bar")), strict=True):
                 if c != component or state is None:
-                    component, state = c, Replay(how, ratio)
+                    component, state = c, Replay(how)
                 sfs = [(x["pos"], x["sf"]) for x in sfs or ()]
                 if data is None:
                     state.again(chunk, sfs, v)
                 else:
-                    out.append(state.decide(chunk, data, sfs, s or [], v))
+                    out.append(state.decide(chunk, data, sfs, s or [], v, name, bar))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    version = F.col("version_no") if how.keep else F.lit(0)
-    ordered = rows.withColumn("version", version).repartition("component").sortWithinPartitions("component", *order)
-    ordered = ordered.select("component", "chunk_id", "payload", "sfs", "s", "version")
+    ordered = rows.withColumn("version", F.col("version_no") if version else F.lit(0)).repartition("component").sortWithinPartitions("component", *order)
+    ordered = ordered.select("component", "chunk_id", "payload", "sfs", "s", "version", "name", "bar")
     return ordered.mapInArrow(run, DECISIONS)
 
 
-def lz4_ratio(unique: DataFrame) -> float:
-    """Raw over stored bytes of all unique chunks as LZ4 blocks: one aggregation."""
-    r = unique.agg(F.sum(F.length("payload")).alias("a"), F.sum(codec.lz4_sizes("payload")).alias("b")).first()
-    return r["a"] / r["b"] if r["b"] else 1.0
-
-
-def locality(unique: DataFrame, names: DataFrame, sf: DataFrame, latest: DataFrame) -> DataFrame:
-    """Locality first: the latest earlier chunk of the same name, taken if its delta saves at least as much as LZ4 does on
-    average; else the better of it and the feature match. names: chunk_id, base_id; latest: chunk_id, base_id."""
-    ratio = lz4_ratio(unique)
-    content = unique.select(F.col("chunk_id").alias("base_id"), F.col("payload").alias("base"))
-
-    def sized(c: DataFrame, name: str) -> DataFrame:
-        return c.select("chunk_id", "base_id").join(content, "base_id").join(unique.select("chunk_id", "payload"), "chunk_id").select("chunk_id", F.col("base_id").alias(f"{name}_id"), codec.delta_sizes("payload", "base").alias(f"{name}_size"))
-
-    d = unique.select("chunk_id", F.length("payload").cast("long").alias("chunk_size"), codec.lz4_sizes("payload").alias("lz4")).join(sized(names, "n"), "chunk_id", "left").join(sized(latest, "f"), "chunk_id", "left")
-    n, size = F.col("n_size"), F.col("chunk_size")
-    local = (n <= size) & ((size >= n * F.lit(ratio)) | (F.col("n_id") == F.col("f_id")))
-    kind = F.when(local, "LOCAL_DELTA").when(F.col("f_size") <= size, "FEATURE_DELTA").when(F.col("lz4") < size, "BASE_LZ4").otherwise("BASE_RAW")
-    d = d.withColumn("kind", kind)
-    return d.select("chunk_id", "kind", F.when(F.col("kind") == "LOCAL_DELTA", F.col("n_id")).when(F.col("kind") == "FEATURE_DELTA", F.col("f_id")).alias("base_id"), "chunk_size", F.when(F.col("kind") == "LOCAL_DELTA", n).when(F.col("kind") == "FEATURE_DELTA", F.col("f_size")).otherwise(F.col("lz4")).cast("long").alias("save_size"))
-
-
-__all__ = ["METHODS", "Method", "Replay", "always", "by_candidates", "close_matches", "locality", "lz4_ratio", "replay"]
+__all__ = ["METHODS", "Method", "Replay", "always", "by_candidates", "close_matches", "replay"]

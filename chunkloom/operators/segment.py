@@ -77,3 +77,29 @@ def content_defined(files: DataFrame, rule: Cdc = FASTCDC) -> DataFrame:
                     "offset": pa.array(begins, pa.int64()), "chunk_size": pa.array(np.subtract(ends, begins), pa.int64()), "payload": pa.array([data[i:j] for i, j in zip(begins, ends, strict=True)], pa.binary())})
 
     return files.select(F.col("version_no").cast("int"), F.col("file_id").cast("long"), "content").mapInArrow(run, CHUNKS)
+
+
+def content_defined_windows(windows: DataFrame, rule: Cdc = FASTCDC) -> DataFrame:
+    """Chunks as content_defined() gives them, of files that come in windows (version_no, file_id, window, last, content). A
+    file's windows stream through one task in order; it holds one window and what the last cut left, not the file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rest, offset, seq = None, b"", 0, 0
+        for b in batches:
+            for v, f, last, data in zip(*(b.column(c).to_pylist() for c in ("version_no", "file_id", "last", "content")), strict=True):
+                if (v, f) != key:
+                    key, rest, offset, seq = (v, f), b"", 0, 0
+                data = rest + (data or b"")
+                ends = cut_points(data, rule)
+                if not last and ends:
+                    ends.pop()  # where the data ends; what comes next decides
+                begins = [0, *ends[:-1]] if ends else []
+                n = len(ends)
+                yield pa.RecordBatch.from_pydict({
+                    "version_no": pa.array([v] * n, pa.int32()), "file_id": pa.array([f] * n, pa.int64()), "seq": pa.array(range(seq, seq + n), pa.int64()), "offset": pa.array([offset + i for i in begins], pa.int64()),
+                    "chunk_size": pa.array([j - i for i, j in zip(begins, ends, strict=True)], pa.int64()), "payload": pa.array([data[i:j] for i, j in zip(begins, ends, strict=True)], pa.binary())})
+                done = ends[-1] if ends else 0
+                rest, offset, seq = data[done:], offset + done, seq + n
+
+    ordered = windows.select(F.col("version_no").cast("int"), F.col("file_id").cast("long"), "window", "last", "content").repartition("version_no", "file_id").sortWithinPartitions("version_no", "file_id", "window")
+    return ordered.mapInArrow(run, CHUNKS)

@@ -415,14 +415,54 @@ def subtree_nodes(spark, sf_dir):
     return store.subtree_sizes(_edges(spark, sf_dir), cut).withColumn("deepest", F.col("deepest").cast("long"))
 
 
-@register("container_packing", f"""WITH RECURSIVE {_U}, q AS (SELECT version_no, chunk_id, chunk_size, row_number() OVER (PARTITION BY version_no ORDER BY chunk_id) AS i FROM u),
-r AS (SELECT version_no, i, chunk_id, chunk_size, 0 AS container_id, 0 AS container_offset FROM q WHERE i = 1
-  UNION ALL SELECT q.version_no, q.i, q.chunk_id, q.chunk_size, CASE WHEN r.container_offset + r.chunk_size + q.chunk_size > 4096 THEN r.container_id + 1 ELSE r.container_id END,
-    CASE WHEN r.container_offset + r.chunk_size + q.chunk_size > 4096 THEN 0 ELSE r.container_offset + r.chunk_size END FROM r JOIN q ON q.version_no = r.version_no AND q.i = r.i + 1)
-SELECT chunk_id, CAST(container_id AS BIGINT) AS container_id, CAST(container_offset AS BIGINT) AS container_offset FROM r""")
+@register("container_packing", f"""WITH RECURSIVE {_U}, q AS MATERIALIZED (SELECT chunk_id, chunk_size, sum(chunk_size) OVER (ORDER BY chunk_id) AS upto FROM u),
+x AS MATERIALIZED (SELECT q.chunk_id, q.chunk_size, q.upto, n.chunk_id AS after FROM q ASOF LEFT JOIN q n ON n.upto > q.upto - q.chunk_size + 4096),
+r AS (SELECT 0 AS container_id, CAST(0 AS BIGINT) AS begins UNION ALL SELECT r.container_id + 1, x.after FROM r JOIN x ON x.chunk_id = r.begins WHERE x.after IS NOT NULL)
+SELECT q.chunk_id, CAST(r.container_id AS BIGINT) AS container_id, CAST(q.upto - q.chunk_size - (b.upto - b.chunk_size) AS BIGINT) AS container_offset
+FROM q ASOF JOIN r ON q.chunk_id >= r.begins JOIN q b ON b.chunk_id = r.begins""")
 def container_packing(spark, sf_dir):
     u = dedup.unique_chunks(chunks(spark, sf_dir)).withColumn("stored", F.col("chunk_size"))
-    return store.pack(u, 4096).select("chunk_id", "container_id", "container_offset")
+    return store.pack(u, 4096, run=2048).select("chunk_id", "container_id", "container_offset")
+
+
+def _stored(spark, sf_dir, method: str) -> tuple[DataFrame, DataFrame]:
+    """Unique chunks, and how the method stores them."""
+    c, u = small_chunks(spark, sf_dir)
+    return u, cut(store.encode_stored(u, ReductionPipeline("small_fastcdc", method).decide(c, u)["decisions"], grown=method == "midf"))
+
+
+_NONE = "SELECT doc_id AS chunk_id FROM documents WHERE false"
+
+
+def _mismatches(method: str):
+    def run(spark, sf_dir):
+        """Chunks that do not come back from their stored form, down their chains."""
+        u, stored = _stored(spark, sf_dir, method)
+        back = store.decode_stored(stored, grown=method == "midf").select("chunk_id", F.sha2("payload", 256).alias("got"))
+        return u.select("chunk_id", "fp").join(back, "chunk_id", "full").where(~F.col("fp").eqNullSafe(F.col("got"))).select("chunk_id")
+
+    return run
+
+
+for _name, _method in (("chain_restore_mismatches", "tree_cut"), ("chain_restore_mibl_mismatches", "mibl"), ("chain_restore_midf_mismatches", "midf")):
+    register(_name, _NONE)(_mismatches(_method))
+
+
+@register("chunk_read_digest", f"WITH RECURSIVE {sql.SMALL} SELECT chunk_id, CAST(chunk_size AS BIGINT) AS chunk_size, fp AS digest FROM u WHERE chunk_id % 7 = 3")
+def chunk_read_digest(spark, sf_dir):
+    """Every seventh chunk, read at random from what the greedy tree method stored."""
+    _, stored = _stored(spark, sf_dir, "tree_greedy")
+    wanted = stored.where("chunk_id % 7 = 3").select("chunk_id")
+    return store.read_chunks(stored, wanted).select("chunk_id", F.octet_length("payload").cast("long").alias("chunk_size"), F.sha2("payload", 256).alias("digest"))
+
+
+@register("stored_file_digest", "SELECT doc_id AS file_id, CAST(octet_length(encode(text)) AS BIGINT) AS bytes, sha256(text) AS digest FROM documents WHERE text <> ''")
+def stored_file_digest(spark, sf_dir):
+    """Whole files from recipes and what the method with deltas of deltas stored."""
+    c, u = small_chunks(spark, sf_dir)
+    stored = cut(store.encode_stored(u, ReductionPipeline("small_fastcdc", "tree_cut").decide(c, u)["decisions"]))
+    back = dedup.restore(dedup.recipes(c, u), store.decode_stored(stored))
+    return back.select("file_id", F.length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("digest"))
 
 
 _METRICS = f"""{_D}, lo AS (SELECT count(*) AS lc, sum(chunk_size) AS lb FROM k),
@@ -439,7 +479,7 @@ def _metrics(spark, sf_dir):
 
 
 @register("reduction_metrics", f"""WITH RECURSIVE {_METRICS} SELECT logical_chunks, logical_bytes, unique_chunks, base_chunks, delta_chunks, stored_bytes, base_bytes, delta_bytes, logical_bytes / stored_bytes AS ocr, delta_chunks / unique_chunks AS dcc,
-  CASE WHEN delta_bytes <> 0 THEN dorig / delta_bytes END AS dcr, dce, dedup_reduct, local_reduct, delta_reduct FROM z""")
+  CASE WHEN delta_bytes <> 0 THEN dorig / delta_bytes END AS dcr, dce, dedup_reduct, local_reduct, delta_reduct, CAST(0 AS BIGINT) AS feature_reduct, CAST(0 AS BIGINT) AS locality_reduct FROM z""")
 def reduction_metrics(spark, sf_dir):
     return _metrics(spark, sf_dir)
 
@@ -454,6 +494,24 @@ def index_overhead_model(spark, sf_dir):
     return metrics.index_overhead(_metrics(spark, sf_dir))
 
 
+@register("locality_overhead_model", f"""WITH RECURSIVE {_METRICS} SELECT unique_chunks * 40 AS fp_bytes, unique_chunks * 72 AS id_bytes, base_chunks * 48 AS sf_bytes, names * 12 AS name_bytes, logical_chunks * 8 AS recipe_bytes,
+  unique_chunks * 112 + base_chunks * 48 + names * 12 AS total_bytes FROM z, (SELECT count(DISTINCT file_id) AS names FROM u JOIN d USING (chunk_id) WHERE kind <> 'DELTA')""")
+def locality_overhead_model(spark, sf_dir):
+    c, u = small_chunks(spark, sf_dir)
+    d = cut(block_decisions(u))
+    names_ = d.where("kind <> 'DELTA'").join(u.select("chunk_id", "file_id"), "chunk_id").agg(F.countDistinct("file_id").alias("names"))
+    return metrics.locality_overhead(metrics.reduction(d, c.agg(F.count("*").alias("logical_chunks"), F.sum("chunk_size").alias("logical_bytes"))), names_)
+
+
+@register("tiered_overhead_model", f"""WITH RECURSIVE {sql.tiered(sql.SMALL)}, n AS (SELECT count(*) AS sf_number FROM (SELECT DISTINCT tier, sf FROM t)), q AS (SELECT count(*) AS u FROM u), l AS (SELECT count(*) AS n FROM k)
+SELECT u * 112 AS fp_bytes, sf_number * 40 AS sf_bytes, l.n * 8 AS recipe_bytes, u * 112 + sf_number * 40 AS total_bytes, sf_number FROM n, q, l""")
+def tiered_overhead_model(spark, sf_dir):
+    c, u = small_chunks(spark, sf_dir)
+    stored = _tiered(u).select("tier", "sf").distinct().agg(F.count("*").alias("sf_number"))
+    counts = u.agg(F.count("*").alias("unique_chunks")).crossJoin(c.agg(F.count("*").alias("logical_chunks")))  # one row by one row
+    return metrics.tiered_overhead(counts, stored)
+
+
 # ---- codecs and decisions; sizes depend on our codecs, so tests hold them against replays and round trips
 
 

@@ -6,11 +6,13 @@ unbounded operator state, and a batch that is run again writes the same part ane
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from chunkloom.operators import dedup, segment
+from chunkloom.operators import dedup, metrics, segment
 
 
 class IncrementalDedup:
@@ -26,18 +28,24 @@ class IncrementalDedup:
 
     def process(self, files: DataFrame, batch: int) -> None:
         """Adds one batch of files (version_no, file_id, content)."""
+        began = time.monotonic()
         chunks = dedup.fingerprinted(segment.fixed(files, self.size)).drop("payload").persist()
         first = dedup.first_occurrences(chunks).select("fp", "first.*", "chunk_size", "copies")
         new = first.join(self._known(batch).select("fp"), "fp", "left_anti")
         new.write.mode("overwrite").parquet(f"{self.root}/index/batch={batch}")
         stored = self.spark.read.parquet(f"{self.root}/index/batch={batch}").agg(F.count("*").alias("new_chunks"), F.coalesce(F.sum("chunk_size"), F.lit(0)).alias("new_bytes"))
         logical = chunks.agg(F.count("*").alias("logical_chunks"), F.coalesce(F.sum("chunk_size"), F.lit(0)).alias("logical_bytes"))
-        logical.crossJoin(stored).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/log/batch={batch}")  # one row by one row
+        both = logical.crossJoin(stored).withColumn("seconds", F.lit(time.monotonic() - began))
+        both.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/log/batch={batch}")  # one row by one row
         chunks.unpersist()
 
     def log(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/log")
 
+    def throughput(self) -> DataFrame:
+        """Seconds and bytes a second of each batch, until its index part was written."""
+        return metrics.throughput(self.log().withColumnRenamed("batch", "version_no"))
+
     def start(self, files: DataFrame, checkpoint: str) -> StreamingQuery:
         """files: a streaming DataFrame; every trigger is a batch of versions."""
         return files.writeStream.foreachBatch(self.process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

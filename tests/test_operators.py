@@ -196,9 +196,79 @@ def test_tree_methods_by_hand():
 
 
 def test_packing(spark):
-    rows = [(0, i, n) for i, n in enumerate([3, 3, 3, 5, 2])] + [(1, 10, 9), (1, 11, 1)]
-    got = store.pack(spark.createDataFrame(rows, "version_no int, chunk_id long, stored long"), 8).orderBy("chunk_id").collect()
+    rows = [(0, i, n) for i, n in enumerate([3, 3, 3, 5, 2])] + [(1, 10, 8), (1, 11, 1)]
+    df = spark.createDataFrame(rows, "version_no int, chunk_id long, stored long")
+    got = store.pack(df, 8, restart=True).orderBy("chunk_id").collect()
     assert [(r["container_id"], r["container_offset"]) for r in got] == [(0, 0), (0, 3), (1, 0), (1, 3), (2, 0), (0, 0), (1, 0)]
+    got = store.pack(df, 8).orderBy("chunk_id").collect()
+    assert [(r["container_id"], r["container_offset"]) for r in got] == [(0, 0), (0, 3), (1, 0), (1, 3), (2, 0), (3, 0), (4, 0)]
+
+
+@pytest.mark.parametrize("run", [1, 3, 50, 1 << 20])
+def test_packing_in_runs_equals_one_pass(spark, run):
+    r = random.Random(run)
+    sizes = [r.choice([1, 5, 30, 99, 100]) for _ in range(400)]
+    got = store.pack(spark.createDataFrame([(i // 130, i, n) for i, n in enumerate(sizes)], "version_no int, chunk_id long, stored long").repartition(3), 100, run=run).orderBy("chunk_id").collect()
+    container = fill = 0
+    want = []
+    for n in sizes:
+        if fill and fill + n > 100:
+            container, fill = container + 1, 0
+        want.append((container, fill))
+        fill += n
+    assert [(x["container_id"], x["container_offset"]) for x in got] == want
+
+
+@pytest.mark.parametrize("tree_bytes", [0, 1 << 20])
+@pytest.mark.parametrize("grown", [False, True])
+def test_stored_chunks_come_back(spark, monkeypatch, tree_bytes, grown):
+    monkeypatch.setattr(store, "TREE_BYTES", tree_bytes)
+    r = random.Random(3)
+    data = [bytes(r.choice(b"abcd") for _ in range(300)), b"", b"z" * 500]
+    for i in range(40):
+        base = bytearray(data[r.randrange(len(data))])
+        at = r.randint(0, len(base))
+        base[at:at] = bytes(r.choice(b"xyz") for _ in range(r.randint(0, 40)))
+        data.append(bytes(base))
+    up = {i: r.randrange(i) for i in range(3, len(data)) if i % 5}
+    unique = spark.createDataFrame(list(enumerate(data)), "chunk_id long, payload binary").repartition(3)
+    decisions = spark.createDataFrame([(i, "DELTA" if i in up else "BASE_LZ4", up.get(i)) for i in range(len(data))], "chunk_id long, kind string, base_id long")
+    stored = cut(store.encode_stored(unique, decisions, grown))
+    assert {x["chunk_id"]: bytes(x["payload"]) for x in store.decode_stored(stored, grown).collect()} == dict(enumerate(data))
+    wanted = spark.createDataFrame([(42,), (17,), (17,)], "chunk_id long")
+    assert {x["chunk_id"]: bytes(x["payload"]) for x in store.read_chunks(stored, wanted, grown).collect()} == {i: data[i] for i in (42, 17)}
+    line = {42, 17}
+    for i in (42, 17):
+        while i in up:
+            i = up[i]
+            line.add(i)
+    assert {x["chunk_id"] for x in store.with_ancestors(wanted, stored.select("chunk_id", "base_id")).collect()} == line
+    meta = store.read_meta(stored, wanted)
+    assert "stored" not in meta.columns and {x["chunk_id"]: x["chunk_size"] for x in meta.collect()} == {i: len(data[i]) for i in (42, 17)}
+    # a chunk whose root is damaged does not come back, and nothing that builds on it
+    broken = stored.withColumn("stored", F.when(F.col("chunk_id") == 0, F.lit(b"x" * 300)).otherwise(F.col("stored")))
+    back = {x["chunk_id"]: x["payload"] for x in store.decode_stored(broken, grown).collect()}
+    assert len(back) == len(data) and bytes(back[2]) == data[2] and bytes(back[0]) == b"x" * 300
+
+
+def test_containers_are_read_back(spark, tmp_path):
+    rows = spark.createDataFrame([(i, i // 4, i % 4, bytes([i])) for i in range(20)], "chunk_id long, container_id long, container_offset long, stored binary")
+    store.write_containers(rows, str(tmp_path / "c"))
+    wanted = rows.where("chunk_id in (3, 5, 6)").select("container_id", "chunk_id")
+    assert sorted((r["chunk_id"], bytes(r["stored"])) for r in store.read_containers(spark, str(tmp_path / "c"), wanted).collect()) == [(i, bytes([i])) for i in (3, 5, 6)]
+    assert tuple(store.container_loads(wanted).first()) == (3, 2, 1 / 3)
+
+
+def test_restore_in_pieces(files):
+    c = cut(dedup.fingerprinted(segment.fixed(files, 64)))
+    u = cut(dedup.unique_chunks(c))
+    p = u.join(c.select(*dedup.PLACE, "payload"), dedup.PLACE).select("chunk_id", "payload")
+    rows = sorted(dedup.restore_pieces(dedup.recipes(c, u), p, 1000).collect(), key=lambda r: (r["file_id"], r["piece"]))
+    back = {}
+    for r in rows:
+        assert 0 < len(r["content"]) < 1000 + 64
+        back[r["file_id"]] = back.get(r["file_id"], b"") + bytes(r["content"])
+    assert back == {i: b for _, i, _, b in sample_files() if b}
 
 
 def test_chains(spark):
@@ -452,3 +522,42 @@ def test_locality_by_member_name_or_chunk_before(spark):
 def test_tree_cache_decides_as_tree_layer(unique):
     a, b = (sorted(map(tuple, ReductionPipeline("small_fastcdc", m).decide(unique, unique)["decisions"].collect())) for m in ("tree_cache", "tree_layer"))
     assert a == b and a
+
+
+def test_long_names_and_archive_recipes(spark):
+    from test_methods import archives
+
+    rows = archives()
+    found = list(archive.blocks(rows[0][3]))
+    assert [n for kind, _, _, n in found if len(n) > 100] == ["v0/long/" + "n" * 120] * 4 and found[0][3] == "v0/dir/0.txt"
+    out = ReductionPipeline("tar_headers", "dedup", headers=4, versions=3).run(spark.createDataFrame(rows, FILES))
+    assert {r["part"] for r in out["recipes"].collect()} == {"header", "data"}
+    back = archive.restore_archives(out["recipes"], out["unique"].select("chunk_id", "payload"))
+    assert {r["file_id"]: bytes(r["content"]) for r in back.collect()} == {i: b for v, i, _, b in rows if v < 3}
+
+
+def test_windows_of_large_files(spark, tmp_path):
+    r = random.Random(9)
+    contents = {f"v {i}#é": bytes(r.choice(b"abcdefgh") for _ in range(n)) for i, n in enumerate((0, 1, 5000, 20000))}
+    for name, b in contents.items():
+        (tmp_path / name).write_bytes(b)
+    whole = corpus.directory(spark, str(tmp_path))
+    parts = corpus.windows(spark, str(tmp_path), size=777)
+    assert parts.count() == sum(-(-len(b) // 777) for b in contents.values())
+    for rule in (segment.SMALL_FASTCDC, segment.SMALL_GEARCDC):
+        want = sorted(map(tuple, segment.content_defined(whole, rule).collect()))
+        assert sorted(map(tuple, segment.content_defined_windows(parts, rule).collect())) == want
+
+
+def test_overheads_and_throughput(spark):
+    m = spark.createDataFrame([(10, 8, 5)], "logical_chunks long, unique_chunks long, base_chunks long")
+    assert tuple(metrics.locality_overhead(m, spark.createDataFrame([(3,)], "names long")).first()) == (320, 576, 240, 36, 80, 1172)
+    assert tuple(metrics.tiered_overhead(m, spark.createDataFrame([(7,)], "sf_number long")).first()) == (896, 280, 80, 1176, 7)
+    log = spark.createDataFrame([(0, 100, 40, 2.0), (1, 5, 5, 0.0)], "version_no long, logical_bytes long, new_bytes long, seconds double")
+    assert sorted(map(tuple, metrics.throughput(log).collect())) == [(0, 2.0, 50.0, 30.0), (1, 0.0, None, None)]
+
+
+def test_block_delta(spark):
+    rows = [(b"a" * 16 + b"b" * 16 + b"tail", b"b" * 16 + b"x"), (b"", b"q"), (b"abc", None), (b"abc", b"")]
+    df = spark.createDataFrame(rows, "t binary, b binary")
+    assert [r[0] for r in df.select(codec.block_delta_size(F.col("t"), F.col("b"))).collect()] == [4 + 17 + 4 + 5, 4, None, 8]
