@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -96,15 +97,36 @@ def ntransform(chunk: bytes) -> list[int]:
     return out
 
 
+#: Bytes of chunks whose hashes, eight bytes for each byte, are there at once.
+SLICE_BYTES = 1 << 20
+
+
+def _slices(chunks: pd.Series) -> Iterator[list[bytes]]:
+    """The chunks in parts of about SLICE_BYTES, one chunk at least."""
+    held: list[bytes] = []
+    size = 0
+    for c in chunks:
+        held.append(bytes(c))
+        size += len(c)
+        if size >= SLICE_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def odess_features(chunks: pd.Series) -> pd.Series:
-    return pd.Series(list(odess([bytes(c) for c in chunks]).view(np.int64)))
+    return pd.Series([f for part in _slices(chunks) for f in odess(part).view(np.int64)], dtype=object)
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def sampled_features(chunks: pd.Series) -> pd.Series:
-    owner, h = _sampled([bytes(c) for c in chunks], SAMPLE_MASK)
-    return pd.Series(np.split(h.view(np.int64), np.searchsorted(owner, np.arange(1, len(chunks)))) if len(chunks) else [], dtype=object)
+    out = []
+    for part in _slices(chunks):
+        owner, h = _sampled(part, SAMPLE_MASK)
+        out += np.split(h.view(np.int64), np.searchsorted(owner, np.arange(1, len(part))))
+    return pd.Series(out, dtype=object)
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))

@@ -108,7 +108,8 @@ def block_delta_size(target: Column, base: Column) -> Column:
     blocks = lambda x: F.when(F.length(x) > 0, F.transform(F.sequence(F.lit(0), F.length(x) - 1, F.lit(STEP)), lambda i: F.substring(x, i + 1, F.lit(STEP)))).otherwise(F.array().cast("array<binary>"))
     # hex strings, as arrays of binary values cannot be searched
     known = F.transform(blocks(base), F.hex)
-    return F.lit(4) + F.aggregate(blocks(target), F.lit(0), lambda n, z: n + F.when(F.array_contains(known, F.hex(z)), 4).otherwise(F.length(z) + 1))
+    size = F.lit(4) + F.aggregate(blocks(target), F.lit(0), lambda n, z: n + F.when(F.array_contains(known, F.hex(z)), 4).otherwise(F.length(z) + 1))
+    return F.when(base.isNotNull(), size)
 
 
 @F.pandas_udf(T.LongType())

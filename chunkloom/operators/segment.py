@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,28 +52,56 @@ def cut_points(data: bytes, rule: Cdc) -> list[int]:
     gear, n, out, start = _gear_list(), len(data), [], 0
     mask, least, most = rule.mask, rule.least, rule.most
     while start < n:
-        stop = min(n, start + most)
-        fp, cut = 0, stop
-        for i in range(min(start + least, stop), stop):
-            fp = (fp >> 1) + gear[data[i]]
-            if not fp & mask:
-                cut = i + 1
-                break
+        cut = stop = min(n, start + most)
+        begin = min(start + least, stop)
+        while begin < stop:  # in parts, so that a short chunk of a long file copies little
+            part = data[begin : min(stop, begin + 1024)]
+            fp = 0 if begin == start + least else fp  # noqa: F821
+            i = begin
+            for x in part:
+                i += 1
+                fp = (fp >> 1) + gear[x]
+                if not fp & mask:
+                    cut = i
+                    break
+            else:
+                begin += len(part)
+                continue
+            break
         out.append(cut)
         start = cut
     return out
 
 
+#: Bytes of files whose chunks are returned in one batch.
+BATCH_BYTES = 4 << 20
+
+
+def _rows(held: list[tuple[int, int, int, int, bytes]]) -> pa.RecordBatch:
+    """A batch of (version_no, file_id, seq, offset, payload)."""
+    v, f, seq, offset, data = zip(*held, strict=True)
+    sizes = [len(x) for x in data]
+    arrays = [pa.array(v, pa.int32()), *(pa.array(x, pa.int64()) for x in (f, seq, offset, sizes)), pa.array(data, pa.binary())]
+    held.clear()
+    return pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in CHUNKS.split(", ")])
+
+
 def content_defined(files: DataFrame, rule: Cdc = FASTCDC) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int, int, int, bytes]] = []
+        size = 0
         for b in batches:
-            for v, f, data in zip(*(b.column(c).to_pylist() for c in ("version_no", "file_id", "content")), strict=True):
-                ends = cut_points(data or b"", rule)
-                begins = [0, *ends[:-1]] if ends else []
-                n = len(ends)
-                yield pa.RecordBatch.from_pydict({
-                    "version_no": pa.array([v] * n, pa.int32()), "file_id": pa.array([f] * n, pa.int64()), "seq": pa.array(range(n), pa.int64()),
-                    "offset": pa.array(begins, pa.int64()), "chunk_size": pa.array(np.subtract(ends, begins), pa.int64()), "payload": pa.array([data[i:j] for i, j in zip(begins, ends, strict=True)], pa.binary())})
+            for v, f, data in zip(*(b.column(c) for c in ("version_no", "file_id", "content")), strict=True):
+                v, f, data, at = v.as_py(), f.as_py(), data.as_py() or b"", 0
+                for seq, end in enumerate(cut_points(data, rule)):
+                    held.append((v, f, seq, at, data[at:end]))
+                    at = end
+                size += len(data)
+                if size >= BATCH_BYTES and held:
+                    yield _rows(held)
+                    size = 0
+        if held:
+            yield _rows(held)
 
     return files.select(F.col("version_no").cast("int"), F.col("file_id").cast("long"), "content").mapInArrow(run, CHUNKS)
 
@@ -93,13 +120,13 @@ def content_defined_windows(windows: DataFrame, rule: Cdc = FASTCDC) -> DataFram
                 ends = cut_points(data, rule)
                 if not last and ends:
                     ends.pop()  # where the data ends; what comes next decides
-                begins = [0, *ends[:-1]] if ends else []
-                n = len(ends)
-                yield pa.RecordBatch.from_pydict({
-                    "version_no": pa.array([v] * n, pa.int32()), "file_id": pa.array([f] * n, pa.int64()), "seq": pa.array(range(seq, seq + n), pa.int64()), "offset": pa.array([offset + i for i in begins], pa.int64()),
-                    "chunk_size": pa.array([j - i for i, j in zip(begins, ends, strict=True)], pa.int64()), "payload": pa.array([data[i:j] for i, j in zip(begins, ends, strict=True)], pa.binary())})
-                done = ends[-1] if ends else 0
-                rest, offset, seq = data[done:], offset + done, seq + n
+                held, at = [], 0
+                for end in ends:
+                    held.append((v, f, seq, offset + at, data[at:end]))
+                    at, seq = end, seq + 1
+                if held:
+                    yield _rows(held)
+                rest, offset = data[at:], offset + at
 
     ordered = windows.select(F.col("version_no").cast("int"), F.col("file_id").cast("long"), "window", "last", "content").repartition("version_no", "file_id").sortWithinPartitions("version_no", "file_id", "window")
     return ordered.mapInArrow(run, CHUNKS)

@@ -351,7 +351,7 @@ def test_directory_source_and_exports(spark, tmp_path):
     u = out["unique"]
     placed = out["containers"].join(u.select("chunk_id", "payload"), "chunk_id")
     store.write_containers(placed, f"{tmp_path}/containers")
-    back = store.read_chunks(spark, f"{tmp_path}/containers", out["containers"].select("version_no", "chunk_id").limit(2))
+    back = store.read_containers(spark, f"{tmp_path}/containers", out["containers"].select("container_id", "chunk_id").limit(2))
     assert back.count() == 2
     store.export_csv(out["decisions"], f"{tmp_path}/csv")
     assert spark.read.option("header", "true").csv(f"{tmp_path}/csv").count() == u.count()
@@ -372,6 +372,7 @@ def test_versions_arriving(spark, files, tmp_path):
     rows = inc.log().collect()
     c = dedup.fingerprinted(segment.fixed(files.where("version_no in (0, 1, 2, 9)"), 64))
     assert len(rows) == 4 and sum(r["new_chunks"] for r in rows) == c.select("fp").distinct().count() and sum(r["logical_chunks"] for r in rows) == c.count()
+    assert all(r["seconds"] > 0 and r["bytes_a_second"] >= r["reduced_a_second"] >= 0 for r in inc.throughput().collect())
     inc.process(files.where("version_no = 9"), 3)  # a batch that runs again changes nothing
     assert sum(r["new_chunks"] for r in inc.log().collect()) == sum(r["new_chunks"] for r in rows)
 
