@@ -48,6 +48,8 @@ BINS = 64
 #: in the corpus, by the table of counts, beyond which its nodes are dealt over several buckets.
 FINE_BITS, BLOCK, HOT = 10, 4096, 1 << 16
 FINE = 1 << FINE_BITS
+#: Open groups and large classes in them, up to which their table (some MB) is sent to all tasks.
+FEW_GROUPS = 50_000
 SLICE = 1 << 18
 
 
@@ -348,10 +350,13 @@ def dealt_blocks(members: DataFrame, labels: DataFrame) -> DataFrame:
     per = F.ceil(F.col("c") / BLOCK).cast("int")
     own = F.sort_array(F.collect_list(F.when(large, F.struct("label", per.alias("k")))))  # at most 2 / BLOCK of the members
     groups = sizes.groupBy("a").agg(F.count("*").alias("classes"), own.alias("large"), F.coalesce(F.ceil(F.sum(F.when(~large, F.col("c"))) / BLOCK), F.lit(0)).cast("int").alias("rest"))
-    groups = groups.where("classes > 1").select("a", "large", "rest", F.aggregate("large", F.lit(0), lambda t, x: t + x["k"]).alias("own"))
+    groups = cut(groups.where("classes > 1").select("a", "large", "rest", F.aggregate("large", F.lit(0), lambda t, x: t + x["k"]).alias("own")))
+    # sent to all tasks while they are few, so that a group's members stay where they are; else Spark splits large groups
+    n = groups.agg(F.count("*") + F.coalesce(F.sum(F.size("large")), F.lit(0))).first()[0]
+    sent = F.broadcast if n <= FEW_GROUPS else lambda df: df
     # blocks 0 .. rest - 1 are those of small classes; a large class has the k blocks from `at` on
     starts = groups.select("a", "large", F.posexplode("large").alias("i", "e"), "rest").select("a", F.col("e.label").alias("label"), F.col("e.k").alias("k"), F.expr("rest + aggregate(slice(large, 1, i), 0, (t, x) -> t + x.k)").alias("at"))
-    left = labelled.join(groups.select("a", "rest", "own"), "a").join(starts, ["a", "label"], "left")
+    left = labelled.join(sent(groups.select("a", "rest", "own")), "a").join(sent(starts), ["a", "label"], "left")
     spot = F.xxhash64("b")
     left = left.withColumn("block", F.when(F.col("k").isNotNull(), F.col("at") + F.pmod(spot, F.col("k"))).otherwise(F.pmod(spot, F.greatest(F.col("rest"), F.lit(1)))).cast("int"))
     others = F.sequence(F.lit(0), F.col("rest") + F.col("own") - 1)
