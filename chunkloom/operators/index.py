@@ -2,6 +2,9 @@
 
 Input is long form: sf(chunk_id, pos, sf). A probe walks its positions in order and takes the first that hits. Shared
 indexes match a value stored from any position; per-position indexes only its own. Chunks see strictly smaller ids.
+
+A value that very many chunks share (that of chunks without features, say) is not one task's: its rows are looked
+through in spans of ids, and what each span leaves to the later ones is one row.
 """
 
 from __future__ import annotations
@@ -14,21 +17,37 @@ def _keys(per_position: bool) -> list[str]:
     return ["sf", "pos"] if per_position else ["sf"]
 
 
+#: Chunk ids in a span.
+SPAN = 1 << 16
+
+
 def _earlier(keys: list[str]) -> Window:
     return Window.partitionBy(*keys).orderBy("chunk_id").rangeBetween(Window.unboundedPreceding, -1)
 
 
+def _before(df: DataFrame, keys: list[str], value: Column, name: str, largest: bool = True) -> DataFrame:
+    """df with the largest (smallest) value, one that grows with chunk_id, of the rows of smaller ids and the same keys."""
+    pick = F.max if largest else F.min
+    rows = df.withColumn("_span", F.expr(f"chunk_id div {SPAN}"))
+    spans = rows.groupBy(*keys, "_span").agg(pick(value).alias("_v"))
+    upto = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select(*keys, "_span", pick("_v").over(upto).alias("_other"))
+    own = pick(value).over(_earlier([*keys, "_span"]))
+    first, second = (own, F.col("_other")) if largest else (F.col("_other"), own)
+    return rows.join(spans, [*keys, "_span"]).withColumn(name, F.coalesce(first, second)).drop("_span", "_other")
+
+
 def _first_hit(hits: DataFrame) -> DataFrame:
     """chunk_id, base_id, pos of the first position with a hit."""
     return hits.where("base_id is not null").groupBy("chunk_id").agg(F.min(F.struct("pos", "base_id")).alias("m")).select("chunk_id", F.col("m.base_id").alias("base_id"), F.col("m.pos").alias("pos"))
 
 
 def latest(sf: DataFrame, per_position: bool = False) -> DataFrame:
-    return _first_hit(sf.withColumn("base_id", F.max("chunk_id").over(_earlier(_keys(per_position)))))
+    return _first_hit(_before(sf, _keys(per_position), F.col("chunk_id"), "base_id"))
 
 
 def first(sf: DataFrame, per_position: bool = False) -> DataFrame:
-    return _first_hit(sf.withColumn("base_id", F.min("chunk_id").over(_earlier(_keys(per_position)))))
+    return _first_hit(_before(sf, _keys(per_position), F.col("chunk_id"), "base_id", largest=False))
 
 
 def _thinned(sf: DataFrame, chosen: Column) -> DataFrame:
@@ -54,7 +73,7 @@ def less4(sf: DataFrame) -> DataFrame:
 
 def all_matches(sf: DataFrame) -> DataFrame:
     """chunk_id, base_id: every earlier chunk under the first position that hits."""
-    hit = sf.withColumn("e", F.min("chunk_id").over(_earlier(["sf"]))).where("e is not null")
+    hit = _before(sf, ["sf"], F.col("chunk_id"), "e", largest=False).where("e is not null")
     pos = hit.groupBy("chunk_id").agg(F.min(F.struct("pos", "sf")).alias("m")).select("chunk_id", "m.sf")
     stored = sf.select("sf", F.col("chunk_id").alias("base_id")).distinct()
     return pos.join(stored, "sf").where("base_id < chunk_id").select("chunk_id", "base_id")
@@ -63,8 +82,7 @@ def all_matches(sf: DataFrame) -> DataFrame:
 def tiered(sf: DataFrame, keep: dict[int, int]) -> DataFrame:
     """chunk_id, base_id, tier, pos of tiered super-features (version_no, chunk_id, tier, pos, sf): tiers in order, then
     positions. keep: versions after which a tier's entries expire; an entry lives on while it is stored again."""
-    w = Window.partitionBy("tier", "sf").orderBy("chunk_id").rangeBetween(Window.unboundedPreceding, -1)
-    last = sf.withColumn("m", F.max(F.struct("chunk_id", "version_no")).over(w)).where("m is not null")
+    last = _before(sf, ["tier", "sf"], F.struct("chunk_id", "version_no"), "m").where("m is not null")
     alive = F.lit(True)
     for tier, versions in keep.items():
         alive = alive & ~((F.col("tier") == tier) & (F.col("version_no") - F.col("m.version_no") > versions))
@@ -73,9 +91,8 @@ def tiered(sf: DataFrame, keep: dict[int, int]) -> DataFrame:
 
 
 def last_of_name(chunks: DataFrame) -> DataFrame:
-    """chunk_id, base_id: the latest earlier chunk (chunk_id, name) of the same name."""
-    w = Window.partitionBy("name").orderBy("chunk_id").rangeBetween(Window.unboundedPreceding, -1)
-    return chunks.withColumn("base_id", F.max("chunk_id").over(w)).where("base_id is not null").select("chunk_id", "base_id")
+    """chunk_id, base_id: the latest earlier chunk (chunk_id, name) of the same name; chunks without a name have none."""
+    return _before(chunks.where("name is not null"), ["name"], F.col("chunk_id"), "base_id").where("base_id is not null").select("chunk_id", "base_id")
 
 
 # ---- records with super-features

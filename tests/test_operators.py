@@ -93,8 +93,10 @@ def brute_index(rows, policy):
     return out
 
 
+@pytest.mark.parametrize("span", [3, 1 << 16])
 @pytest.mark.parametrize("policy", ["latest", "first", "log2", "less4"])
-def test_index_policies(spark, policy):
+def test_index_policies(spark, monkeypatch, policy, span):
+    monkeypatch.setattr(index, "SPAN", span)
     r = random.Random(2)
     rows = [(i, [f"s{r.randrange(1 + r.randrange(40))}" for _ in range(3)]) for i in range(400)] + [(1000 + i, ["X", "Y", "Z"]) for i in range(7)] + [(2000, ["Q", "X", "Q"])]
     sf = spark.createDataFrame([(c, p, s) for c, sfs in rows for p, s in enumerate(sfs)], "chunk_id long, pos int, sf string")
@@ -103,13 +105,17 @@ def test_index_policies(spark, policy):
     assert got[2000] == ({"latest": 1006, "first": 1000, "log2": 1004, "less4": 1004}[policy], 1)
 
 
-def test_all_matches_and_per_position(spark):
+@pytest.mark.parametrize("span", [1, 2, 1 << 16])
+def test_all_matches_and_per_position(spark, monkeypatch, span):
+    monkeypatch.setattr(index, "SPAN", span)
     sf = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "b"), (2, 1, "a"), (3, 0, "z"), (3, 1, "a")], "chunk_id long, pos int, sf string")
     assert sorted(map(tuple, index.all_matches(sf).collect())) == [(2, 1), (3, 1), (3, 2)]
     assert sorted(map(tuple, index.latest(sf, per_position=True).collect())) == [(3, 2, 1)]
 
 
-def test_tiers_expire(spark):
+@pytest.mark.parametrize("span", [2, 1 << 16])
+def test_tiers_expire(spark, monkeypatch, span):
+    monkeypatch.setattr(index, "SPAN", span)
     rows = [(0, 1, 2, 0, "x"), (0, 2, 3, 0, "y"), (0, 3, 1, 0, "w"), (6, 10, 2, 0, "x"), (3, 11, 3, 0, "y"), (99, 12, 1, 0, "w"), (5, 13, 2, 0, "q"), (6, 14, 2, 0, "x")]
     sf = spark.createDataFrame(rows, "version_no int, chunk_id long, tier int, pos int, sf string")
     assert sorted(map(tuple, index.tiered(sf, {2: 5, 3: 2}).collect())) == [(12, 3, 1, 0), (14, 10, 2, 0)]
