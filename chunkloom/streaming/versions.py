@@ -1,7 +1,8 @@
 """Versions arriving one after the other: each micro-batch is de-duplicated against all earlier ones.
 
 The fingerprint index is a folder of Parquet parts, one for each batch, so first occurrence holds for ever without
-unbounded operator state, and a batch that is run again writes the same part anew.
+unbounded operator state, and a batch that is run again writes the same parts anew: its new fingerprints, their bytes,
+and the recipes of its files.
 """
 
 from __future__ import annotations
@@ -29,16 +30,26 @@ class IncrementalDedup:
     def process(self, files: DataFrame, batch: int) -> None:
         """Adds one batch of files (version_no, file_id, content)."""
         began = time.monotonic()
-        chunks = dedup.fingerprinted(segment.fixed(files, self.size)).drop("payload").persist()
+        whole = dedup.fingerprinted(segment.fixed(files, self.size))
+        chunks = whole.drop("payload").persist()
         first = dedup.first_occurrences(chunks).select("fp", "first.*", "chunk_size", "copies")
         new = first.join(self._known(batch).select("fp"), "fp", "left_anti")
         new.write.mode("overwrite").parquet(f"{self.root}/index/batch={batch}")
+        # the batch's containers and recipes: new chunks with their bytes, and all places with their content's name
+        whole.join(new.select(*dedup.PLACE), dedup.PLACE).select("fp", "payload").write.mode("overwrite").parquet(f"{self.root}/chunks/batch={batch}")
+        chunks.select(*dedup.PLACE, "fp").write.mode("overwrite").parquet(f"{self.root}/recipes/batch={batch}")
         stored = self.spark.read.parquet(f"{self.root}/index/batch={batch}").agg(F.count("*").alias("new_chunks"), F.coalesce(F.sum("chunk_size"), F.lit(0)).alias("new_bytes"))
         logical = chunks.agg(F.count("*").alias("logical_chunks"), F.coalesce(F.sum("chunk_size"), F.lit(0)).alias("logical_bytes"))
         both = logical.crossJoin(stored).withColumn("seconds", F.lit(time.monotonic() - began))
         both.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/log/batch={batch}")  # one row by one row
         chunks.unpersist()
 
+    def restore(self, batch: int | None = None) -> DataFrame:
+        """version_no, file_id, content of the files of one batch, or of all."""
+        recipe = self.spark.read.parquet(f"{self.root}/recipes").withColumnRenamed("fp", "chunk_id")
+        recipe = recipe if batch is None else recipe.where(F.col("batch") == batch)
+        return dedup.restore(recipe, self.spark.read.parquet(f"{self.root}/chunks").withColumnRenamed("fp", "chunk_id"))
+
     def log(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/log")
 

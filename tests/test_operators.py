@@ -379,6 +379,9 @@ def test_versions_arriving(spark, files, tmp_path):
     c = dedup.fingerprinted(segment.fixed(files.where("version_no in (0, 1, 2, 9)"), 64))
     assert len(rows) == 4 and sum(r["new_chunks"] for r in rows) == c.select("fp").distinct().count() and sum(r["logical_chunks"] for r in rows) == c.count()
     assert all(r["seconds"] > 0 and r["bytes_a_second"] >= r["reduced_a_second"] >= 0 for r in inc.throughput().collect())
+    want = {r["file_id"]: bytes(r["content"]) for r in files.where("version_no in (0, 1, 2, 9)").collect() if r["content"]}
+    assert {r["file_id"]: bytes(r["content"]) for r in inc.restore().collect()} == want
+    assert {r["file_id"] for r in inc.restore(1).collect()} < set(want)
     inc.process(files.where("version_no = 9"), 3)  # a batch that runs again changes nothing
     assert sum(r["new_chunks"] for r in inc.log().collect()) == sum(r["new_chunks"] for r in rows)
 
