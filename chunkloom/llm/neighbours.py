@@ -9,7 +9,8 @@ table costs as much as any other; nothing is lost, as ties go to smaller ids. Le
 
 Defined results: vectors that are null, zero, not finite in some component or null in one, or not of the table's most
 frequent length take no part (neither as queries nor as candidates); a query with fewer candidates than k gets them
-all; repeated vec_ids count once per row; extra columns are ignored; an empty table gives no rows.
+all; rows that share a vec_id are one query, which gets the nearest of all their vectors, no candidates of each other,
+and candidates of others once for each row; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -134,6 +135,10 @@ def search(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
     # the k + 1 smallest ids of each distinct vector; Spark limits each group before the shuffle
     few = rows.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)
     points = cut(few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.col("ids")[0].alias("pid"), "v", "ids"))
+    if points.count() > points.select("pid").distinct().count():
+        # ids with several vectors: points get numbers of their own, in the order of their smallest ids
+        ordered = points.repartitionByRange(fan_out(df), "pid", "v").sortWithinPartitions("pid", "v")
+        points = cut(ordered.select(F.monotonically_increasing_id().alias("pid"), "v", "ids"))
     asked = cut(rows.where(F.col("vec_id") % every == 0).join(points.select("v", "pid"), "v").select("vec_id", "pid"))
 
     n = points.count()

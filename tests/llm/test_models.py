@@ -137,3 +137,13 @@ def test_neighbour_edges(spark):
     assert got == [(0, 1, 20, 0.5), (0, 2, 1, 0.0), (20, 1, 0, 0.5), (20, 2, 1, 0.5)]
     assert neighbours.search(df.limit(0)).count() == 0
     assert neighbours.search(df.where("vec_id = 0")).count() == 0
+
+
+def test_repeated_vec_ids(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.0]), (1, [0.5, 0.0]), (1, [0.5, 0.0]), (20, [0.0, 2.0]), (20, [0.0, 2.0])]
+    got = sorted(map(tuple, neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect()))
+    want = []
+    for q in (0, 20):
+        each = [(-sum(a * b for a, b in zip(x, y, strict=True)), j) for i, x in rows if i == q for j, y in rows if j != q]
+        want += [(q, n + 1, j, -s + 0.0) for n, (s, j) in enumerate(sorted(each)[:20])]
+    assert got == sorted(want)
