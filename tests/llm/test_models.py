@@ -147,3 +147,29 @@ def test_repeated_vec_ids(spark):
         each = [(-sum(a * b for a, b in zip(x, y, strict=True)), j) for i, x in rows if i == q for j, y in rows if j != q]
         want += [(q, n + 1, j, -s + 0.0) for n, (s, j) in enumerate(sorted(each)[:20])]
     assert got == sorted(want)
+
+
+def test_many_queries_and_leaves_in_small_batches(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(2000, 12)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    plain = neighbours.lean
+
+    def watched(run):
+        def batches_of(batches):
+            for b in run(batches):
+                assert b.nbytes < 2 << 20
+                yield b
+
+        return plain(batches_of)
+
+    monkeypatch.setattr(neighbours, "lean", watched)
+    monkeypatch.setattr(neighbours, "LEAF_POINTS", 4)
+    monkeypatch.setattr(neighbours, "GROUP_BYTES", 7 * 48, raising=False)  # groups of seven vectors: some leaves are dealt over several
+    want = brute(list(range(2000)), x.astype(np.float64), 20, 2)
+    got = {}
+    for g in neighbours.search(df, every=2).orderBy("query_id", "rank").collect():
+        got.setdefault(g["query_id"], []).append((g["vec_id"], g["score"]))
+    assert set(got) == set(want) and all(len(v) == 20 for v in got.values())
+    assert sum(len({a for a, _ in got[q]} & {a for a, _ in want[q]}) for q in want) >= 0.9 * 20 * len(want)
+    assert all(abs(s - float(x[q].astype(np.float64) @ x[a])) < 1e-9 for q in got for a, s in got[q])
