@@ -1,5 +1,7 @@
 """Catalog queries against their SQL in DuckDB, at the smallest scale."""
 
+import os
+
 import duckdb
 import pytest
 
@@ -33,3 +35,16 @@ def test_entry_and_names(spark):
     assert __spark_entry__.entry(spark).count() == 20
     assert set(catalog.QUERIES) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_all_matches_writes_no_chunks(spark, tmp_path):
+    size = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("sum(octet_length(text))").first()[0]
+    sc = spark.sparkContext
+    before = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
+    sc.setCheckpointDir(str(tmp_path))
+    try:
+        assert __spark_entry__.queries()["sf_all_matches"](spark, SF).count()
+        assert sum(p.stat().st_size for p in tmp_path.rglob("part-*")) < 0.7 * size
+    finally:
+        if before:
+            sc.setCheckpointDir(os.path.dirname(before.removeprefix("file:")))
