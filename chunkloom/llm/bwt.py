@@ -136,7 +136,11 @@ class Suffixes:
 
     def __init__(self, code: np.ndarray, size: np.ndarray, depth: int) -> None:
         """code: all segments' symbols one after the other. same() tells rows of equal first `depth` symbols."""
-        alphabet, dense = np.unique(code, return_inverse=True)
+        if code.dtype == np.uint8:
+            used = np.bincount(code, minlength=256) > 0
+            alphabet, dense = np.flatnonzero(used), (np.cumsum(used, dtype=np.int32) - 1)[code]
+        else:
+            alphabet, dense = np.unique(code, return_inverse=True)
         self.sigma = len(alphabet) + 1
         n = len(code) + len(size)
         if n >= 1 << 31:
@@ -152,19 +156,31 @@ class Suffixes:
         left = (ends[number] - np.arange(n)).astype(np.int32)  # symbols before the mark
         self.bits = max(1, int(self.sigma - 1).bit_length())
         pack = min(depth, max(1, 62 // self.bits))
-        key = np.zeros(n, np.int64)
-        for j in range(pack):
-            ahead = np.zeros(n, np.int32)
-            ahead[: n - j] = text[j:]
-            key <<= self.bits
-            key |= np.where(left > j, ahead, 0)
+        # the first `pack` symbols of each suffix as one number, from its first 1, 2, 4, ... symbols; zeros behind a mark
+        key, done, span = np.zeros(n, np.int64), 0, 1
+        power = text.astype(np.int64)
+
+        def append(head: np.ndarray, m: int, tail: np.ndarray, width: int) -> np.ndarray:
+            """The first m symbols with the `width` symbols behind them."""
+            out = head << width * self.bits
+            out[: n - m] |= np.where(left[: n - m] >= m, tail[m:], 0)
+            return out
+
+        while span <= pack:
+            if pack & span:
+                key, done = append(key, done, power, span) if done else power, done + span
+            if 2 * span <= pack:
+                power = append(power, span, power, span)
+            span *= 2
         # suffixes that reach their mark within the first h symbols are told apart by the number of their segment
         h = pack
-        order = np.argsort(key, kind="stable")  # stable: equal keys stay in the order of segments
+        order = np.argsort(key)
         k = key[order]
+        short = np.flatnonzero(left[order] < h)  # equal keys of these: in the order of segments
+        order[short] = order[short][np.lexsort((order[short], k[short]))]
         new = np.ones(n, bool)
         new[1:] = (k[1:] != k[:-1]) | (left[order][1:] < h)
-        del key, k
+        del key, k, power
         begin = np.flatnonzero(new)
         size_of = np.diff(np.append(begin, n))
         rank = np.empty(n, np.int32)  # suffixes that are smaller in their first h symbols
@@ -218,6 +234,7 @@ class Bwt(Suffixes):
     def __init__(self, code: np.ndarray, size: np.ndarray, depth: int) -> None:
         super().__init__(code, size, depth)
         before = self.before()
+        self.symbol = before.astype(np.uint8 if self.sigma <= 256 else np.uint16 if self.sigma <= 65536 else np.int32)
         self.tree = WaveletMatrix(before, self.bits)
         self.first_row = self.first()
         symbols = np.arange(self.sigma)
@@ -225,11 +242,9 @@ class Bwt(Suffixes):
 
     def steps(self) -> np.ndarray:
         """The row of the suffix one symbol longer, for each row; rows before which a mark stands lead to -1."""
-        before = self.before()
-        small = before.astype(np.uint8 if self.sigma <= 256 else np.uint16 if self.sigma <= 65536 else np.int32)
         out = np.empty(self.n, np.int32)
-        out[np.argsort(small, kind="stable")] = np.arange(self.n, dtype=np.int32)
-        out[before == 0] = -1
+        out[np.argsort(self.symbol, kind="stable")] = np.arange(self.n, dtype=np.int32)
+        out[self.symbol == 0] = -1
         return out
 
 

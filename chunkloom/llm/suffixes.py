@@ -42,12 +42,20 @@ def bounded_intervals(b: Bwt, length: int) -> np.ndarray:
         if not len(lo) and not len(alone):
             break
         alone = step[alone]
-        alone = alone[alone >= 0]
-        symbol, lo, hi = b.tree.symbols(lo, hi)
-        lo, hi = b.shift[symbol] + lo, b.shift[symbol] + hi
+        # rows before which the same symbol stands (no mark) stay together, so they have one extension, too
+        head, tail = step[lo], step[hi - 1]
+        one = (b.symbol[lo] == b.symbol[hi - 1]) & (tail - head == hi - 1 - lo)
+        two = ~one & (hi - lo == 2)  # different symbols: two intervals of one row
+        alone = np.concatenate((alone, step[lo[two]], step[hi[two] - 1]))
+        more = ~one & ~two
+        symbol, low, high = b.tree.symbols(lo[more], hi[more])
+        some = symbol > 0
+        shift = b.shift[symbol[some]]
+        lo, hi = np.concatenate((head[one], shift + low[some])), np.concatenate((tail[one] + 1, shift + high[some]))
         # ends of two intervals of one round differ, as do their strings
+        alone = alone[alone >= 0]
         alone = alone[~divided[alone + 1]]
-        new = (symbol > 0) & ~divided[hi]
+        new = ~divided[hi]
         lo, hi = lo[new], hi[new]
         divided[alone + 1] = True
         divided[hi] = True

@@ -226,3 +226,19 @@ def test_index_of_segments():
     count = size - 5
     want = suffixes.first_places(code, size, count, place, 6)
     assert (want == substrings.matching_statistics(code, size, count, place, 6)).all()
+
+
+def test_intervals_of_one_extension_take_no_rank_queries():
+    r = np.random.default_rng(6)
+    shared = r.integers(97, 101, 140)
+    parts = [np.concatenate((r.integers(97, 101, 8), shared, r.integers(97, 101, 8))) for _ in range(20)] + [r.integers(97, 99, 60) for _ in range(5)]
+    code, size = np.concatenate(parts).astype(np.uint8), np.array([len(x) for x in parts])
+    b = bwt.Bwt(code, size, 100)
+    asked, plain = [], b.tree.symbols
+    b.tree.symbols = lambda lo, hi: asked.append(len(lo)) or plain(lo, hi)
+    divided = suffixes.bounded_intervals(b, 100)
+    tails = [x[i:].tolist() + [-len(parts) + n] for n, x in enumerate(parts) for i in range(len(x) + 1)]  # marks differ and sort first
+    tails.sort()
+    same = [next((i for i, (u, v) in enumerate(zip(x, y, strict=False)) if u != v), 0) for x, y in zip(tails, tails[1:], strict=False)]
+    assert divided.tolist() == [True, *(n < 100 for n in same), True]
+    assert sum(asked) < 0.25 * sum(len(x) for x in parts)
