@@ -71,13 +71,25 @@ def less4(sf: DataFrame) -> DataFrame:
     return _thinned(sf, F.least(F.col("n") - 1, F.lit(4)))
 
 
-def all_matches(sf: DataFrame) -> DataFrame:
-    """chunk_id, base_id: every earlier chunk under the first position that hits."""
+def _shared(sf: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """sf, chunk_id of values that several chunks have, and chunk_id, sf: the first value that an earlier chunk has, too."""
     ends = sf.groupBy("sf").agg(F.min("chunk_id").alias("lead"), F.max("chunk_id").alias("last")).where("lead < last").select("sf", "lead")
     shared = sf.select("chunk_id", "pos", "sf").join(ends, "sf")  # a value that one chunk has alone goes no further
     pos = shared.where("lead < chunk_id").groupBy("chunk_id").agg(F.min(F.struct("pos", "sf")).alias("m")).select("chunk_id", "m.sf")
-    stored = shared.select("sf", F.col("chunk_id").alias("base_id")).distinct()
-    return pos.join(stored, "sf").where("base_id < chunk_id").select("chunk_id", "base_id")
+    return shared.select("sf", "chunk_id").distinct(), pos
+
+
+def all_matches(sf: DataFrame) -> DataFrame:
+    """chunk_id, base_id: every earlier chunk under the first position that hits."""
+    stored, pos = _shared(sf)
+    return pos.join(stored.withColumnRenamed("chunk_id", "base_id"), "sf").where("base_id < chunk_id").select("chunk_id", "base_id")
+
+
+def groups(sf: DataFrame) -> DataFrame:
+    """sf, chunk_id, target: what all_matches() joins. Chunks of a value are candidates of its later targets, and a chunk is
+    a target of one value at most. Rows are dealt by value once."""
+    stored, pos = _shared(sf.repartition(int(sf.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sf"))
+    return stored.join(pos.withColumn("target", F.lit(True)), ["sf", "chunk_id"], "left").withColumn("target", F.coalesce("target", F.lit(False)))
 
 
 def tiered(sf: DataFrame, keep: dict[int, int]) -> DataFrame:

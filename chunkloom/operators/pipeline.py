@@ -66,7 +66,7 @@ class ReductionPipeline:
             decisions = reduce.by_candidates(unique, unique.sparkSession.createDataFrame([], "chunk_id long, base_id long"))
         elif m in POLICIES:
             sf = super_features(unique, gate=self.gate)
-            decisions = reduce.by_candidates(unique, reduce.close_matches(unique, sf) if m == "all_greedy" else POLICIES[m](sf))
+            decisions = reduce.by_all(unique, sf) if m == "all_greedy" else reduce.by_candidates(unique, POLICIES[m](sf))
         else:
             family = m if m in ("ntransform", "finesse") else "odess"
             sf = _tiers(unique) if m == "palantir" else super_features(unique, family, -1 if m in ("ntransform", "finesse", "bisearch") else self.gate)

@@ -11,11 +11,12 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chunkloom.operators import codec, index
+from chunkloom.operators import codec, index, smallest
 from chunkloom.operators.components import components, cut
 from chunkloom.operators.dedup import PLACE
 
@@ -31,8 +32,14 @@ def by_candidates(unique: DataFrame, candidates: DataFrame) -> DataFrame:
     unique: chunk_id, chunk_size, payload. Payloads join the candidates late; only pairs reach the codec."""
     base = unique.select(F.col("chunk_id").alias("base_id"), F.col("payload").alias("base"))
     pairs = candidates.select("chunk_id", "base_id").join(base, "base_id").join(unique.select("chunk_id", "payload"), "chunk_id")
-    best = pairs.select("chunk_id", "base_id", codec.delta_sizes("payload", "base").alias("d")).groupBy("chunk_id").agg(F.min(F.struct("d", "base_id")).alias("m"))
-    d = unique.join(best, "chunk_id", "left").withColumn("lz4", codec.lz4_sizes("payload"))
+    return _by_best(unique, pairs.select("chunk_id", "base_id", codec.delta_sizes("payload", "base").alias("d")))
+
+
+def _by_best(unique: DataFrame, sized: DataFrame) -> DataFrame:
+    """The same, of sized candidates (chunk_id, base_id, d). No payload moves."""
+    best = sized.groupBy("chunk_id").agg(F.min(F.struct("d", "base_id")).alias("m"))
+    lz4 = F.col("lz4") if "lz4" in unique.columns else codec.lz4_sizes("payload").alias("lz4")
+    d = unique.select("chunk_id", "chunk_size", lz4).join(best, "chunk_id", "left")
     ok = F.coalesce((F.col("m.d") > 0) & (F.col("m.d") <= F.col("chunk_size")), F.lit(False))
     return d.select(
         "chunk_id", F.when(ok, "DELTA").when(F.col("lz4") < F.col("chunk_size"), "BASE_LZ4").otherwise("BASE_RAW").alias("kind"),
@@ -40,6 +47,60 @@ def by_candidates(unique: DataFrame, candidates: DataFrame) -> DataFrame:
     )
 
 
+#: Bytes of bases in a slab, and of a group for each deal of its targets, and most deals.
+SLAB, DEAL, DEALS = 32 << 20, 8 << 20, 4
+#: Most bits of the table that says which chunks are in no group.
+MEMBER_BITS = 25
+
+
+def _members_only(payloads: DataFrame, members: DataFrame, on: list[str]) -> DataFrame:
+    """payloads without most of the rows that no member (on) has, so that they need not move; an inner join does the rest."""
+    bits = min(MEMBER_BITS, max(10, members.count().bit_length() + 4))
+    hashed = F.shiftrightunsigned(F.xxhash64(*[F.col(x).cast("long") for x in on]), 64 - bits).alias("h")
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = np.zeros(1 << bits, bool)
+        for b in batches:
+            some[b.column("h").to_numpy()] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(some).tobytes()], pa.binary())], ["some"])
+
+    table = np.zeros(1 << bits - 3, np.uint8)
+    for r in members.select(hashed).mapInArrow(marked, "some binary").toLocalIterator():
+        table |= np.frombuffer(r["some"], np.uint8)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = b.column("h").to_numpy()
+            yield b.filter(pa.array((table[h >> 3] >> (7 - (h & 7)).astype(np.uint8) & 1).astype(bool)))
+
+    rows = payloads.select(*on, "payload", hashed)
+    return rows.mapInArrow(kept, rows.schema).drop("h")
+
+
+def by_all(unique: DataFrame, sf: DataFrame, payloads: DataFrame | None = None, on: list[str] | None = None) -> DataFrame:
+    """by_candidates(unique, index.all_matches(sf)), but pairs of chunks are no rows: their number grows with the square of
+    the chunks of a value. A value's chunks are bases in slabs of ids, and each slab meets the targets of its own and the
+    later slabs, dealt over a few cells. So a chunk moves once for each deal and for each slab up to its own.
+
+    unique without payloads needs lz4 (the stored size of each as a base), and payloads elsewhere, with keys `on`."""
+    if payloads is None:
+        payloads, on = unique.select("chunk_id", "payload"), ["chunk_id"]
+    rows = cut(index.groups(sf).join(unique.select(*dict.fromkeys(["chunk_id", "chunk_size", *on])), "chunk_id").withColumn("part", F.expr("chunk_id div 4096")))
+    parts = rows.groupBy("sf", "part").agg(F.sum("chunk_size").alias("bytes"))
+    before = F.coalesce(F.sum("bytes").over(Window.partitionBy("sf").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    whole = F.sum("bytes").over(Window.partitionBy("sf"))
+    parts = parts.select("sf", "part", F.floor(before / SLAB).cast("int").alias("last"), F.least(F.lit(DEALS), 1 + F.floor(whole / DEAL)).cast("int").alias("deals"))
+    placed = rows.join(parts, ["sf", "part"]).select(*dict.fromkeys(["sf", "chunk_id", "target", "last", "deals", *on]))
+    rows = placed.join(_members_only(payloads, rows.select(*on), on), on)
+    as_bases = F.transform(F.sequence(F.lit(0), F.col("deals") - 1), lambda i: F.struct(F.col("last").alias("slab"), i.alias("deal"), F.lit(False).alias("target")))
+    deal = F.pmod("chunk_id", "deals").cast("int")
+    as_targets = F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.struct(i.alias("slab"), deal.alias("deal"), F.lit(True).alias("target")))
+    cells = rows.select("sf", "chunk_id", "payload", F.explode(F.when(F.col("target"), F.concat(as_bases, as_targets)).otherwise(as_bases)).alias("c")).select("sf", "c.*", "chunk_id", "payload")
+    n = int(unique.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = cells.repartition(n, "sf", "slab", "deal").sortWithinPartitions("sf", "slab", "deal", "target", "chunk_id")
+    return _by_best(unique, cells.mapInArrow(smallest.smallest_deltas, "chunk_id long, d long, base_id long"))
+
+
 def close_matches(unique: DataFrame, sf: DataFrame) -> DataFrame:
     """chunk_id, base_id: as index.all_matches, but in the one large group of chunks with zero features only the pairs that
     can hold the smallest delta: those with a block of the base in the chunk, and the first earlier chunk without one, as
@@ -420,4 +481,4 @@ def _replayed(unique: DataFrame, sf: DataFrame, how: Method, found: DataFrame, s
     return ordered.mapInArrow(run, DECISIONS)
 
 
-__all__ = ["METHODS", "Method", "Replay", "always", "by_candidates", "close_matches", "replay"]
+__all__ = ["METHODS", "Method", "Replay", "always", "by_all", "by_candidates", "close_matches", "replay"]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chunkloom.functions import features as ft
 from chunkloom.functions import names
-from chunkloom.operators import archive, codec, dedup, index, metrics, segment, store
+from chunkloom.operators import archive, codec, dedup, index, metrics, reduce, segment, store
 from chunkloom.operators.components import cut
 from chunkloom.operators.pipeline import ReductionPipeline, super_features
 from chunkloom.plans import sql
@@ -554,7 +554,21 @@ def _decisions(method):
 for _name, _method in (
     ("dedup_decisions", "dedup"), ("ntransform_decisions", "ntransform"), ("finesse_decisions", "finesse"), ("odess_decisions", "odess"), ("palantir_decisions", "palantir"), ("bisearch_decisions", "bisearch"),
     ("mibl_decisions", "mibl"), ("midf_decisions", "midf"), ("mibl2_decisions", "mibl2"), ("mibl3_decisions", "mibl3"), ("log2_decisions", "log2"), ("less4_decisions", "less4"),
-    ("tree_cut_decisions", "tree_cut"), ("tree_greedy_decisions", "tree_greedy"), ("best_base_all_greedy", "all_greedy"), ("tree_layer_decisions", "tree_layer"),
+    ("tree_cut_decisions", "tree_cut"), ("tree_greedy_decisions", "tree_greedy"), ("tree_layer_decisions", "tree_layer"),
 ):
     register(_name)(_decisions(_method))
 
+
+@register("best_base_all_greedy")
+def best_base_all_greedy(spark, sf_dir):
+    """ReductionPipeline("small_fastcdc", "all_greedy")'s decisions. Features and LZ4 sizes are taken where chunks are cut;
+    only the bytes of chunks that share a value move, cut once more for that."""
+    c = segment.content_defined(files(spark, sf_dir), segment.SMALL_FASTCDC)
+    wide = c.select(*dedup.PLACE, F.col("chunk_size").cast("int").alias("chunk_size"), F.unhex(F.sha2("payload", 256)).alias("fp"), codec.lz4_sizes("payload").cast("int").alias("lz4"), ft.odess_features("payload").alias("f"))
+    wide = wide.withColumn("s", F.when(F.col("chunk_size") > ft.MIN_SIZE, ft.odess_super(F.col("f")))).select(*dedup.PLACE, "chunk_size", "fp", "lz4", *[F.col("s")[i].alias(f"s{i}") for i in range(3)])
+    first = cut(dedup.first_occurrences(wide, "lz4", "s0", "s1", "s2").select("first.*", "chunk_size", "lz4", "s0", "s1", "s2"))
+    unique = cut(dedup.numbered(first))
+    # of a chunk's equal values the first counts
+    values = F.array_distinct(F.array("s0", "s1", "s2"))
+    sf = unique.where("s0 is not null").select("chunk_id", F.posexplode(values).alias("pos", "sf"))
+    return reduce.by_all(unique.select("chunk_id", "chunk_size", "lz4", *dedup.PLACE), sf, c, dedup.PLACE)

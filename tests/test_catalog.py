@@ -48,3 +48,18 @@ def test_all_matches_writes_no_chunks(spark, tmp_path):
     finally:
         if before:
             sc.setCheckpointDir(os.path.dirname(before.removeprefix("file:")))
+
+
+def test_best_base_all_greedy_writes_no_chunks(spark, tmp_path):
+    size = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("sum(octet_length(text))").first()[0]
+    sc = spark.sparkContext
+    before = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
+    sc.setCheckpointDir(str(tmp_path))
+    try:
+        got = sorted(map(tuple, __spark_entry__.queries()["best_base_all_greedy"](spark, SF).collect()))
+        assert sum(p.stat().st_size for p in tmp_path.rglob("part-*")) < size
+        want = catalog.ReductionPipeline("small_fastcdc", "all_greedy").decide(*catalog.small_chunks(spark, SF))["decisions"].select("chunk_id", "kind", "base_id", "chunk_size", "save_size")
+        assert got == sorted(map(tuple, want.collect())) and any(r[2] is not None for r in got)
+    finally:
+        if before:
+            sc.setCheckpointDir(os.path.dirname(before.removeprefix("file:")))

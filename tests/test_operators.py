@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from chunkloom.functions.features import gear32, odess
-from chunkloom.operators import archive, codec, dedup, index, metrics, reduce, segment, store
+from chunkloom.operators import archive, codec, dedup, index, metrics, reduce, segment, smallest, store
 from chunkloom.operators.components import components, cut
 from chunkloom.operators.pipeline import ReductionPipeline, super_features
 from chunkloom.sources import corpus
@@ -571,3 +571,27 @@ def test_block_delta(spark):
     rows = [(b"a" * 16 + b"b" * 16 + b"tail", b"b" * 16 + b"x"), (b"", b"q"), (b"abc", None), (b"abc", b"")]
     df = spark.createDataFrame(rows, "t binary, b binary")
     assert [r[0] for r in df.select(codec.block_delta_size(F.col("t"), F.col("b"))).collect()] == [4 + 17 + 4 + 5, 4, None, 8]
+
+
+@pytest.mark.parametrize("hits", [1, 60, 1 << 20])
+def test_smallest_deltas_by_brute_force(monkeypatch, hits):
+    monkeypatch.setattr(smallest, "HITS", hits)
+    r = random.Random(hits)
+    for _ in range(10):
+        parts = [bytes(r.choice(b"abcd ") for _ in range(r.randrange(1, 30))) for _ in range(12)]
+        rows = sorted((r.randrange(3), i, b"".join(r.choice(parts) for _ in range(r.randrange(14)))[: r.choice([5, 20, 100, 400])]) for i in range(50))
+        columns = [list(x) for x in zip(*rows, strict=True)]
+        got = {c: (d, base) for c, d, base in zip(*smallest.Bases(*columns).smallest(*columns), strict=True)}
+        want = {c: min(((len(codec.encode(t, b)), base) for h, base, b in rows if h == g and base < c), default=None) for g, c, t in rows}
+        assert got == {c: x for c, x in want.items() if x is not None}
+
+
+@pytest.mark.parametrize("slab, deal", [(32 << 20, 8 << 20), (2000, 500), (1, 1)])
+def test_all_candidates_in_slabs(spark, featureless, monkeypatch, slab, deal):
+    """No pair is a row: bases in slabs of ids, targets dealt over cells."""
+    monkeypatch.setattr(reduce, "SLAB", slab)
+    monkeypatch.setattr(reduce, "DEAL", deal)
+    far = featureless.withColumn("chunk_id", F.col("chunk_id") * 1500)  # several parts of ids
+    sf = super_features(far)
+    want = sorted(map(tuple, reduce.by_candidates(far, index.all_matches(sf)).collect()))
+    assert sorted(map(tuple, reduce.by_all(far, sf).collect())) == want and any(r[2] is not None for r in want)
