@@ -130,6 +130,15 @@ class HuffmanMatrix:
         return sum(b.nbytes for b in self.levels) + self.code.nbytes + self.length.nbytes
 
 
+def _sorted(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of keys that leave so many bits for a number, and the sorted keys; 0: keys take all bits."""
+    if not bits:
+        order = np.argsort(key)
+        return order, key[order]
+    both = np.sort(key << bits | np.arange(len(key)))
+    return both & (1 << bits) - 1, both >> bits
+
+
 class Suffixes:
     """The order of all suffixes of segments, each closed by a mark of its own that sorts before all symbols, in the
     segments' order. text, sa, rank: all units, in 32 bits."""
@@ -155,7 +164,9 @@ class Suffixes:
         number = np.repeat(np.arange(len(size), dtype=np.int32), size + 1)
         left = (ends[number] - np.arange(n)).astype(np.int32)  # symbols before the mark
         self.bits = max(1, int(self.sigma - 1).bit_length())
-        pack = min(depth, max(1, 62 // self.bits))
+        wide = n.bit_length()
+        packed = 3 * (n + len(size)).bit_length() <= 63  # two ranks and a number in one key: sorting these beats argsort
+        pack = min(depth, max(1, (63 - wide if packed else 62) // self.bits))
         # the first `pack` symbols of each suffix as one number, from its first 1, 2, 4, ... symbols; zeros behind a mark
         key, done, span = np.zeros(n, np.int64), 0, 1
         power = text.astype(np.int64)
@@ -174,12 +185,12 @@ class Suffixes:
             span *= 2
         # suffixes that reach their mark within the first h symbols are told apart by the number of their segment
         h = pack
-        order = np.argsort(key)
-        k = key[order]
-        short = np.flatnonzero(left[order] < h)  # equal keys of these: in the order of segments
+        order, k = _sorted(key, wide if packed else 0)
+        ended = left[order] < h
+        short = np.flatnonzero(ended)  # equal keys of these: in the order of segments
         order[short] = order[short][np.lexsort((order[short], k[short]))]
         new = np.ones(n, bool)
-        new[1:] = (k[1:] != k[:-1]) | (left[order][1:] < h)
+        new[1:] = (k[1:] != k[:-1]) | ended[1:]
         del key, k, power
         begin = np.flatnonzero(new)
         size_of = np.diff(np.append(begin, n))
@@ -190,9 +201,9 @@ class Suffixes:
         self.at_depth = (h, rank.copy())
         while len(open_):  # doubling, on suffixes that still tie only
             then = np.where(left[open_] < h, number[open_], len(size) + rank[np.minimum(open_ + h, n - 1)].astype(np.int64))
-            key = rank[open_].astype(np.int64) << 32 | then
-            order = np.argsort(key)
-            open_, key = open_[order], key[order]
+            both = (n + len(size)).bit_length()
+            order, key = _sorted(rank[open_].astype(np.int64) << (both if packed else 32) | then, len(open_).bit_length() if packed else 0)
+            open_ = open_[order]
             own, at = rank[open_], np.arange(len(open_))
             run, group = np.ones(len(open_), bool), np.ones(len(open_), bool)
             run[1:], group[1:] = key[1:] != key[:-1], own[1:] != own[:-1]
@@ -210,7 +221,8 @@ class Suffixes:
 
     def before(self) -> np.ndarray:
         """The transform: the symbol before each row's suffix, 0 for a mark."""
-        return np.where(self.sa > 0, self.text[self.sa - 1], 0)
+        text = self.text if self.sigma > 256 else self.text.astype(np.uint8)
+        return np.where(self.sa > 0, text[self.sa - 1], text.dtype.type(0))
 
     def first(self) -> np.ndarray:
         """Rows before those that begin with each symbol."""

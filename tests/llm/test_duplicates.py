@@ -242,3 +242,17 @@ def test_intervals_of_one_extension_take_no_rank_queries():
     same = [next((i for i, (u, v) in enumerate(zip(x, y, strict=False)) if u != v), 0) for x, y in zip(tails, tails[1:], strict=False)]
     assert divided.tolist() == [True, *(n < 100 for n in same), True]
     assert sum(asked) < 0.25 * sum(len(x) for x in parts)
+
+
+def test_suffixes_are_sorted_without_argsort_of_wide_keys(monkeypatch):
+    r = np.random.default_rng(5)
+    part = r.integers(0, 9, 300).astype(np.uint8)
+    segments = [part[a:b] for a, b in (sorted(r.integers(0, 301, 2)) for _ in range(40))]
+    code, size = np.concatenate(segments), np.array([len(x) for x in segments])
+    wide, plain = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda a, *x, **k: (wide.append(a.dtype.itemsize == 8), plain(a, *x, **k))[1])
+    s = bwt.Suffixes(code, size, 100)
+    assert not any(wide)
+    text = [(*x, -1000 + i) for i, x in enumerate(map(tuple, segments))]  # each closed by a mark of its own
+    want = sorted((t[i:], start + i) for t, start in zip(text, s.start.tolist(), strict=True) for i in range(len(t)))
+    assert s.sa.tolist() == [at for _, at in want]
